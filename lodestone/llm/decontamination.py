@@ -134,7 +134,9 @@ def matches(documents: DataFrame, items: DataFrame, settings: Settings = Setting
     return out if out is not None else documents.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, last_word long")
 
 
-def _block(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> DataFrame:
+def _seeds(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> np.ndarray:
+    """Which of the block's n-grams are seeds, from their counts over all documents."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows, s.n)
         items.arranged()
@@ -157,7 +159,11 @@ def _block(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> Da
     order = np.lexsort((items.place, counts, items.item))
     sizes = np.bincount(items.item, minlength=len(rows))
     rank[order] = np.arange(len(order)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-    seeds = (counts <= max(s.least_rare, s.rare * total)) | (rank * 2 < sizes[items.item])
+    return (counts <= max(s.least_rare, s.rare * total)) | (rank * 2 < sizes[items.item])
+
+
+def _block(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> DataFrame:
+    seeds = _seeds(documents, rows, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(rows, s.n)
@@ -172,6 +178,26 @@ def _block(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> Da
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, last_word long")
 
 
+def drop_matches(documents: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of documents that match no item, with their columns; each row is judged by its own text."""
+    columns = documents.columns
+    at = columns.index("text")
+    for rows in _blocks(items, settings.block_bytes):
+        seeds = _seeds(documents, rows, settings)
+
+        def keep(batches: Iterator[pa.RecordBatch], rows: list = rows, seeds: np.ndarray = seeds) -> Iterator[pa.RecordBatch]:
+            index = Items(rows, settings.n)
+            index.arranged(seeds)
+            for b in batches:
+                clean = np.ones(b.num_rows, dtype=bool)
+                for lo, _, data, off in chunks(b.column(at)):
+                    clean[[lo + d for d, _ in _aligned(index, *hashes(data, off), settings)]] = False
+                yield b.filter(pa.array(clean))
+
+        documents = documents.mapInArrow(keep, documents.schema)
+    return documents
+
+
 def _aligned(index: Items, h: np.ndarray, by: np.ndarray, s: Settings) -> dict[tuple[int, int], tuple[float, int]]:
     """(document of the chunk, item id) to (score, last word) for what reaches the threshold."""
     spots: dict[int, set] = {}
