@@ -5,8 +5,9 @@ prefix, long enough that any set it links with shares a member of it, is posted
 A member's list is parted in blocks by set size, and inside them pairs are skipped whose positions
 leave too few members for a link.
 
-Answers are derived from those of highly similar sets: equal sets are one class; each block's first
-set answers for the block, so the others are compared with it alone; sets joined so are one group.
+Answers are derived from those of highly similar sets: equal sets are one class; the sets of a block
+that post the list's member earliest, which are those with the fewest members of their own, answer
+for the block, so the others are first compared with these alone; sets joined so are one group.
 What is left are pairs of sets in different groups that share prefix members.  Their shared members
 are counted over all lists, pairs that cannot link for their counts are skipped, and the rest are
 verified on the whole sets.  A link inside a group can change no component and is not looked for, so
@@ -46,6 +47,7 @@ class Settings:
     percent: int = 75
     frequent: int = 32_768
     bitmap_bits: int = 26
+    heads: int = 4
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +126,9 @@ def documents_sets(documents: DataFrame, s: Settings) -> tuple[DataFrame, np.nda
     return both.where("shingle is null").select("doc_id", "n", "name"), np.sort(top["shingle"].to_numpy(np.int64).view(U64))
 
 
-def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> DataFrame:
-    """shingle, name, size, place of every prefix member that at least two sets post."""
+def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(shingle, name, size, place of every prefix member that at least two sets post; pairs a, b of sets
+    and the first sets of their blocks)."""
     parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     width = (1 << 64) // parts + 1
 
@@ -179,12 +182,50 @@ def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> DataFra
             token, name, size, place = token[keep], name[keep], size[keep], place[keep]
             again = token[1:] == token[:-1]
             keep = np.concatenate(([False], again)) | np.concatenate((again, [False]))
-            for a in range(0, int(keep.sum()), 65_536):
-                x = np.flatnonzero(keep)[a : a + 65_536]
-                yield pa.record_batch({"shingle": pa.array(token[x].view(np.int64)), "name": pa.array(name[x]), "size": pa.array(size[x].astype(np.int64)), "place": pa.array(place[x].astype(np.int64))})
+            token, name, size, place = (x[keep].astype(t) for x, t in ((token, U64), (name, np.int64), (size, np.int64), (place, np.int64)))
+            yield _rows(STAR, *_stars(token, name, size, place, s))
+            for a in range(0, len(token), 65_536):
+                x = slice(a, a + 65_536)
+                yield _rows(POSTED, token[x].view(np.int64), name[x], size[x], place[x])
 
     packed = documents.select("text").mapInArrow(post, "part long, token binary, set binary, place binary, names binary, sizes binary").repartition(parts, "part")
-    return stored(packed.mapInArrow(meet, "shingle long, name long, size long, place long"), "postings")
+    both = stored(packed.mapInArrow(meet, ", ".join(f"{c} long" for c in POSTED + STAR)), "postings")
+    stars = both.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    # a list in four is looked at, and where two sets share less than half of what linked sets would, the crossing pass decides
+    return both.where("shingle is not null").select(*POSTED), stars.where("n * 8 >= least").select("a", "b")
+
+
+POSTED, STAR = ("shingle", "name", "size", "place"), ("a", "b", "n", "least")
+
+
+def _rows(names: tuple[str, ...], *columns: np.ndarray) -> pa.RecordBatch:
+    given = {c: pa.array(x) for c, x in zip(names, columns, strict=True)}
+    return pa.record_batch({c: given.get(c, pa.nulls(len(columns[0]), pa.int64())) for c in POSTED + STAR})
+
+
+def _stars(token: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """a, b, n, least: how often sets meet one of the first sets of their block, in a quarter of the lists."""
+    some = ((mix(token) & U64(3)) == 0) | (place < 4)
+    token, name, size, place = token[some], name[some], size[some], place[some]
+    block = np.floor(np.log(size) / np.log(100 / s.percent) + 1e-9).astype(np.int64)
+    order = np.lexsort((name, place, block, token))
+    token, name, size, place, block = (x[order] for x in (token, name, size, place, block))
+    first = np.concatenate((np.ones(min(1, len(token)), bool), (token[1:] != token[:-1]) | (block[1:] != block[:-1])))
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0)) if len(first) else np.zeros(0, np.int64)
+    left, right = [], []
+    for j in range(s.heads):
+        later = np.flatnonzero(np.arange(len(head)) - head > j)
+        h = head[later] + j
+        far = np.abs(place[later] - place[h]) + np.abs((size[later] - place[later]) - (size[h] - place[h]))
+        near = far * (100 + s.percent) <= (100 - s.percent) * (size[later] + size[h])
+        left.append(later[near])
+        right.append(h[near])
+    i, k = np.concatenate(left), np.concatenate(right)
+    if not len(i):
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
+    pair, at, n = np.unique(np.stack((np.minimum(name[i], name[k]), np.maximum(name[i], name[k]))), axis=1, return_index=True, return_counts=True)
+    return pair[0], pair[1], n, np.minimum(prefix(size[i], s.percent), prefix(size[k], s.percent))[at]
 
 
 def sets_of(documents: DataFrame, named: DataFrame, s: Settings, frequent: np.ndarray) -> DataFrame:
@@ -260,28 +301,6 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def star_pairs(posted: DataFrame, s: Settings) -> DataFrame:
-    """a, b: each set with the first of its block in each list, where they share most of a prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, name, size, place in _by_shingle(batches):
-            block = np.floor(np.log(size) / np.log(100 / s.percent) + 1e-9).astype(np.int64)
-            order = np.lexsort((name, block, shingle))
-            shingle, name, size, place, block = (x[order] for x in (shingle, name, size, place, block))
-            first = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1])))
-            head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            far = np.abs(place - place[head]) + np.abs((size - place) - (size[head] - place[head]))
-            near = ~first & (far * (100 + s.percent) <= (100 - s.percent) * (size + size[head]))
-            a, b = name[head[near]], name[near]
-            pair, at, n = np.unique(np.stack((a, b)), axis=1, return_index=True, return_counts=True)
-            least = np.minimum(prefix(size[near], s.percent), prefix(size[head[near]], s.percent))[at] if near.any() else np.zeros(0, np.int64)
-            yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1]), "n": pa.array(n), "least": pa.array(least)})
-
-    parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = posted.repartition(parts, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, n long, least long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n * 5 >= least * 3").select("a", "b")
-
-
 def cross_pairs(posted: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     """a, b of different groups that may still link."""
     grouped = posted.join(groups.select(F.col("node").alias("name"), "component"), "name", "left").select("shingle", "name", "size", "place", F.coalesce("component", "name").alias("part"))
@@ -328,8 +347,8 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents(doc_id, text)."""
     s = settings
     rows, frequent = documents_sets(documents, s)
-    posted = postings(documents, s, frequent)
-    first = stored(verified(documents, stored(star_pairs(posted, s), "stars"), s, frequent), "links")
+    posted, stars = postings(documents, s, frequent)
+    first = stored(verified(documents, stored(stars, "stars"), s, frequent), "links")
     groups = stored(components(first), "groups")
     more = stored(cross_pairs(posted, groups, s), "crossing")
     second = stored(verified(documents, more, s, frequent), "links")
