@@ -119,7 +119,8 @@ def joined(spans: Column) -> Column:
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = findings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    n = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
+    count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    n = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
     return got.select("doc_id", *n, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "blob")
 
 
