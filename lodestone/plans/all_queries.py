@@ -1,5 +1,6 @@
 """Every registered query of the library proper."""
 
+from lodestone.plans import preparing
 from lodestone.query_set import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "preparing"]
