@@ -8,9 +8,10 @@ leave too few members for a link.
 Answers are derived from those of highly similar sets: equal sets are one class; the sets of a block
 that post the list's member earliest, which are those with the fewest members of their own, answer
 for the block, so the others are first compared with these alone; sets joined so are one group.
-What is left are pairs of sets in different groups that share prefix members.  Their shared members
-are counted over all lists, pairs that cannot link for their counts are skipped, and the rest are
-verified on the whole sets.  A link inside a group can change no component and is not looked for, so
+What is left are pairs of sets in different groups that share a prefix member.  The first member a
+pair shares has before it only members in which the sets differ; as frequent members come last,
+these are most of the members in which they differ at all, and the bound on them leaves few pairs,
+which are verified on the whole sets.  A link inside a group can change no component and is not looked for, so
 no list or group is ever expanded into all its pairs.
 
 The order needs no exact frequencies to be right, so the shingles to put last are the most frequent
@@ -310,7 +311,7 @@ def cross_pairs(posted: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
             ends = np.append(first[1:], len(shingle))
             mixed = np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
-            left, right, fit = [], [], []
+            left, right = [], []
             for lo, hi in zip(first[mixed], ends[mixed], strict=True):
                 order = lo + np.argsort(size[lo:hi], kind="stable")
                 top = np.searchsorted(size[order], size[order] * 100 // s.percent, side="right")
@@ -318,29 +319,21 @@ def cross_pairs(posted: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
                 i = np.repeat(np.arange(hi - lo), n)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
                 i, j = order[i], order[j]
-                apart = part[i] != part[j]
+                # were this the first shared member, all before it, and the excess of one rest over the other, would differ
+                differ = place[i] + place[j] + np.abs((size[i] - place[i]) - (size[j] - place[j]))
+                apart = (part[i] != part[j]) & (differ * (100 + s.percent) <= (100 - s.percent) * (size[i] + size[j]))
                 i, j = i[apart], j[apart]
                 left.append(i)
                 right.append(j)
             if not left:
                 continue
             i, j = np.concatenate(left), np.concatenate(right)
-            fit = (place[i] + place[j]) * (100 + s.percent) <= (100 - s.percent) * (size[i] + size[j])
-            a, b = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
-            if not len(a):
-                continue
-            pair, at, inverse, n = np.unique(np.stack((a, b)), axis=1, return_index=True, return_inverse=True, return_counts=True)
-            ok = np.zeros(len(n), dtype=np.int64)
-            np.maximum.at(ok, inverse.ravel(), fit.astype(np.int64))
-            yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1]), "n": pa.array(n), "fit": pa.array(ok), "p": pa.array(np.minimum(size[i], size[j])[at]), "q": pa.array(np.maximum(size[i], size[j])[at])})
+            pair = np.unique(np.stack((np.minimum(name[i], name[j]), np.maximum(name[i], name[j]))), axis=1)
+            yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
 
     parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = grouped.repartition(parts, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, n long, fit long, p long, q long")
-    counted = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("fit").alias("fit"), F.max("p").alias("p"), F.max("q").alias("q"))
-    # beyond the smaller end of the two prefixes a pair shares at most the larger of the two rests
-    rest = lambda c: F.ceil(F.col(c) * s.percent / 100) - 1
-    most = F.least(F.col("p"), F.col("n") + F.greatest(rest("p"), rest("q")))
-    return counted.where("fit = 1").where(100 * most >= s.percent * (F.col("p") + F.col("q") - most)).select("a", "b")
+    found = grouped.repartition(parts, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long")
+    return found.distinct()
 
 
 def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
