@@ -10,8 +10,9 @@ that post the list's member earliest, which are those with the fewest members of
 for the block, so the others are first compared with these alone; sets joined so are one group.
 What is left are pairs of sets in different groups that share a prefix member.  The first member a
 pair shares has before it only members in which the sets differ; as frequent members come last,
-these are most of the members in which they differ at all, and the bound on them leaves few pairs,
-which are verified on the whole sets.  A link inside a group can change no component and is not looked for, so
+these are most of the members in which they differ at all, and the bound on them leaves few pairs.
+Of these the shared prefix members are counted, and what the count does not rule out is verified on
+the whole sets.  A link inside a group can change no component and is not looked for, so
 no list or group is ever expanded into all its pairs.
 
 The order needs no exact frequencies to be right, so the shingles to put last are the most frequent
@@ -333,7 +334,29 @@ def cross_pairs(posted: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
 
     parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = grouped.repartition(parts, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long")
-    return found.distinct()
+    return counted(stored(found.distinct(), "met"), posted, s)
+
+
+def counted(pairs: DataFrame, posted: DataFrame, s: Settings) -> DataFrame:
+    """The rows (a, b) of pairs whose shared prefix members do not rule a link out."""
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    own = posted.join(names, "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_list("shingle")).alias("members"), F.max("size").alias("size"))
+    own = stored(own, "prefixes")
+    side = lambda c: own.select(F.col("name").alias(c), F.col("members").alias(f"m{c}"), F.col("size").alias(f"n{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb", "na", "nb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                p, q = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                # beyond the nearer end of the two prefixes they share at most the larger rest
+                most = min(n, m, shared + max(n - prefix(n, s.percent), m - prefix(m, s.percent)))
+                keep.append(100 * most >= s.percent * (n + m - most))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
