@@ -84,7 +84,8 @@ class Encoder:
     def of_texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets by text), each text's ids followed by the end token."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        odd = pc.or_(*[pc.match_substring(texts, m) for m in self.marks[:2]]) if len(self.marks) == 2 else pa.array([any(m in t for m in self.marks) for t in texts.to_pylist()], pa.bool_())
+        # a text that may hold a special token's mark goes through the tokenizer as it is
+        odd = pc.match_substring(texts, "<|") if all(m.startswith("<|") for m in self.marks) else pa.array([True] * len(texts))
         whole = {i: np.array(self.full.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.int32) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
         parts = pc.split_pattern(pc.replace_substring(pc.ascii_lower(pc.if_else(odd, "", texts)), "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
