@@ -175,7 +175,7 @@ def pack(documents: DataFrame, tokenizer: str, length: int = 4096, end: int = 2,
         packer = Packer(length, windows, part << 32)
         for b in batches:
             ids_of = b.column(0).to_pylist()
-            for lo, hi, _, _ in chunks(b.column(1), 8 << 20):
+            for lo, hi, _, _ in chunks(b.column(1), 4 << 20):
                 ids, off = coder.of_texts(b.column(1).slice(lo, hi - lo), end)
                 rows: list[tuple] = []
                 for i in range(hi - lo):

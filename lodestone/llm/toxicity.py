@@ -99,7 +99,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         rows = np.zeros(2, dtype=np.int64)
         for b in batches:
             toxic = b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in chunks(b.column(0)):
+            for lo, hi, data, off in chunks(b.column(0), 1 << 18):
                 y = (toxic[lo:hi] > 0).astype(np.int64)
                 rows += np.bincount(y, minlength=2)
                 row, bucket = present(data, off, s.orders, s.bucket_bits, None, width)
@@ -130,7 +130,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         slots = _slots(buckets, s.bucket_bits)
         for b in batches:
             toxic = b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in chunks(b.column(0)):
+            for lo, hi, data, off in chunks(b.column(0), 1 << 18):
                 row, slot = present(data, off, s.orders, s.bucket_bits, slots, max(1, len(buckets)))
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 blobs = [slot[a:z].astype("<i4").tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
@@ -176,7 +176,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         slots = _slots(model.buckets, model.bucket_bits)
         for b in batches:
             out = np.empty(b.num_rows)
-            for lo, hi, data, off in chunks(b.column(1)):
+            for lo, hi, data, off in chunks(b.column(1), 1 << 18):
                 row, slot = present(data, off, model.orders, model.bucket_bits, slots, max(1, len(model.buckets)))
                 out[lo:hi] = np.bincount(row, weights=model.weights[slot], minlength=hi - lo) if len(row) else 0.0
             yield pa.record_batch({"doc_id": b.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(out + model.intercept, -500, 500))))})
@@ -196,7 +196,7 @@ def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5
         slots = _slots(model.buckets, model.bucket_bits)
         for b in batches:
             out = np.empty(b.num_rows)
-            for lo, hi, data, off in chunks(b.column(at)):
+            for lo, hi, data, off in chunks(b.column(at), 1 << 18):
                 row, slot = present(data, off, model.orders, model.bucket_bits, slots, max(1, len(model.buckets)))
                 out[lo:hi] = np.bincount(row, weights=model.weights[slot], minlength=hi - lo) if len(row) else 0.0
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(out + model.intercept, -500, 500))) < threshold))
