@@ -1,6 +1,6 @@
 """Every registered query of the library proper."""
 
-from lodestone.plans import preparing, searching
+from lodestone.plans import judging, preparing, searching
 from lodestone.query_set import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "preparing", "searching"]
+__all__ = ["ORACLES", "QUERIES", "judging", "preparing", "searching"]
