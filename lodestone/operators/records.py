@@ -42,7 +42,7 @@ def source_fields(labels: Column) -> Column:
 def owners(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """questions(query, document) with doc_id and error; document is a doc_id, a sha or a file name that one document has."""
     by = documents.groupBy("filename").agg(F.count("*").alias("n"), F.min("doc_id").alias("f_doc"))
-    q = questions.join(documents.select(F.col("doc_id").alias("i_doc")), F.col("document") == F.col("i_doc"), "left")
+    q = questions.join(documents.select(F.col("doc_id").alias("i_doc")), F.col("document") == F.col("i_doc").cast("string"), "left")
     q = q.join(documents.groupBy("sha").agg(F.min("doc_id").alias("s_doc")), F.col("document") == F.col("sha"), "left")
     q = q.join(by, F.col("document") == F.col("filename"), "left")
     found = F.coalesce("i_doc", "s_doc", F.when(F.col("n") == 1, F.col("f_doc")))

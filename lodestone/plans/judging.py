@@ -108,7 +108,7 @@ def expansion_terms(spark, sf_dir):
     return K.expansion_terms(near, background, skipped)
 
 
-REPLY = """case event_id % 5 when 0 then 'Well: {"score": ' || round(value / 100, 3) || ', "reason": "ok"}' when 1 then '{"score": true, "reason": "x"}' when 2 then 'none' when 3 then '{"score": "0.5"}' else '{"score": 0.25, "reason": "fair"}' end"""
+REPLY = """case event_id % 5 when 0 then 'Well: {"score": ' || floor(value / 100 * 1000 + 0.5) / 1000 || ', "reason": "ok"}' when 1 then '{"score": true, "reason": "x"}' when 2 then 'none' when 3 then '{"score": "0.5"}' else '{"score": 0.25, "reason": "fair"}' end"""
 
 
 @query("""select event_type, round(avg(s), 9) mean_score, count(s) judged, sum((s is null)::int) skipped, sum((s < 0.5)::int) n_below from (select event_type, case when event_id % 5 = 0 and round(value / 100, 3) between 0 and 1 then round(value / 100, 3) when event_id % 5 = 4 then 0.25 end s from events) group by 1""")

@@ -44,8 +44,7 @@ def question_owners(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.col("doc_id"), F.sha2("text", 256).alias("sha"), F.col("source").alias("filename"))
     i = F.col("doc_id")
     q = d.where("doc_id % 5 = 0").select(i.alias("query"), F.when(i % 4 == 0, i.cast("string")).when(i % 4 == 1, F.col("sha")).when(i % 4 == 2, F.col("filename")).alias("document"))
-    found = D.owners(q, d.withColumn("doc_id", i.cast("string")))
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return D.owners(q, d)
 
 
 @query("with v as (select event_type variant, round(avg((value > 50)::int), 9) hit_rate, round(avg(case when value > 50 then 1.0 / (1 + event_id % 5) else 0 end), 9) mrr from events group by 1) select * from v where hit_rate > 0 and (hit_rate, mrr) = (select (hit_rate, mrr) from v order by hit_rate desc, mrr desc limit 1)")
