@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import chunks as C
 from lodestone.operators import elements as E
 from lodestone.operators import judge as J
+from lodestone.operators import records as D
 from lodestone.operators import rerank as K
 from lodestone.sources import files
 
@@ -99,3 +100,14 @@ def test_pairs_of_runs_are_one_to_one(spark):
     a = spark.createDataFrame([(1, "q", True), (2, "q", True), (3, "r", False)], "id long, question string, found boolean")
     b = spark.createDataFrame([(1, "q", False), (8, "q", False), (9, "q", True)], "id long, question string, found boolean")
     assert sorted(tuple(r) for r in J.paired(a, b).collect()) == [(1, 1, True, False, "id"), (2, 8, True, False, "text")]
+
+
+def test_near_blocks_name_the_first_kept_twin(spark):
+    rows = [(1, 0, "p", "a" * 40), (1, 1, "p", "a" * 39 + "b"), (1, 2, "h", "a" * 40), (1, 3, "p", "c" * 40), (2, 0, "p", "a" * 40), (1, 4, "p", "")]
+    got = D.near_blocks(spark.createDataFrame(rows, "doc_id long, order int, type string, norm string"))
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 0)]
+
+
+def test_hashed_vectors_have_length_one_or_none(spark):
+    got = {r.id: r.vector for r in D.hashed_vectors(spark.createDataFrame([(1, "a b"), (2, "B a"), (3, ""), (4, None)], "id long, text string"), 16).collect()}
+    assert got[1] == got[2] and sum(x * x for x in got[1]) == pytest.approx(1) and got[3] == got[4] == [0.0] * 16
