@@ -10,7 +10,9 @@ that post the list's member earliest, which are those with the fewest members of
 for the block, so the others are first compared with these alone; sets joined so are one group.
 What is left are pairs of sets in different groups that share a prefix member.  The first member a
 pair shares has before it only members in which the sets differ; as frequent members come last,
-these are most of the members in which they differ at all, and the bound on them leaves few pairs.
+these are most of the members in which they differ at all.  After it, members that no other set
+posts before a mark which both prefixes reach are differences too.  Pairs are met inside a task, in
+blocks of bounded size, and leave it only if both bounds allow a link.
 Of these the shared prefix members are counted, and what the count does not rule out is verified on
 the whole sets.  A link inside a group can change no component and is not looked for, so
 no list or group is ever expanded into all its pairs.
@@ -33,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.bytetext import U64, WHITE, Hasher, chunks, mix, words
@@ -41,6 +43,9 @@ from lodestone.llm.elias_fano import from_planes, planes
 from lodestone.llm.shared import components, stored, table
 
 _TOP = U64(1 << 63)
+# marks in the order of shingles; most prefixes end between the same two
+MARKS = (np.arange(16, dtype=U64) * U64(2) + U64(1)) << U64(58)
+_PAIRS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -129,7 +134,7 @@ def documents_sets(documents: DataFrame, s: Settings) -> tuple[DataFrame, np.nda
 
 
 def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(shingle, name, size, place of every prefix member that at least two sets post; pairs a, b of sets
+    """(shingle, name, size, place, reach of every prefix member that at least two sets post; pairs a, b of sets
     and the first sets of their blocks)."""
     parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     width = (1 << 64) // parts + 1
@@ -143,6 +148,7 @@ def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> tuple[D
             names = np.array([h[0] for h in held], dtype=np.int64)
             sizes = np.array([h[1] for h in held], dtype=np.int64)
             token = np.concatenate([h[2] for h in held])
+            reach = np.array([_reach(h[2]) for h in held], dtype=np.int64)
             owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
             place = np.concatenate([np.arange(len(h[2])) for h in held])
             # frequent members share the top bit, so lists are dealt out by a mixed hash
@@ -153,7 +159,7 @@ def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> tuple[D
                 if z > a:
                     o = order[a:z]
                     used, index = np.unique(owner[o], return_inverse=True)
-                    yield pa.record_batch({"part": [k], "token": [planes(np.diff(token[o], prepend=U64(0)))], "set": [planes(index)], "place": [planes(place[o])], "names": [names[used].tobytes()], "sizes": [planes(sizes[used])]})
+                    yield pa.record_batch({"part": [k], "token": [planes(np.diff(token[o], prepend=U64(0)))], "set": [planes(index)], "place": [planes(place[o])], "names": [names[used].tobytes()], "sizes": [planes(sizes[used])], "reach": [planes(reach[used])]})
 
         for b in batches:
             for _, _, data, off in chunks(b.column(0)):
@@ -174,30 +180,36 @@ def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> tuple[D
         for b in batches:
             for r in b.to_pylist():
                 index = from_planes(r["set"]).astype(np.int64)
-                by.setdefault(r["part"], []).append((np.cumsum(from_planes(r["token"]), dtype=U64), np.frombuffer(r["names"], np.int64)[index], from_planes(r["sizes"])[index], from_planes(r["place"])))
+                by.setdefault(r["part"], []).append((np.cumsum(from_planes(r["token"]), dtype=U64), np.frombuffer(r["names"], np.int64)[index], from_planes(r["sizes"])[index], from_planes(r["place"]), from_planes(r["reach"])[index]))
         for k in sorted(by):
-            token, name, size, place = (np.concatenate(x) for x in zip(*by.pop(k), strict=True))
+            token, name, size, place, reach = (np.concatenate(x) for x in zip(*by.pop(k), strict=True))
             order = np.lexsort((name, token))
-            token, name, size, place = token[order], name[order], size[order], place[order]
+            token, name, size, place, reach = (x[order] for x in (token, name, size, place, reach))
             same = (token[1:] == token[:-1]) & (name[1:] == name[:-1])  # one set met in several tasks
             keep = np.concatenate(([True], ~same))
-            token, name, size, place = token[keep], name[keep], size[keep], place[keep]
+            token, name, size, place, reach = (x[keep] for x in (token, name, size, place, reach))
             again = token[1:] == token[:-1]
             keep = np.concatenate(([False], again)) | np.concatenate((again, [False]))
-            token, name, size, place = (x[keep].astype(t) for x, t in ((token, U64), (name, np.int64), (size, np.int64), (place, np.int64)))
+            token, name, size, place, reach = (x[keep].astype(t) for x, t in ((token, U64), (name, np.int64), (size, np.int64), (place, np.int64), (reach, np.int64)))
             yield _rows(STAR, *_stars(token, name, size, place, s))
             for a in range(0, len(token), 65_536):
                 x = slice(a, a + 65_536)
-                yield _rows(POSTED, token[x].view(np.int64), name[x], size[x], place[x])
+                yield _rows(POSTED, token[x].view(np.int64), name[x], size[x], place[x], reach[x])
 
-    packed = documents.select("text").mapInArrow(post, "part long, token binary, set binary, place binary, names binary, sizes binary").repartition(parts, "part")
+    packed = documents.select("text").mapInArrow(post, "part long, token binary, set binary, place binary, names binary, sizes binary, reach binary").repartition(parts, "part")
     both = stored(packed.mapInArrow(meet, ", ".join(f"{c} long" for c in POSTED + STAR)), "postings")
     stars = both.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     # a list in four is looked at, and where two sets share less than half of what linked sets would, the crossing pass decides
     return both.where("shingle is not null").select(*POSTED), stars.where("n * 8 >= least").select("a", "b")
 
 
-POSTED, STAR = ("shingle", "name", "size", "place"), ("a", "b", "n", "least")
+POSTED, STAR = ("shingle", "name", "size", "place", "reach"), ("a", "b", "n", "least")
+
+
+def _reach(members: np.ndarray) -> int:
+    """32 * (members of a prefix up to its last mark) + (marks it reaches)."""
+    marks = int(np.searchsorted(MARKS, members[-1], side="right"))
+    return 32 * int(np.searchsorted(members, MARKS[marks - 1], side="right")) + marks if marks else 0
 
 
 def _rows(names: tuple[str, ...], *columns: np.ndarray) -> pa.RecordBatch:
@@ -303,34 +315,57 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def _meetings(starts: np.ndarray, ends: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of one list, of different groups and with sizes that may link, in blocks.
+
+    The largest group of a list is not held against itself."""
+    left, right, held = [], [], 0
+    for lo, hi in zip(starts, ends, strict=True):
+        order = lo + np.argsort(size[lo:hi], kind="stable")
+        sizes, groups = size[order], part[order]
+        values, counts = np.unique(groups, return_counts=True)
+        largest = values[np.argmax(counts)]
+        others = np.flatnonzero(groups != largest)
+        low = np.searchsorted(sizes, -(-sizes[others] * percent // 100))
+        n = np.searchsorted(sizes, sizes[others] * 100 // percent, side="right") - low
+        ahead = np.concatenate(([0], np.cumsum(n)))
+        a = 0
+        while a < len(others):
+            z = max(a + 1, int(np.searchsorted(ahead, ahead[a] + _PAIRS, side="right")) - 1)
+            i = np.repeat(others[a:z], n[a:z])
+            j = np.arange(len(i)) + np.repeat(low[a:z] - ahead[a:z] + ahead[a], n[a:z])
+            apart = (groups[i] != groups[j]) & ((groups[j] == largest) | (j > i))
+            left.append(order[i[apart]])
+            right.append(order[j[apart]])
+            held += len(left[-1])
+            a = z
+            if held >= _PAIRS:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
 def cross_pairs(posted: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     """a, b of different groups that may still link."""
-    grouped = posted.join(groups.select(F.col("node").alias("name"), "component"), "name", "left").select("shingle", "name", "size", "place", F.coalesce("component", "name").alias("part"))
+    upto = F.expr("shiftright(reach, 5)")
+    grouped = posted.join(groups.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("part", F.coalesce("component", "name"))
+    after = Window.partitionBy("name").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    posted_after = F.coalesce(F.sum((F.col("place") < upto).cast("long")).over(after), F.lit(0))
+    grouped = grouped.select("shingle", "name", "size", "place", "part", (F.greatest(upto - F.col("place") - 1, F.lit(0)) - posted_after).alias("own"), F.expr("reach & 31").alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, name, size, place, part in _by_shingle(batches):
+        for shingle, name, size, place, part, own, marks in _by_shingle(batches):
             first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
             ends = np.append(first[1:], len(shingle))
             mixed = np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
-            left, right = [], []
-            for lo, hi in zip(first[mixed], ends[mixed], strict=True):
-                order = lo + np.argsort(size[lo:hi], kind="stable")
-                top = np.searchsorted(size[order], size[order] * 100 // s.percent, side="right")
-                n = np.maximum(top - np.arange(hi - lo) - 1, 0)
-                i = np.repeat(np.arange(hi - lo), n)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                i, j = order[i], order[j]
-                # were this the first shared member, all before it, and the excess of one rest over the other, would differ
-                differ = place[i] + place[j] + np.abs((size[i] - place[i]) - (size[j] - place[j]))
-                apart = (part[i] != part[j]) & (differ * (100 + s.percent) <= (100 - s.percent) * (size[i] + size[j]))
-                i, j = i[apart], j[apart]
-                left.append(i)
-                right.append(j)
-            if not left:
-                continue
-            i, j = np.concatenate(left), np.concatenate(right)
-            pair = np.unique(np.stack((np.minimum(name[i], name[j]), np.maximum(name[i], name[j]))), axis=1)
-            yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+            for i, j in _meetings(first[mixed], ends[mixed], size, part, s.percent):
+                # were this the first shared member, they would share no more than their rests, without what is in one alone
+                most = np.minimum(size[i] - place[i] - np.where(marks[i] <= marks[j], own[i], 0), size[j] - place[j] - np.where(marks[j] <= marks[i], own[j], 0))
+                near = links(most, size[i], size[j], s.percent)
+                a, b = name[i[near]], name[j[near]]
+                pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+                yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
 
     parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = grouped.repartition(parts, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long")
