@@ -12,7 +12,8 @@ What is left are pairs of sets in different groups that share a prefix member.
 pair shares has before it only members in which the sets differ; as frequent members come last,
 these are most of the members in which they differ at all.  After it, members that no other set
 posts before a mark which both prefixes reach are differences too.  Pairs are met inside a task, in
-blocks of bounded size, and leave it only if both bounds allow a link.
+blocks of bounded size, and leave it only if both bounds allow a link, and only where neither of the
+last two posted members before says that they met there already.
 Of these the shared prefix members are counted, and what the count does not rule out is verified on
 the whole sets.  A link inside a group can change no component and is not looked for, so
 no list or group is ever expanded into all its pairs.
@@ -351,11 +352,14 @@ def cross_pairs(posted: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     upto = F.expr("shiftright(reach, 5)")
     grouped = posted.join(groups.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("part", F.coalesce("component", "name"))
     after = Window.partitionBy("name").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("name").orderBy("place")
     posted_after = F.coalesce(F.sum((F.col("place") < upto).cast("long")).over(after), F.lit(0))
-    grouped = grouped.select("shingle", "name", "size", "place", "part", (F.greatest(upto - F.col("place") - 1, F.lit(0)) - posted_after).alias("own"), F.expr("reach & 31").alias("marks"))
+    grouped = grouped.select("shingle", "name", "size", "place", "part", (F.greatest(upto - F.col("place") - 1, F.lit(0)) - posted_after).alias("own"), F.expr("reach & 31").alias("marks"), F.lag("shingle", 1).over(line).alias("last"), F.lag("shingle", 2).over(line).alias("second"))
+    # null where none is before; the shingle itself stands for that, as it cannot be before itself
+    grouped = grouped.withColumns({c: F.coalesce(c, "shingle") for c in ("last", "second")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, name, size, place, part, own, marks in _by_shingle(batches):
+        for shingle, name, size, place, part, own, marks, last, second in _by_shingle(batches):
             first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
             ends = np.append(first[1:], len(shingle))
             mixed = np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
@@ -363,7 +367,12 @@ def cross_pairs(posted: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
                 # were this the first shared member, they would share no more than their rests, without what is in one alone
                 most = np.minimum(size[i] - place[i] - np.where(marks[i] <= marks[j], own[i], 0), size[j] - place[j] - np.where(marks[j] <= marks[i], own[j], 0))
                 near = links(most, size[i], size[j], s.percent)
-                a, b = name[i[near]], name[j[near]]
+                i, j, here = i[near], j[near], shingle[i[near]]
+                met = np.zeros(len(i), bool)
+                for before in (last, second):
+                    met |= (before[i] != here) & ((before[i] == last[j]) | (before[i] == second[j]))
+                i, j = i[~met], j[~met]
+                a, b = name[i], name[j]
                 pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
                 yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
 
