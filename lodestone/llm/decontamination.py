@@ -1,10 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Method.  Words are runs of digits, letters and non-ASCII bytes, A-Z lower-cased.  A first pass counts
-in how many documents each word n-gram of the test items occurs.  An item's seeds are its rare
-n-grams: those in at most ``rare`` of the documents, and always its rarest half.  In a second pass
-every place of a document where a seed stands opens a window around the item's diagonal; the best
-local alignment there (match 2, other -1, gap -1) divided by twice the item's words is the score.
+in how many documents each word n-gram of the test items occurs.  In a second pass every place of a
+document where an n-gram of an item stands opens a window around the item's diagonal, one for all
+places of a document, item and range of diagonals; the best local alignment there (match 2, other -1,
+gap -1) divided by twice the item's words is the score.  The n-grams in at most ``rare`` of the
+documents are aligned at once.  A window of common n-grams alone is aligned if the item's words that
+it holds could reach the threshold, which no alignment that reaches it fails.
+
+Every n-gram is a seed: with a word put in after each two a copy scores 0.75 and keeps no three words,
+so no subset of an item's n-grams can be shown to be enough, however common the others are.  A window
+holds whatever an alignment of the threshold through its seed can span.  A copy that shares no n words
+in a row with its item is not looked for.
 
 Both passes are maps over whole texts.  The items' n-grams travel with the tasks, so items are taken
 in blocks of at most ``block_bytes`` of text: more items mean more passes, never a larger broadcast.
@@ -17,6 +24,7 @@ for each of its texts, the best score being returned.  An empty table gives no r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,12 +77,14 @@ class Items:
                     item.append(np.full(z - a - m + 1, i))
                     place.append(np.arange(z - a - m + 1))
                     size.append(np.full(z - a - m + 1, m))
+        self.pad = np.array([len(w) // 4 + 4 for w in self.words], dtype=np.int64)
         none = np.zeros(0, np.int64)
         self.keys, self.item, self.place, self.size = (np.concatenate([*x, none.astype(t)]) for x, t in ((keys, U64), (item, int), (place, int), (size, int)))
+        self.rare = np.ones(len(self.keys), dtype=bool)
 
-    def arranged(self, keep: np.ndarray | None = None) -> None:
+    def arranged(self, rare: np.ndarray | None = None) -> None:
         order = np.argsort(self.keys, kind="stable")
-        order = order if keep is None else order[keep[order]]
+        self.rare = self.rare if rare is None else rare[order]
         self.keys, self.item, self.place, self.size = self.keys[order], self.item[order], self.place[order], self.size[order]
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.keys >> U64(44)).astype(np.int64)] = True
@@ -94,6 +104,15 @@ class Items:
             yield doc[inside], near[inside], k[inside]
 
 
+def shared_words(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """At most so many of the item's words can match in each row of word hashes."""
+    own, times = np.unique(item, return_counts=True)
+    k = np.minimum(np.searchsorted(own, windows), len(own) - 1)
+    row, column = np.nonzero(own[k] == windows)
+    seen = np.bincount(row * len(own) + k[row, column], minlength=len(windows) * len(own)).reshape(len(windows), len(own))
+    return np.minimum(seen, times).sum(axis=1)
+
+
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(best local score, its last column) of the item against each row of word hashes (0: outside)."""
     rows, width = windows.shape
@@ -134,8 +153,8 @@ def matches(documents: DataFrame, items: DataFrame, settings: Settings = Setting
     return out if out is not None else documents.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, last_word long")
 
 
-def _seeds(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> np.ndarray:
-    """Which of the block's n-grams are seeds, from their counts over all documents."""
+def _rare(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> np.ndarray:
+    """Which of the block's n-grams are rare, from their counts over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows, s.n)
@@ -155,19 +174,15 @@ def _seeds(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> np
     total = df.pop(0, 0)
     items = Items(rows, s.n)
     counts = np.array([df.get(k, 0) for k in items.keys.view(np.int64).tolist()])
-    rank = np.empty(len(counts), dtype=np.int64)
-    order = np.lexsort((items.place, counts, items.item))
-    sizes = np.bincount(items.item, minlength=len(rows))
-    rank[order] = np.arange(len(order)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-    return (counts <= max(s.least_rare, s.rare * total)) | (rank * 2 < sizes[items.item])
+    return counts <= max(s.least_rare, s.rare * total)
 
 
 def _block(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> DataFrame:
-    seeds = _seeds(documents, rows, s)
+    rare = _rare(documents, rows, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(rows, s.n)
-        index.arranged(seeds)
+        index.arranged(rare)
         for b in batches:
             for lo, hi, data, off in chunks(b.column(1)):
                 best = _aligned(index, *hashes(data, off), s)
@@ -183,11 +198,11 @@ def drop_matches(documents: DataFrame, items: DataFrame, settings: Settings = Se
     columns = documents.columns
     at = columns.index("text")
     for rows in _blocks(items, settings.block_bytes):
-        seeds = _seeds(documents, rows, settings)
+        rare = _rare(documents, rows, settings)
 
-        def keep(batches: Iterator[pa.RecordBatch], rows: list = rows, seeds: np.ndarray = seeds) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], rows: list = rows, rare: np.ndarray = rare) -> Iterator[pa.RecordBatch]:
             index = Items(rows, settings.n)
-            index.arranged(seeds)
+            index.arranged(rare)
             for b in batches:
                 clean = np.ones(b.num_rows, dtype=bool)
                 for lo, _, data, off in chunks(b.column(at)):
@@ -200,25 +215,37 @@ def drop_matches(documents: DataFrame, items: DataFrame, settings: Settings = Se
 
 def _aligned(index: Items, h: np.ndarray, by: np.ndarray, s: Settings) -> dict[tuple[int, int], tuple[float, int]]:
     """(document of the chunk, item id) to (score, last word) for what reaches the threshold."""
-    spots: dict[int, set] = {}
+    parts = []
     for doc, at, k in index.look_up(h, by, s.n):
         last = np.searchsorted(index.keys, index.keys[k], side="right")
         n = last - k
         entry = np.repeat(k - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item, diagonal = index.item[entry], np.repeat(at, n) - index.place[entry]
-        pad = np.array([len(w) for w in index.words])[item] // 4 + 4
-        for i, d, q in set(zip(item.tolist(), np.repeat(doc, n).tolist(), (diagonal // pad).tolist(), strict=True)):
-            spots.setdefault(i, set()).add((d, q))
+        item = index.item[entry]
+        parts.append(np.stack((item, np.repeat(doc, n), (np.repeat(at, n) - index.place[entry]) // index.pad[item], ~index.rare[entry])))
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    for i, found in spots.items():
-        item = index.words[i]
-        pad = len(item) // 4 + 4
-        listed = sorted(found)
-        for part in range(0, len(listed), 256):
-            d, q = (np.array(x) for x in zip(*listed[part : part + 256], strict=True))
-            place = (q * pad - pad)[:, None] + np.arange(len(item) + 3 * pad)[None, :]
+    spots = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+    spots = spots[:, np.lexsort(spots[::-1])]
+    if not spots.shape[1]:
+        return best
+    spots = spots[:, np.concatenate(([True], (spots[:3, 1:] != spots[:3, :-1]).any(axis=0)))]
+    cuts = np.flatnonzero(np.diff(spots[0])) + 1
+    for a, z in zip([0, *cuts], [*cuts, spots.shape[1]], strict=True):
+        i = int(spots[0, a])
+        item, pad = index.words[i], int(index.pad[i])
+        reach = math.ceil(2 * len(item) * (1 - s.threshold))  # more insertions than this cost too much
+        width = len(item) + pad + 2 * reach
+        step = max(1, min(256, (1 << 20) // width))
+        for part in range(a, z, step):
+            _, d, q, common = spots[:, part : min(z, part + step)]
+            place = (q * pad - reach)[:, None] + np.arange(width)[None, :]
             inside = (place >= by[d][:, None]) & (place < by[d + 1][:, None])
-            value, end = align(item, np.where(inside, h[np.where(inside, place, 0)], U64(0)))
+            windows = np.where(inside, h[np.where(inside, place, 0)], U64(0))
+            if common.any():
+                ok = (common == 0) | (shared_words(item, windows) >= s.threshold * len(item))
+                d, place, windows = d[ok], place[ok], windows[ok]
+            if not len(d):
+                continue
+            value, end = align(item, windows)
             share = value / (2 * len(item))
             for k in np.flatnonzero(share >= s.threshold):
                 key, now = (int(d[k]), index.ids[i]), (float(share[k]), int(place[k, end[k]] - by[d[k]]))

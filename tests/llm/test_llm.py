@@ -174,6 +174,29 @@ def test_decontamination(spark):
     assert decontamination.matches(d, b.where("false")).count() == 0 and decontamination.matches(d.where("false"), b).count() == 0
 
 
+def test_decontamination_of_hot_items(spark):
+    words = [f"q{i}" for i in range(40)]
+    first, second = [" ".join("zz" if i % 3 == 2 and half(i) else w for i, w in enumerate(words)) for half in (lambda i: i < 24, lambda i: i >= 16)]
+    wide = " ".join(w + " zz" * (2 * (i % 3 == 2)) for i, w in enumerate(words))
+    item, stray = " ".join(words), "aa bb q3 q4 q5 cc " + "dd " * 90
+    d = spark.createDataFrame([(i, item) for i in range(60)] + [(100, first), (101, second), (102, wide), (103, stray), (104, f"{stray} {first}")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontamination.matches(d, b).collect()}
+
+    def aligned(text):
+        t, best, above = text.split(), 0, [0] * (len(text.split()) + 1)
+        for w in words:
+            row = [0]
+            for j, x in enumerate(t):
+                row.append(max(0, above[j] + (2 if x == w else -1), above[j + 1] - 1, row[-1] - 1))
+            best, above = max(best, *row), row
+        return best / (2 * len(words))
+
+    want = {r.doc_id: aligned(r.text) for r in d.collect()}
+    assert got == {i: s for i, s in want.items() if s >= 0.5} and {100, 101, 102, 104} < set(got) and 103 not in got
+    assert [r.doc_id for r in decontamination.drop_matches(d, b).collect()] == [103]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((30, 16))
