@@ -2,13 +2,13 @@
 
 Method.  The templates' words form a small inverted index: word to postings (template, position).
 A first pass counts in how many documents each of those words occurs and so gives its IDF.  In a
-second pass a file's licence words are looked up; for each template the file's highest-IDF word of
-it is the anchor, each anchor occurrence less its posting's position is a candidate start, and the
-template is laid there: its words' IDF that agree, by relative position, give the score.  A
-candidate counts if the template's mandatory key phrase stands there whole and the score reaches
-the template's least value (1 for base phrases, so these are exact).
+second pass a file's licence words are looked up; for each template the highest-IDF word of its
+mandatory key phrase is the anchor, each of its occurrences less its position is a candidate start,
+and the template is laid there: its words' IDF that agree, by relative position, give the score.  A
+candidate counts if the key phrase stands there whole and the score reaches the template's least
+value (1 for base phrases, so these are exact).
 
-For an exact phrase the anchor is always the phrase's highest-IDF word, present at every place.
+The anchor stands at every place that can count, as the key phrase does.
 The index is fixed by the templates and travels with the task; both passes are maps over whole
 texts; only counts by template word are shuffled.
 
@@ -91,16 +91,10 @@ class Index:
         doc = np.searchsorted(by, hits, side="right") - 1
         code = codes[hits]
         for t, (template, own) in enumerate(zip(self.templates, self.coded, strict=True)):
-            anchored = np.zeros(len(by) - 1, dtype=bool)
-            at, where = [], []
-            for w in sorted(set(own.tolist()), key=lambda w: (-self.idf[w], w)):
-                pick = (code == w) & ~anchored[doc]
-                for p in np.flatnonzero(own == w):
-                    at.append(hits[pick] - p)
-                    where.append(doc[pick])
-                anchored[doc[pick]] = True
-            start, d = np.concatenate(at), np.concatenate(where)
             low, high = self.keys[t]
+            anchor = max(range(low, high), key=lambda p: self.idf[own[p]])
+            pick = code == own[anchor]
+            start, d = hits[pick] - anchor, doc[pick]
             ok = (start + low >= by[d]) & (start + high <= by[d + 1])
             start, d = start[ok], d[ok]
             for p in range(low, high):
@@ -115,8 +109,7 @@ class Index:
                 got += np.where(inside & (codes[np.where(inside, x, 0)] == w), self.idf[w], 0.0)
             got = np.minimum(got / self.idf[own].sum(), 1.0)
             ok = got >= template.least - 1e-9
-            key = np.unique(np.stack((d[ok], start[ok])), axis=1, return_index=True)[1] if ok.any() else np.zeros(0, np.int64)
-            yield t, d[ok][key], start[ok][key], got[ok][key]
+            yield t, d[ok], start[ok], got[ok]
 
 
 def idf(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:

@@ -132,6 +132,16 @@ def test_licenses(docs, empty):
     assert "mit" in got[14].labels and licenses.scan(empty).count() == 0
 
 
+def test_license_with_a_stray_rare_word(spark):
+    edited = "Permission is hereby granted, free of charge, to any person acquiring a copy"
+    common = " ".join(w for w in edited.lower().replace(",", "").split() if w != "acquiring")
+    stray = " plain prose" * 300 + " obtaining it"
+    rows = [(0, edited), (1, edited + stray), (2, stray + " " + edited), (3, stray)] + [(i, common) for i in range(10, 60)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(4)] == ["mit", "mit", "mit", ""]
+    assert got[0].score == got[1].score == got[2].score > 0.7 and got[3].score == 0
+
+
 def test_language_model(spark, docs, empty):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     train = docs.where("doc_id <> 8 and doc_id <> 6").select("text")
