@@ -74,24 +74,38 @@ class Sequence:
         word = np.searchsorted(self.zeros, h, side="right") - 1
         return word * 64 + _in_word(~self.high[word], h - self.zeros[word]) - h
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The index of each value, -1 where it is not in the sequence."""
-        h, want = (x >> U64(self.bits)).astype(np.int64), x & U64((1 << self.bits) - 1)
-        end = self._ends(h)
-        start = np.where(h > 0, self._ends(np.maximum(h - 1, 0)), 0)
-        lo, hi = start.copy(), end.copy()
+    @staticmethod
+    def _least(value, want: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The first index of each range whose value is not below the wanted one, or the range's end."""
+        lo, hi = lo.copy(), hi.copy()
         live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
-            less = self.lows(mid) < want[live]
+            less = value(mid) < want[live]
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
-        ok = lo < end
-        at = np.where(ok, lo, 0)
-        hit = ok.copy()
-        hit[ok] = self.lows(at[ok]) == want[ok]
-        return np.where(hit, at, -1)
+        return lo
+
+    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """The index of each value, within its range from lo to hi if given; -1 where it is not there."""
+        out = np.full(len(x), -1, dtype=np.int64)
+        lo = np.zeros(len(x), dtype=np.int64) if lo is None else lo
+        hi = np.full(len(x), self.n, dtype=np.int64) if hi is None else hi
+        wide = hi - lo > 4  # by high part; the values of short ranges are compared whole
+        for value, at in ((self.access, np.flatnonzero(~wide)), (self.lows, np.flatnonzero(wide))):
+            if not len(at):
+                continue
+            want, start, end = x[at], lo[at], hi[at]
+            if value == self.lows:
+                h = np.minimum((want >> U64(self.bits)).astype(np.int64), int(self.zeros[-1]) - 1)
+                want = want & U64((1 << self.bits) - 1)
+                start, end = np.maximum(start, np.where(h > 0, self._ends(np.maximum(h - 1, 0)), 0)), np.minimum(end, self._ends(h))
+            place = self._least(value, want, start, end)
+            k = np.flatnonzero(place < end)
+            k = k[value(place[k]) == want[k]]
+            out[at[k]] = place[k]
+        return out
 
 
 def _filesystem(uri: str):

@@ -161,6 +161,39 @@ def test_language_model(spark, docs, empty):
     assert none.total == 0 and language_model.score(docs, none).count() == len(TEXTS) + 1
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_of_higher_order(spark, docs, order):
+    rows = [(100 + i, " ".join(f"t{(i * j * j + k) % 7}" for j in range(60))) for i in range(40) for k in (0, 1)] + [(200, "t1 t2 new t3 t4 t5"), (201, "t6")]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    train = d.where("doc_id <> 8 and doc_id <> 6 and doc_id % 5 <> 1")
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD)) + [None]
+    seen = Counter()
+    for r in train.collect():
+        t = split(r.text)
+        seen.update((w,) for w in t)
+        t = [None, *t]
+        seen.update(tuple(t[k - m + 1 : k + 1]) for m in range(2, order + 1) for k in range(m - 1, len(t)))
+    n, v = sum(c for g, c in seen.items() if len(g) == 1), sum(len(g) == 1 for g in seen)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (seen[gram] + 1) / (n + v + 1)
+        return (seen[gram] + 4 * p(gram[1:])) / (seen[gram[:-1]] + 4)
+
+    model = language_model.train(train.select("text"), order=order)
+    assert len(model.levels) == order - 1 and [x.base[-1] for x in model.levels] == [sum(len(g) == m for g in seen) for m in range(2, order + 1)]
+    assert model.levels[1].width < model.distinct
+    got, high, low = {}, 0, 0
+    for r in language_model.score(d, model).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    for r in d.collect():
+        t = [None, *split(r.text)]
+        want = sum(np.log10(p(tuple(t[max(0, k - order + 1) : k + 1]))) for k in range(1, len(t)))
+        assert min(abs(s - want) for s in got[r.doc_id]) <= 0.0251 * (order - 1) * (len(t) - 1)
+        high, low = high + want, low + sum(np.log10(p(tuple(t[k - 1 : k + 1]))) for k in range(1, len(t)))
+    assert high > low
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, universe in ((0, 5), (1, 1), (500, 700), (300, 1 << 40)):
