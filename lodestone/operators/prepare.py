@@ -86,8 +86,16 @@ def chunk_id(doc: Column, chunker: str, ordinal: Column, start: Column, end: Col
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """One row: pieces, tokens, median, nearest-rank p95 and largest token count."""
     n = F.col("tokens")
-    rank = F.greatest(F.ceil(F.count(n) * 0.95), F.lit(1))
-    return chunks.agg(F.count(n).alias("pieces"), F.sum(n).alias("tokens"), F.median(n).alias("median_tokens"), F.element_at(F.sort_array(F.collect_list(n)), rank.cast("int")).alias("p95_tokens"), F.max(n).alias("largest"))
+    counts = chunks.groupBy(n).agg(F.count(n).alias("c"))  # a row for each token count
+    total = counts.agg(F.sum("c").alias("pieces"), F.sum(n * F.col("c")).alias("tokens"), F.max(n).alias("largest"))
+    # the pieces of at most each token count; the value at a rank is the least token count that reaches it
+    upto = F.sum("c").over(Window.orderBy("tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ran = counts.where(n.isNotNull()).select(n.alias("value"), upto.alias("upto")).crossJoin(F.broadcast(total))
+    pieces = F.col("pieces")
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("value")))
+    middle = (at(F.floor((pieces + 1) / 2)) + at(F.floor((pieces + 2) / 2))) / 2
+    ranks = ran.agg(middle.alias("median_tokens"), at(F.greatest(F.ceil(pieces * 0.95), F.lit(1))).alias("p95_tokens"))
+    return total.crossJoin(F.broadcast(ranks)).select(F.coalesce("pieces", F.lit(0).cast("long")).alias("pieces"), "tokens", "median_tokens", "p95_tokens", "largest")
 
 
 def coverage(chunks: DataFrame) -> DataFrame:

@@ -43,6 +43,15 @@ def test_tiers(spark):
     assert [r[0] for r in got] == ["exact", "normalized", "reworded", None, None]
 
 
+@pytest.mark.parametrize("counts", [[], [None], [7], [3, 1], [5, 5, 2, 9, None], [(i * 37) % 512 + 1 for i in range(1001)], [1] * 19 + [8], [1] * 18 + [8, 8]])
+def test_chunk_stats(spark, counts):
+    got = P.chunk_stats(spark.createDataFrame([(c,) for c in counts], "tokens long"))
+    n = sorted(c for c in counts if c is not None)
+    want = (len(n), sum(n), (n[(len(n) - 1) // 2] + n[len(n) // 2]) / 2, n[max(math.ceil(len(n) * 0.95), 1) - 1], n[-1]) if n else (0, None, None, None, None)
+    assert [tuple(r) for r in got.collect()] == [want]
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_ranking_reply(spark):
     df = spark.createDataFrame([("2, then 0 and 2; 99999999999",), ("",)], "r string")
     assert [r[0] for r in df.select(T.parse_order(F.col("r"), F.lit(4))).collect()] == [[2, 0, 1, 3], [0, 1, 2, 3]]
