@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bytetext import U64, WHITE, Hasher, chunks, mix, words
 from lodestone.llm.elias_fano import from_planes, planes
-from lodestone.llm.shared import components, stored, table
+from lodestone.llm.shared import components, stored, table, unused
 
 _TOP = U64(1 << 63)
 # marks in the order of shingles; most prefixes end between the same two
@@ -106,6 +106,11 @@ def links(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return 100 * shared >= percent * (a + b - shared)
 
 
+def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """How many members sets of a and b members share at least if they link."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def documents_sets(documents: DataFrame, s: Settings) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, name of every row; the shingles to put last)."""
 
@@ -272,26 +277,47 @@ def sets_of(documents: DataFrame, named: DataFrame, s: Settings, frequent: np.nd
     return hashed.mapInArrow(run, "name long, members binary").join(named.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
 
 
-def verified(documents: DataFrame, pairs: DataFrame, s: Settings, frequent: np.ndarray) -> DataFrame:
-    """The rows (a, b) of pairs whose sets link."""
+def compared(documents: DataFrame, pairs: DataFrame, s: Settings, frequent: np.ndarray) -> DataFrame:
+    """(a, b, link) of pairs(a, b, refers), and where refers, with a the reference of b, also: held = |a|, dp and dm =
+    how many members b has more and lacks, short = how long a prefix of these differences serves for partners that
+    do not link with a, and the prefix that b posts, members more first."""
     sets = stored(sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("name")), s, frequent), "members")
-    both = pairs.select("a", "b").join(sets.withColumnRenamed("name", "b").withColumnRenamed("members", "y"), "b").join(sets.withColumnRenamed("name", "a").withColumnRenamed("members", "x"), "a")
+    both = pairs.join(sets.withColumnRenamed("name", "b").withColumnRenamed("members", "y"), "b").join(sets.withColumnRenamed("name", "a").withColumnRenamed("members", "x"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(p) > len(q):
-                    p, q = q, p
-                shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(bool(100 * shared >= s.percent * (len(p) + len(q) - shared)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+            link, rows = [], []
+            for x, y, refers in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                h, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                more = h[np.minimum(np.searchsorted(h, q), len(h) - 1)] != q
+                shared = len(q) - int(more.sum())
+                link.append(bool(links(shared, len(h), len(q), s.percent)))
+                if not refers:
+                    rows.append((None,) * 5)
+                    continue
+                less = h[q[np.minimum(np.searchsorted(q, h), len(q) - 1)] != h]
+                dp, dm = len(q) - shared, len(less)
+                short = dp + dm - (s.percent * dp + 100 * dm) // (100 + s.percent)
+                longer = short if link[-1] else max(short, dp + dm - (needed(len(q), len(h), s.percent) - shared) + 1)
+                rows.append((len(h), dp, dm, short, np.concatenate((q[more], less))[:longer].tobytes()))
+            numbers = {c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("held", "dp", "dm", "short"))}
+            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1), "link": pa.array(link, pa.bool_()), **numbers, "differences": pa.array([r[4] for r in rows], pa.binary())})
+
+    return both.select("a", "b", "x", "y", "refers").mapInArrow(run, "a long, b long, link boolean, held long, dp long, dm long, short long, differences binary")
+
+
+def references(stars: DataFrame) -> DataFrame:
+    """(name, ref) of every set of stars(a, b): the set of most pairs among those it met and itself, then that one's own, twice."""
+    both = stars.select(F.col("a").alias("name"), F.col("b").alias("other")).unionByName(stars.select(F.col("b").alias("name"), F.col("a").alias("other")))
+    degree = stored(both.groupBy("name").agg(F.count("*").alias("pairs")), "degrees")
+    seen = both.join(degree.withColumnRenamed("name", "other"), "other").unionByName(degree.select(F.col("name").alias("other"), "name", "pairs"))
+    ref = stored(seen.groupBy("name").agg(F.max(F.struct("pairs", "other")).alias("top")).select("name", F.col("top.other").alias("ref")), "references")
+    for _ in range(2):
+        ref = stored(ref.join(ref.select(F.col("name").alias("ref"), F.col("ref").alias("next")), "ref").select("name", F.col("next").alias("ref")), "references")
+    return ref
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Whole lists of rows sorted by the first column, many at a time."""
     held: list[pa.RecordBatch] = []
     for b in _and_none(batches):
@@ -317,16 +343,16 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _meetings(starts: np.ndarray, ends: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of one list, of different groups and with sizes that may link, in blocks.
+    """Rows (i, j) of one list, of different parts and with sizes that may link, in blocks.
 
-    The largest group of a list is not held against itself."""
+    The largest part of a list is not held against itself."""
     left, right, held = [], [], 0
     for lo, hi in zip(starts, ends, strict=True):
         order = lo + np.argsort(size[lo:hi], kind="stable")
-        sizes, groups = size[order], part[order]
-        values, counts = np.unique(groups, return_counts=True)
+        sizes, parts = size[order], part[order]
+        values, counts = np.unique(parts, return_counts=True)
         largest = values[np.argmax(counts)]
-        others = np.flatnonzero(groups != largest)
+        others = np.flatnonzero(parts != largest)
         low = np.searchsorted(sizes, -(-sizes[others] * percent // 100))
         n = np.searchsorted(sizes, sizes[others] * 100 // percent, side="right") - low
         ahead = np.concatenate(([0], np.cumsum(n)))
@@ -335,7 +361,7 @@ def _meetings(starts: np.ndarray, ends: np.ndarray, size: np.ndarray, part: np.n
             z = max(a + 1, int(np.searchsorted(ahead, ahead[a] + _PAIRS, side="right")) - 1)
             i = np.repeat(others[a:z], n[a:z])
             j = np.arange(len(i)) + np.repeat(low[a:z] - ahead[a:z] + ahead[a], n[a:z])
-            apart = (groups[i] != groups[j]) & ((groups[j] == largest) | (j > i))
+            apart = (parts[i] != parts[j]) & ((parts[j] == largest) | (j > i))
             left.append(order[i[apart]])
             right.append(order[j[apart]])
             held += len(left[-1])
@@ -347,60 +373,74 @@ def _meetings(starts: np.ndarray, ends: np.ndarray, size: np.ndarray, part: np.n
         yield np.concatenate(left), np.concatenate(right)
 
 
-def cross_pairs(posted: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
-    """a, b of different groups that may still link."""
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+    return pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+
+
+def _mixed_lists(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lists begin and end that hold more than one part."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    ends = np.append(first[1:], len(key))
+    mixed = np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
+    return first[mixed], ends[mixed]
+
+
+def cross_pairs(posted: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """a, b of different references and groups that may still link; known(name, ref, part)."""
     upto = F.expr("shiftright(reach, 5)")
-    grouped = posted.join(groups.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("part", F.coalesce("component", "name"))
+    grouped = posted.join(known, "name", "left").withColumns({c: F.coalesce(c, "name") for c in ("ref", "part")})
     after = Window.partitionBy("name").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
     line = Window.partitionBy("name").orderBy("place")
     posted_after = F.coalesce(F.sum((F.col("place") < upto).cast("long")).over(after), F.lit(0))
-    grouped = grouped.select("shingle", "name", "size", "place", "part", (F.greatest(upto - F.col("place") - 1, F.lit(0)) - posted_after).alias("own"), F.expr("reach & 31").alias("marks"), F.lag("shingle", 1).over(line).alias("last"), F.lag("shingle", 2).over(line).alias("second"))
+    grouped = grouped.select("shingle", "name", "size", "place", "part", "ref", (F.greatest(upto - F.col("place") - 1, F.lit(0)) - posted_after).alias("own"), F.expr("reach & 31").alias("marks"), F.lag("shingle", 1).over(line).alias("last"), F.lag("shingle", 2).over(line).alias("second"))
     # null where none is before; the shingle itself stands for that, as it cannot be before itself
     grouped = grouped.withColumns({c: F.coalesce(c, "shingle") for c in ("last", "second")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, name, size, place, part, own, marks, last, second in _by_shingle(batches):
-            first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
-            ends = np.append(first[1:], len(shingle))
-            mixed = np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
-            for i, j in _meetings(first[mixed], ends[mixed], size, part, s.percent):
+        for shingle, name, size, place, part, ref, own, marks, last, second in _by_key(batches):
+            for i, j in _meetings(*_mixed_lists(shingle, ref), size, ref, s.percent):
                 # were this the first shared member, they would share no more than their rests, without what is in one alone
                 most = np.minimum(size[i] - place[i] - np.where(marks[i] <= marks[j], own[i], 0), size[j] - place[j] - np.where(marks[j] <= marks[i], own[j], 0))
-                near = links(most, size[i], size[j], s.percent)
+                near = links(most, size[i], size[j], s.percent) & (part[i] != part[j])
                 i, j, here = i[near], j[near], shingle[i[near]]
                 met = np.zeros(len(i), bool)
                 for before in (last, second):
                     met |= (before[i] != here) & ((before[i] == last[j]) | (before[i] == second[j]))
-                i, j = i[~met], j[~met]
-                a, b = name[i], name[j]
-                pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-                yield pa.record_batch({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+                yield _pairs(name[i[~met]], name[j[~met]])
 
     parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = grouped.repartition(parts, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long")
-    return counted(stored(found.distinct(), "met"), posted, s)
+    return grouped.repartition(parts, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
 
 
-def counted(pairs: DataFrame, posted: DataFrame, s: Settings) -> DataFrame:
-    """The rows (a, b) of pairs whose shared prefix members do not rule a link out."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    own = posted.join(names, "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_list("shingle")).alias("members"), F.max("size").alias("size"))
-    own = stored(own, "prefixes")
-    side = lambda c: own.select(F.col("name").alias(c), F.col("members").alias(f"m{c}"), F.col("size").alias(f"n{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb", "na", "nb")
+def difference_pairs(differences: DataFrame, s: Settings) -> DataFrame:
+    """a, b of one reference and different groups that may still link, from lists of differences alone.
+
+    differences(ref, name, part, link, held, dp, dm, short, differences), link: name links with ref."""
+    values = ("key", "name", "part", "place", "held", "dp", "dm", "link", "serves")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [np.frombuffer(x, U64) for x in b.column(8).to_pylist()]
+            n = np.array([len(x) for x in lists])
+            ref, name, part, link, held, dp, dm, short = (np.repeat(b.column(k).cast(pa.int64()).to_numpy(), n) for k in range(8))
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            key = mix(mix(np.concatenate([*lists, np.zeros(0, U64)])) + mix(ref.view(U64)) + (place >= dp).astype(U64)).view(np.int64)
+            yield pa.record_batch(dict(zip(values, (pa.array(x) for x in (key, name, part, place, held, dp, dm, link, (place < short).astype(np.int64))), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                p, q = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
-                shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                # beyond the nearer end of the two prefixes they share at most the larger rest
-                most = min(n, m, shared + max(n - prefix(n, s.percent), m - prefix(m, s.percent)))
-                keep.append(100 * most >= s.percent * (n + m - most))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for key, name, part, place, held, dp, dm, link, serves in _by_key(batches):
+            size = held - dm + dp
+            for i, j in _meetings(*_mixed_lists(key, part), size, part, s.percent):
+                # what they share of the reference, and so how many differences they must share
+                must = needed(size[i], size[j], s.percent) - (held[i] - dm[i] - dm[j])
+                rest = np.minimum(dp[i] + dm[i] - place[i], dp[j] + dm[j] - place[j])
+                near = (rest >= must) & ((link[i] + link[j] == 1) | (serves[i] + serves[j] == 2)) & (link[i] + link[j] < 2)
+                yield _pairs(name[i[near]], name[j[near]])
 
-    return both.mapInArrow(run, "a long, b long")
+    parts = int(differences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = differences.select("ref", "name", "part", "link", "held", "dp", "dm", "short", "differences").mapInArrow(post, ", ".join(f"{c} long" for c in values))
+    return posted.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -408,10 +448,20 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     s = settings
     rows, frequent = documents_sets(documents, s)
     posted, stars = postings(documents, s, frequent)
-    first = stored(verified(documents, stored(stars, "stars"), s, frequent), "links")
+    stars = stored(stars, "stars")
+    refs = references(stars)
+    refers = refs.where("name <> ref").select(F.col("ref").alias("a"), F.col("name").alias("b"), F.lit(True).alias("refers"))
+    known_pairs = refers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    asked = stored(stars.join(known_pairs, ["a", "b"], "left_anti").withColumn("refers", F.lit(False)).unionByName(refers), "asked")
+    told = stored(compared(documents, asked, s, frequent), "compared")
+    first = told.where("link").select("a", "b")
     groups = stored(components(first), "groups")
-    more = stored(cross_pairs(posted, groups, s), "crossing")
-    second = stored(verified(documents, more, s, frequent), "links")
+    known = stored(refs.join(groups.withColumnRenamed("node", "name"), "name", "left").select("name", "ref", F.coalesce("component", "name").alias("part")), "known")
+    # a reference that links with all that refer to it leaves nothing to look for among these
+    open_refs = told.where("held is not null and not link").select("a").distinct()
+    differences = told.where("held is not null").join(open_refs, "a", "left_semi").withColumnsRenamed({"a": "ref", "b": "name"}).join(known.select("name", "part"), "name")
+    more = stored(cross_pairs(posted, known, s).unionByName(difference_pairs(differences, s)), "crossing").withColumn("refers", F.lit(False))
+    second = stored(compared(documents, more, s, frequent).where("link").select("a", "b"), "links")
     whole = components(first.unionByName(second)) if second.head(1) else groups
     named = rows.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("least")).join(whole.withColumnRenamed("node", "name"), "name", "left")
     named = stored(named.select("name", "least", F.coalesce("component", "name").alias("component")), "named")
@@ -425,9 +475,10 @@ def keep_first(documents: DataFrame, settings: Settings = Settings()) -> DataFra
     shingles or without an id.  Of rows that repeat an id that stays, one stays."""
     found = stored(join(documents, settings), "components")
     stay = found.where((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
-    stay = stay.groupBy("doc_id").count()
-    kept = documents.join(stay.select(F.col("doc_id").alias("stay")), documents["doc_id"].eqNullSafe(F.col("stay")), "left_semi")
-    if not stay.where("count > 1 and doc_id is not null").head(1):
+    own = unused("stay", documents)
+    stay = stay.groupBy(F.col("doc_id").alias(own)).count()
+    kept = documents.join(stay.select(own), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    if not stay.where(F.col("count") > 1).where(F.col(own).isNotNull()).head(1):
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
