@@ -18,9 +18,9 @@ like others, each row as a document.  Very long documents are cut.  An empty tab
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from lodestone.llm.bytetext import chunks
 from lodestone.llm.shared import stored, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_TAIL = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+_TAIL = r"^(?P<word>[a-z]+)(?P<signs>[!-&(-/:-@\[-`{-~]+)$"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -54,32 +54,38 @@ class Encoder:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks = [t.content for t in self.full.get_added_tokens_decoder().values()]
 
-    def _plain(self, words: list[str]) -> list[np.ndarray]:
-        joined = [" ".join(words[i : i + 512]) for i in range(0, len(words), 512)]
-        ids = [np.array(e.ids, dtype=np.int32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)]
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return np.split(flat, np.flatnonzero(self.last[flat])[:-1] + 1) if len(words) else []
-
-    def of_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; a word holds no space or newline and no A-Z."""
-        simple: dict[str, int] = {}
-        others: dict[str, int] = {}
-        plan: list[tuple] = []
-        for w in words:
-            if w.isascii():
-                if w.isalpha():
-                    plan.append((simple.setdefault(w, len(simple)), -1))
-                elif m := _TAIL.fullmatch(w):
-                    plan.append((simple.setdefault(m[1], len(simple)), others.setdefault(m[2], len(others))))
-                else:
-                    plan.append((-1, others.setdefault(w, len(others))))
-            elif w.isalpha() and max(w) < "ɐ" and w == w.lower():
-                plan.append((simple.setdefault(w, len(simple)), -1))
-            else:
-                plan.append((-1, others.setdefault(w, len(others))))
-        a = self._plain(list(simple))
-        b = [np.array(e.ids, dtype=np.int32) for e in self.full.encode_batch_fast(list(others), add_special_tokens=False)]
-        return [a[i] if j < 0 else b[j] if i < 0 else np.concatenate((a[i], b[j])) for i, j in plan]
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of plain words end to end, how many each has)."""
+        each = words.to_pylist()
+        joined = [" ".join(each[i : i + 512]) for i in range(0, len(each), 512)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)), np.int32)
+        return flat, np.diff(np.flatnonzero(self.last[flat]) + 1, prepend=0)
+
+    def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that need the whole tokenizer."""
+        ids = [e.ids for e in self.full.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin and number of the two runs of ids of each word, a row each); a word holds no space or newline
+        and no A-Z.  The first run is of a plain word, the second of signs after it or of any other word."""
+        alone = pc.match_substring_regex(words, "^[a-z]+$")
+        # letters that the tokenizer's normaliser leaves as they are
+        wide = pc.and_(pc.and_(pc.utf8_is_alpha(words), pc.match_substring_regex(words, r"^[\x{0}-\x{24f}]+$")), pc.equal(words, pc.utf8_lower(words)))
+        plain = pc.or_(alone, wide)
+        parted = pc.extract_regex(words, _TAIL)
+        tailed = pc.and_(parted.is_valid(), pc.invert(plain))
+        missing = pa.scalar(None, words.type)
+        first = pc.if_else(plain, words, pc.if_else(tailed, pc.struct_field(parted, "word"), missing)).dictionary_encode()
+        second = pc.if_else(plain, missing, pc.if_else(tailed, pc.struct_field(parted, "signs"), words)).dictionary_encode()
+        a, n = self._plain(first.dictionary)
+        b, m = self._whole(second.dictionary)
+        runs = np.zeros((len(words), 4), dtype=np.int64)
+        for k, (coded, sizes, base) in enumerate(((first, n, 0), (second, m, len(a)))):
+            at = np.flatnonzero(coded.is_valid().to_numpy(zero_copy_only=False))
+            index = coded.indices.drop_null().to_numpy()
+            runs[at, 2 * k], runs[at, 2 * k + 1] = (np.cumsum(sizes) - sizes + base)[index], sizes[index]
+        return np.concatenate((a, b)), runs[:, ::2], runs[:, 1::2]
 
     def of_texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets by text), each text's ids followed by the end token."""
@@ -89,15 +95,11 @@ class Encoder:
         whole = {i: np.array(self.full.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.int32) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
         parts = pc.split_pattern(pc.replace_substring(pc.ascii_lower(pc.if_else(odd, "", texts)), "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
-        ids = self.of_words(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-        at = np.concatenate(([0], np.cumsum(sizes)))
+        flat, begin, size = self.of_words(coded.dictionary)
         index = coded.indices.to_numpy()
-        n = sizes[index]
+        begin, n = begin[index].ravel(), size[index].ravel()
         before = np.concatenate(([0], np.cumsum(n)))
-        pos = np.arange(before[-1]) + np.repeat(at[index] - before[:-1], n)
-        got, cuts = flat[pos], before[np.asarray(parts.offsets)]
+        got, cuts = flat[np.arange(before[-1]) + np.repeat(begin - before[:-1], n)], before[2 * np.asarray(parts.offsets)]
         out, offsets = [], [0]
         for i in range(len(texts)):
             out += [whole.get(i, got[cuts[i] : cuts[i + 1]]), np.array([end], np.int32)]
@@ -175,7 +177,7 @@ def pack(documents: DataFrame, tokenizer: str, length: int = 4096, end: int = 2,
         packer = Packer(length, windows, part << 32)
         for b in batches:
             ids_of = b.column(0).to_pylist()
-            for lo, hi, _, _ in chunks(b.column(1), 4 << 20):
+            for lo, hi, _, _ in chunks(b.column(1), 2 << 20):
                 ids, off = coder.of_texts(b.column(1).slice(lo, hi - lo), end)
                 rows: list[tuple] = []
                 for i in range(hi - lo):
