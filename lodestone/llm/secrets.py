@@ -1,19 +1,21 @@
 """Secret scans over an incremental blob ledger.  DataFrame functions only.
 
-Method.  Every version of a file is addressed by the SHA-256 of its text.  The ledger holds one row
-for each pair of a blob and a rule version that was ever scanned; a run scans each distinct blob
-once, with those rules whose version the ledger does not hold, and joins the findings back to all
-paths (rows) that carry the blob.  Copies are dropped before the shuffle as well as after it, and
-the join back is an outer equi join without an aggregate above it, so that a blob with very many
-paths may be split.
+Method.  Every version of a file is addressed by the SHA-256 of its text.  The ledger, a Parquet table
+in the shared folder that runs append to, holds for each blob the rule versions it was scanned with and
+what they found.  A run scans each distinct blob once, with those rules whose version the ledger does
+not hold for it, appends that, and joins the ledger's findings back to all paths (rows) that carry the
+blob.  Copies are dropped before the shuffle as well as after it.  Only blobs with findings are joined
+back, by an outer equi join without an aggregate above it, so that a blob with very many paths may be
+split.  Redaction passes on the rows that a bitmap of fixed size shows to be without findings in a map.
 
 Spans are in code points, the end exclusive.  A span's start is the length of all that the pattern's
 split leaves before it plus the length of the earlier matches.
 
-Defined cases.  A null text is the empty text, which has no findings.  Rows are kept as they are:
-null ids, repeated rows and rows with equal text each get a result.  A null or empty ledger holds
-nothing.  An empty table gives an empty result.  Other columns of the versions are kept and may
-have any name but ``blob`` and ``spans``, which are replaced.
+Defined cases.  A null text is the empty text, which has no findings; its redaction stays null.  Rows
+are kept as they are: null ids, repeated rows and rows with equal text each get a result.  A ledger that
+is not there yet holds nothing; findings of rule versions that are not asked for are left out.  An empty
+table gives an empty result.  All columns of the versions are kept, whatever their names; where one is
+named ``blob`` or ``spans`` already, the new one's name gets an underscore.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import table
+from lodestone.llm.shared import new_path, stored, table, unused, with_bit
 
 
 @dataclass(frozen=True)
@@ -70,46 +72,71 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(test, found).otherwise(F.array().cast(SPAN))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """What this run adds to the ledger: (blob, rule, version, spans), one row for each distinct blob
-    of versions(text, ...) and each rule whose version the ledger lacks for it."""
-    blobs = versions.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
-    if ledger is None:
-        blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
-    else:
-        done = ledger.where("blob is not null").groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("seen"))
-        blobs = blobs.join(done, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    rows = [F.when(~F.array_contains("seen", f"{r.kind}@{r.version}"), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, k).alias("spans"))) for k, r in enumerate(rules)]
-    return blobs.select("blob", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("row")).select("blob", "row.*")
-
-
-def findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """versions with blob and spans (all findings in order); what the ledger holds is not scanned again."""
-    current = {r.kind: r.version for r in rules}
-    if ledger is None:
-        # one row for each blob, so the rules' arrays are joined in place
-        blobs = versions.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
-        found = blobs.select("blob", F.array_sort(F.concat(*[spans_of(F.col("text"), r, k) for k, r in enumerate(rules)])).alias("spans")).where(F.size("spans") > 0)
-    else:
-        held = ledger.where(F.concat_ws("@", "rule", "version").isin([f"{k}@{v}" for k, v in current.items()])).select("blob", "rule", "version", "spans")
-        every = scan(versions, ledger, rules).unionByName(held.dropDuplicates(["blob", "rule"]))
-        found = every.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    keyed = versions.drop("blob", "spans").withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return keyed.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
-
-
-def redact(versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+DONE = f"array<struct<rule:string,version:int,spans:{SPAN}>>"
+
+
+def _blob() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def ledger_at(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger (blob, done) at a path; an empty one where none is yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], f"blob string, done {DONE}")
+    return spark.read.schema(f"blob string, done {DONE}").parquet(path)
+
+
+def scan(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What a run adds to the ledger: (blob, done), a row for each distinct blob of versions(text) that lacks
+    rules; done holds each of these with its spans."""
+    blobs = versions.select(_blob().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
+    held = F.flatten(F.collect_list(F.transform("done", lambda x: F.concat_ws("@", x["rule"], x["version"]))))
+    seen = ledger.where("blob is not null").groupBy("blob").agg(F.array_distinct(held).alias("seen"))
+    blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    blobs = blobs.where(~F.forall(F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules]), lambda x: F.array_contains("seen", x)))
+    each = [F.when(~F.array_contains("seen", f"{r.kind}@{r.version}"), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, k).alias("spans"))) for k, r in enumerate(rules)]
+    return blobs.select("blob", F.filter(F.array(*each), lambda x: x.isNotNull()).cast(DONE).alias("done"))
+
+
+def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger at the path lacks, appends it, and returns the ledger."""
+    spark = versions.sparkSession
+    scan(versions, ledger_at(spark, path), rules).write.mode("append").parquet(path)
+    return ledger_at(spark, path)
+
+
+def found(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of every blob with findings of these rule versions, in order."""
+    now = [f"{r.kind}@{r.version}" for r in rules]
+    spans = F.flatten(F.transform(F.filter("done", lambda x: F.concat_ws("@", x["rule"], x["version"]).isin(now)), lambda x: x["spans"]))
+    some = ledger.select("blob", spans.alias("spans")).where(F.size("spans") > 0)
+    return stored(some.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")), "findings")
+
+
+def findings(versions: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """versions with blob and spans (all findings in order).  The ledger is at the path, or a new one."""
+    blob, spans = unused("blob", versions), unused("spans", versions)
+    got = found(update(versions, path or new_path(versions.sparkSession, "ledger"), rules), rules).withColumnsRenamed({"blob": blob, "spans": spans})
+    return versions.withColumn(blob, _blob()).join(got, blob, "left").select(*versions.columns, blob, F.coalesce(spans, F.array().cast(SPAN)).alias(spans))
+
+
+def redact(versions: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """versions with every finding of the text replaced by ``[kind]``; the columns stay as they are.
 
     Spans are merged where they overlap, the first one's kind standing for the run."""
     cols = versions.columns
-    got = findings(versions, None, rules)
+    got = found(update(versions, path or new_path(versions.sparkSession, "ledger"), rules), rules)
+    blob, spans = unused("blob", versions), unused("spans", versions)
+    maybe = unused("maybe", versions)
+    told = with_bit(versions, F.xxhash64(_blob()), got.select(F.xxhash64("blob").alias("key")), 20, maybe)
     text = F.col("text")
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
         F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(text.substr(acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")))).alias("out"))
     )
-    clean = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], text.substr(a["at"].cast("int") + 1, F.length(text))))
-    return got.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text)).select(*cols)
+    clean = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], text.substr(a["at"].cast("int") + 1, F.length(text))))
+    held = told.where(maybe).withColumn(blob, _blob()).join(got.withColumnsRenamed({"blob": blob, "spans": spans}), blob, "left")
+    return told.where(~F.col(maybe)).drop(maybe).unionByName(held.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*cols))
 
 
 def joined(spans: Column) -> Column:
@@ -117,7 +144,9 @@ def joined(spans: Column) -> Column:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = findings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = table(spark, sf_dir, "documents")
+    got = update(documents.select("text"), new_path(spark, "ledger"))
+    got = documents.select("doc_id", _blob().alias("blob")).join(found(got), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     n = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)]

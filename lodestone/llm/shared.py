@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,22 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        global _own
-        folder = _own = _own or folder
-    return folder
+_own = ""
+_written: dict[str, SparkSession] = {}
 
 
-_own = ""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; one temporary folder only where that is unset, as in tests."""
+    global _own
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    _own = _own or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+    return _own
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; it goes when the driver ends, or by ``discard``."""
+    path = f"{shared_folder(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clear)
+    _written[path] = spark
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +42,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.stored_at)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _clear() -> None:
+    for path in list(_written):
+        try:
+            _delete(path)
+        except Exception:  # the session's JVM may be gone by now
+            return
 
 
 def unused(name: str, *frames: DataFrame) -> str:
@@ -48,6 +76,17 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def with_bit(df: DataFrame, key: Column, keys: DataFrame, bits: int, name: str) -> DataFrame:
+    """df with a boolean column: may the long key be one of keys(key)?  Yes for each that is, and for others whose
+    bit of a bitmap of fixed size happens to be set.  Its 2**(bits - 6) words at most are broadcast."""
+    word = keys.where("key is not null").selectExpr(f"pmod(key, {1 << bits}) as bit").groupBy(F.expr("shiftright(bit, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("v"))
+    at, bit = unused("w", df), F.pmod(key, F.lit(1 << bits))
+    held = unused("v", df)
+    got = df.withColumn(at, F.shiftright(bit, 6)).join(F.broadcast(word.withColumnsRenamed({"w": at, "v": held})), at, "left")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    return got.select(*df.columns, F.coalesce(F.col(held).bitwiseAND(mask) != 0, F.lit(False)).alias(name))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -74,7 +113,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: each neighbour below the node, and the node, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = stored(small, "edges")
+        e, old = stored(small, "edges"), e
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
