@@ -15,6 +15,35 @@ PAGE_NUMBER = r"(?i)^[-–—\[(]?\s*(?:page\s*)?\d{1,4}\s*(?:(?:/|of|\|)\s*\d{1
 # Fixed value: words without content.
 STOP_WORDS = "a an and are as at be by can do does for from has have how in is it its of on or that the their this to was were what when where which who why will with".split()
 
+# Words that carry no topic, left out when a search is widened.
+EXPANSION_STOP_WORDS = """
+    about above after again against all also and any are aren because been
+    before being below between both but can cannot could did does doing down
+    during each few for from further had has have having her here hers herself
+    him himself his how into its itself just more most myself nor not now off
+    once only other our ours ourselves out over own same she should since some
+    such than that the their theirs them themselves then there these they this
+    those through too under until very was were what when where which while who
+    whom why will with would you your yours yourself yourselves were way may
+    might must shall upon via etc per within without across along among around
+    get got use used using like well many much one two three new yet ever even
+""".split()
+# Words whose period does not end a sentence, lower-cased.
+ABBREVIATIONS = """
+    e.g i.e etc vs cf al approx dr mr mrs ms prof sr jr st fig figs eq eqs no
+    nos vol pp p ch sec inc ltd co corp dept est jan feb mar apr jun jul aug sep
+    sept oct nov dec
+""".split()
+# Fixed value: the start of a line that is a list item.
+LIST_ITEM = r"^[ \t]*(?:[-*+•]|\d{1,3}[.)]|[a-z][.)]|[A-Z]\))\s"
+# What may stand before a period that does not end a sentence: such a word, an initial, parts of at most two
+# signs between periods, or a number that begins the unit; opening quotes may stand before these.
+_KEPT = (
+    r"(?:^|\s)[\"'“‘(\[]{0,9}(?:(?i:" + "|".join(w.replace(".", r"\.") for w in ABBREVIATIONS) + r")|\p{Lu}|" + r"[^\s.]{0,2}\.[^\s.]{0,2}" + r"(?:\.[^\s.]{0,2})?" * 6 + r")|^\s{0,99}[\"'“‘(\[]{0,9}\d{1,9}"
+)
+# A stop that ends a sentence, with its closing quotes and brackets; a capital, digit or opening sign follows.
+STOP = rf"(?U)(?=[.!?])(?<![.!?])(?:(?=\.)(?<!{_KEPT})\.[.!?]*|[!?][.!?]*)[\"'”’)\]]*(?=\s+[A-Z0-9\"'“‘(\[])"
+
 
 def casefold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
@@ -51,7 +80,9 @@ def match_tier(gold: Column, text: Column) -> Column:
 
 
 def clean_text(c: Column, cap: int | None = None) -> Column:
+    """On one line, without control characters and without white space at the ends."""
     c = F.regexp_replace(F.regexp_replace(c, r"[\t\n\r\x0B\f]", " "), r"[\x00-\x1F\x7F-\x9F]", "")
+    c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     return c if cap is None else F.left(c, F.lit(cap))
 
 
@@ -70,7 +101,8 @@ def copied_share(question: Column, passage: Column) -> Column:
 
 
 def expansion_tokens(c: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0), lambda w: F.length(w) >= 3)
+    """Words of three letters and more that carry a topic."""
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0), lambda w: (F.length(w) >= 3) & ~w.isin(EXPANSION_STOP_WORDS))
 
 
 def sample_share(trace: Column, name: str) -> Column:
@@ -93,7 +125,7 @@ def says_not_found(c: Column) -> Column:
 
 
 def category_of(tags: Column, has_history: Column) -> Column:
-    named = F.filter(tags, lambda t: t.startswith("category:"))
+    named = F.filter(tags, lambda t: t.startswith("category:") & (F.length(t) > 9))
     return F.coalesce(F.substring(F.get(named, F.lit(0)), 10, 1000), F.when(has_history, "follow-up").otherwise("uncategorized"))
 
 
@@ -132,3 +164,40 @@ def format_of(name: Column) -> Column:
 def raw_url(url: Column) -> Column:
     """The raw file behind a repository page's blob url, its query dropped."""
     return F.regexp_replace(url, r"^https?://github\.com/([^/]+/[^/]+)/blob/([^?#]+).*$", "https://raw.githubusercontent.com/$1/$2")
+
+
+def soft_hyphens(c: Column) -> Column:
+    """U+FFFE, which stands for a hyphen at a line's end: dropped before a lower-case letter, else a hyphen and, if
+    something follows, a space."""
+    c = F.regexp_replace(c, r"\x{FFFE}(?=\p{Ll})", "")
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)\x{FFFE}(?=.)", "- "), r"\x{FFFE}", "-")
+
+
+def url_file_name(url: Column, suffix: Column, most: int = 100) -> Column:
+    """A url's host and path joined by -, the path's own extension dropped, cut, with the suffix."""
+    rest = F.regexp_replace(url, r"^[^:/?#]+://", "")
+    host = F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@|:\d*$", ""))
+    path = F.filter(F.split(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "/"), lambda x: ~x.isin("", ".", ".."))
+    path = F.transform(path, lambda x, i: F.when(i == F.size(path) - 1, F.regexp_replace(x, r"(?<=.)\.[^.]+$", "")).otherwise(x))
+    parts = F.filter(F.transform(F.concat(F.array(host), path), lambda x: F.regexp_replace(x, r"[^A-Za-z0-9._-]+", "_")), lambda x: x != "")
+    stem = F.left(F.array_join(parts, "-"), F.lit(most))
+    return F.concat(F.when(F.coalesce(stem, F.lit("")) == "", "page").otherwise(stem), suffix)
+
+
+def disguised(name: Column, head: Column) -> Column:
+    """"a PDF" or "an image" where a file named as text or office holds one, by its first bytes; else null."""
+    starts = lambda hexes: F.startswith(F.hex(head), F.lit(hexes))
+    image = starts("89504E47") | starts("FFD8FF") | starts("47494638") | starts("49492A00") | starts("4D4D002A") | (starts("52494646") & (F.substring(F.hex(head), 17, 8) == "57454250"))
+    held = F.when(starts("25504446"), "a PDF").when(image, "an image")
+    return F.when(format_of(name).isin("docx", "pptx", "html", "md", "txt"), held)
+
+
+def budget_sample(pieces: Column, budget: int) -> Column:
+    """The pieces joined by blank lines, or, if that is longer than the budget, as many whole pieces spread evenly
+    from first to last as fit; the first piece alone is cut to it."""
+    joined = F.array_join(pieces, "\n\n")
+    total = F.size(pieces)
+    most = F.greatest(F.lit(1), F.least(total, F.floor(total * budget / F.length(joined)).cast("int")))
+    pick = lambda m: F.array_join(F.transform(F.array_distinct(F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.bround(j * (total - 1) / (m - 1)).cast("int"))), lambda i: F.get(pieces, i)), "\n\n")
+    fits = F.filter(F.when(most > 1, F.sequence(most, F.lit(2))).otherwise(F.array().cast("array<int>")), lambda m: F.length(pick(m)) <= budget)
+    return F.when(F.length(joined) <= budget, joined).when(F.size(fits) > 0, pick(F.get(fits, F.lit(0)))).otherwise(F.left(F.get(pieces, F.lit(0)), F.lit(budget)))

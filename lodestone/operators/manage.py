@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+
 
 def manifest_diff(old: DataFrame, new: DataFrame, key: str = "doc_id", version: str = "version") -> DataFrame:
     """key, status: added, removed, changed or unchanged."""
@@ -32,6 +34,27 @@ def resolve_roles(label: Column, folder: Column, rules: tuple[tuple[str, tuple[s
     return F.when(F.size(own) > 0, own).otherwise(out)
 
 
+def roles_and_reason(label: Column, folder: Column, folders: tuple[tuple[str, tuple[str, ...]], ...], rules: tuple[Column, ...], default: tuple[str, ...]) -> Column:
+    """struct(roles, reason): a document's own roles (a comma list), else those of the first folder pattern that fits, else
+    what the first access rule with an opinion says (null: none), else the default.  A rule that gives a null
+    role has failed: nobody sees the document."""
+    out = F.struct(F.array(*map(F.lit, default)).alias("roles"), F.lit("default").alias("reason"))
+    nobody = F.array().cast("array<string>")
+    for n, rule in reversed(list(enumerate(rules, 1))):
+        failed = F.exists(rule, lambda x: x.isNull())
+        said = F.struct(F.when(failed, nobody).otherwise(rule).alias("roles"), F.when(failed, f"rule {n} failed").otherwise(f"rule {n}").alias("reason"))
+        out = F.when(rule.isNotNull(), said).otherwise(out)
+    for pattern, roles in reversed(folders):
+        out = F.when(F.coalesce(T.glob(folder, pattern), F.lit(False)), F.struct(F.array(*map(F.lit, roles)).alias("roles"), F.lit(f"folder {pattern}").alias("reason"))).otherwise(out)
+    own = F.filter(F.transform(F.split(label, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.coalesce(F.size(own), F.lit(0)) > 0, F.struct(own.alias("roles"), F.lit("label").alias("reason"))).otherwise(out)
+
+
+def sorted_document(rules: tuple[tuple[str, tuple[tuple[str, Column], ...]], ...], default: str, pinned: Column) -> Column:
+    """struct(category, reason): the category a document is pinned to, else that of ``routed``."""
+    return F.when(pinned.isNotNull(), F.struct(pinned.alias("category"), F.lit("pinned").alias("reason"))).otherwise(routed(rules, default))
+
+
 def routed(rules: tuple[tuple[str, tuple[tuple[str, Column], ...]], ...], default: str) -> Column:
     """struct(category, reason): the first rule all of whose named checks hold; a null check fails."""
     out = F.struct(F.lit(default).alias("category"), F.lit("default").alias("reason"))
@@ -66,8 +89,8 @@ def price_table(spark) -> DataFrame:
 
 def priced(steps: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds dollars: null without counts or a price.  The price is that of the served model, of it
-    without its date, or of the requested one; the table of prices is a small parameter."""
-    p = F.broadcast(prices)
+    without its date, or of the requested one."""
+    p = prices
     side = lambda n: p.select(F.col("model").alias(f"m{n}"), F.col("input_usd").alias(f"i{n}"), F.col("output_usd").alias(f"o{n}"))
     undated = F.regexp_replace("model", r"-\d{4}-?\d{2}-?\d{2}$", "")
     s = steps.join(side(0), F.col("model") == F.col("m0"), "left").join(side(1), undated == F.col("m1"), "left").join(side(2), F.col("requested_model") == F.col("m2"), "left")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.tables import stored
 
+# Element types that are left out of the text.
 EXCLUDED = ("header", "footer", "page_number")
 
 
@@ -30,21 +32,29 @@ def offsets(elements: DataFrame, body: str = "body") -> DataFrame:
 
 
 def drop_matching(elements: DataFrame, pattern: str, regex: bool = False, case: bool = False) -> DataFrame:
-    """Without the blocks that hold the pattern; an empty pattern drops none."""
+    """Without the blocks that hold the pattern; an empty pattern drops none, and a null text holds none."""
     if not pattern:
         return elements
     if regex:
-        return elements.where(~F.col("text").rlike(pattern if case else f"(?i){pattern}"))
-    return elements.where(~(F.col("text").contains(pattern) if case else F.lower("text").contains(pattern.lower())))
+        held = F.col("text").rlike(pattern if case else f"(?i){pattern}")
+    else:
+        held = F.col("text").contains(pattern) if case else F.lower("text").contains(pattern.lower())
+    return elements.where(~F.coalesce(held, F.lit(False)))
 
 
 def dedupe_blocks(elements: DataFrame, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds duplicate_of: the first earlier block of the scope with the same type and normalised text; null in those kept."""
-    w = Window.partitionBy(*scope, "type", "norm").orderBy("doc_id", "order")
-    e = elements.withColumn("norm", T.normalise(F.col("text")))
-    counts = (F.col("norm") != "") & ~F.col("type").isin(*EXCLUDED)
-    first = F.first("id").over(w)
-    return e.withColumn("duplicate_of", F.when(counts & (F.row_number().over(w) > 1), first)).drop("norm")
+    """Adds duplicate_of: the first earlier block of the scope with the same type and normalised text; null in those kept.
+
+    The first block of each text is an aggregate joined back, so a text that very many documents share is split like
+    any skewed key.  Null and blank texts and excluded types are never duplicates; other columns stay as they are."""
+    norm, first = "_lodestone_norm", "_lodestone_first"
+    keys = [*dict.fromkeys((*scope, "type"))]
+    e = elements.withColumn(norm, T.normalise(F.col("text")))
+    counts = F.coalesce((F.col(norm) != "") & ~F.col("type").isin(*EXCLUDED), F.lit(False))
+    best = e.where(counts).groupBy(*keys, norm).agg(F.min(F.struct("doc_id", "order", "id")).alias(first))
+    met = e.join(best, [*keys, norm], "left")
+    later = F.struct("doc_id", "order", "id") > F.col(first)
+    return met.withColumn("duplicate_of", F.when(counts & later, F.col(f"{first}.id"))).select(*elements.columns, "duplicate_of")
 
 
 def running_lines(lines: DataFrame, min_pages: int = 3, ratio: float = 0.5, most: int = 120) -> DataFrame:
@@ -61,22 +71,27 @@ def running_lines(lines: DataFrame, min_pages: int = 3, ratio: float = 0.5, most
     return found.join(pages, "doc").where((F.col("all_pages") > 1) & (F.col("pages") >= need)).select("doc", "position", "shape", "pages")
 
 
+TOKEN = r"(?:\s*+(?:\w++|[^\w\s]))"
+
+
 def token_chunks(documents: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     """doc_id, ordinal, start, end, tokens, text: windows of tokens; the last reaches the end.
 
-    The running length of the tokens with the white space before them gives offsets, so one pass
-    over a document's token array makes all its windows, in the row that holds the text."""
+    One regular expression cuts a text into runs of as many tokens as windows lie apart, each with the white space
+    before it; a window is a run and the first tokens of what follows, so no token is looked at alone.  Null texts
+    and texts without tokens have no windows."""
     stride = max(1, size - overlap)
-    parts = F.regexp_extract_all(F.col("text"), F.lit(r"(?U)\s*(?:\w+|[^\w\s])"), 0)
-    d = documents.where("text is not null").select("doc_id", "text", parts.alias("parts")).withColumn("n", F.size("parts")).where("n > 0")
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1, F.lit(stride)), lambda i: (i == 0) | (i - stride + size < F.col("n")))
-    d = d.select("doc_id", "text", "parts", "n", F.posexplode(starts).alias("ordinal", "first"))
-    length = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    last = F.least(F.col("first") + size, F.col("n"))
-    lead = F.length(F.element_at("parts", F.col("first") + 1)) - F.length(F.regexp_replace(F.element_at("parts", F.col("first") + 1), r"(?U)^\s+", ""))
-    d = d.withColumn("tokens", (last - F.col("first")).cast("int")).withColumn("at", length(F.slice("parts", F.lit(1), F.col("first"))))
-    d = d.withColumn("start", F.col("at") + lead).withColumn("end", F.col("at") + length(F.slice("parts", F.col("first") + 1, F.col("tokens"))))
-    return d.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("tokens").cast("long").alias("tokens"), F.expr("substring(text, start + 1, end - start)").alias("text"))
+    more = -(-(size - stride) // stride)
+    runs = F.regexp_extract_all("text", F.lit(rf"(?U){TOKEN}{{1,{stride}}}"), 0)
+    d = documents.where("text is not null").select("doc_id", runs.alias("runs")).where(F.size("runs") > 0)
+    d = d.select("doc_id", "runs", F.transform("runs", F.length).alias("lengths"), ((F.size("runs") - 1) * stride + F.regexp_count(F.element_at("runs", -1), F.lit(rf"(?U){TOKEN}"))).alias("n"))
+    follow = lambda i: F.regexp_extract(F.array_join(F.slice("runs", i + 2, more), ""), rf"(?U)^{TOKEN}{{1,{size - stride}}}", 0) if more else F.lit("")
+    at = lambda i: F.aggregate(F.slice("lengths", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x)
+    windows = F.transform("runs", lambda r, i: F.when((i == 0) | ((i - 1) * stride + size < F.col("n")), F.struct(i.cast("long").alias("ordinal"), at(i).alias("at"), F.concat(r, follow(i)).alias("piece"), F.least(F.lit(size), F.col("n") - i * stride).cast("long").alias("tokens"))))
+    w = d.select("doc_id", F.explode(F.array_compact(windows)).alias("w")).select("doc_id", "w.*")
+    text = F.regexp_replace("piece", r"(?U)^\s+", "")
+    start = F.col("at") + F.length("piece") - F.length(text)
+    return w.select("doc_id", "ordinal", start.cast("long").alias("start"), (F.col("at") + F.length("piece")).cast("long").alias("end"), "tokens", text.alias("text"))
 
 
 def chunk_id(doc: Column, chunker: str, ordinal: Column, start: Column, end: Column) -> Column:
@@ -122,3 +137,57 @@ def postings(pieces: DataFrame, key: str = "piece", text: str = "text") -> DataF
     """term, key, tf over lower-cased runs of letters."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W\d_]+"), 0)
     return pieces.select(key, F.explode(words).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+
+
+def running_kinds(lines: DataFrame, min_pages: int = 3, ratio: float = 0.5, most: int = 120) -> DataFrame:
+    """lines(doc, page, order, text) with kind: page_number, header or footer for running lines, else null.
+
+    Each round looks at the first and last lines of each page that are left, until none is found; every round
+    is a written table.  A line that is both first and last of its page counts as first.  Null and blank
+    lines are never running lines, and hide none."""
+    pages = lines.groupBy("doc").agg(F.count_distinct("page").alias("all_pages"))
+    rows = lines.select("doc", "page", "order").where("false").withColumn("kind", F.lit(""))
+    shape = lambda norm: F.when(norm.rlike(T.PAGE_NUMBER), "<number>").otherwise(norm)
+    live = stored(lines.withColumn("norm", T.normalise(F.col("text"))).where("norm <> ''").select("doc", "page", "order", "norm"), "lines")
+    while True:
+        up, down = Window.partitionBy("doc", "page").orderBy("order"), Window.partitionBy("doc", "page").orderBy(F.desc("order"))
+        edges = live.withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down)).where("up = 1 or down = 1")
+        places = F.array_compact(F.array(F.when(F.col("up") == 1, "first"), F.when(F.col("down") == 1, "last")))
+        edges = edges.where(F.length("norm") <= most).select("doc", "page", "order", F.explode(places).alias("position"), shape(F.col("norm")).alias("shape"))
+        seen = edges.groupBy("doc", "position", "shape").agg(F.count_distinct("page").alias("pages")).join(pages, "doc")
+        found = seen.where((F.col("all_pages") > 1) & (F.col("pages") >= F.greatest(F.lit(float(min_pages)), F.col("all_pages") * ratio - 1e-9))).select("doc", "position", "shape")
+        kind = F.when(F.col("shape") == "<number>", "page_number").when(F.col("position") == "first", "header").otherwise("footer")
+        got = edges.join(found, ["doc", "position", "shape"]).groupBy("doc", "page", "order").agg(F.min_by(kind, "position").alias("kind"))
+        got = stored(got, "verdicts")
+        if not got.head(1):
+            return lines.join(rows, ["doc", "page", "order"], "left")
+        rows = rows.unionByName(got)
+        live = stored(live.join(got, ["doc", "page", "order"], "left_anti"), "lines")
+
+
+def stripped(lines: DataFrame, retype: bool = False) -> DataFrame:
+    """lines with kind: without the running ones, or with these as their type."""
+    if retype:
+        return lines.withColumn("type", F.coalesce("kind", "type")).drop("kind")
+    return lines.where("kind is null").drop("kind")
+
+
+def clean_report(before: DataFrame, removed: DataFrame) -> DataFrame:
+    """doc_id, reason, n, phrase, first of removed(doc_id, order, page, text, reason): how many blocks went for each
+    reason, on which pages (the first five), and the first one's preview."""
+    pages = F.array_sort(F.collect_set("page"))
+    shown = F.array_join(F.transform(F.slice(pages, 1, 5), lambda p: p.cast("string")), ", ")
+    phrase = F.concat(F.when(F.size(pages) == 1, "page ").otherwise("pages "), shown, F.when(F.size(pages) > 5, F.concat(F.lit(" and "), (F.size(pages) - 5).cast("string"), F.lit(" more"))).otherwise(""))
+    return removed.join(before.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "reason").agg(F.count("*").alias("n"), phrase.alias("phrase"), T.preview(F.min_by("text", "order")).alias("first"))
+
+
+def heading_context(chunks: DataFrame) -> DataFrame:
+    """chunks(heading_path, leading, text) with embed_text: the part of the path above the ``leading`` headings that the
+    chunk opens with, joined by " > ", and a blank line before the text; the text alone where nothing is above."""
+    above = F.slice("heading_path", 1, F.greatest(F.size("heading_path") - F.col("leading"), F.lit(0)))
+    return chunks.withColumn("embed_text", F.when(F.size(above) > 0, F.concat(F.array_join(above, " > "), F.lit("\n\n"), F.col("text"))).otherwise(F.col("text")))
+
+
+def few_pieces(pieces: Column, k: int) -> Column:
+    """A warning where a search that keeps k pieces sees almost all of them; null otherwise."""
+    return F.when(pieces <= 2 * k, F.concat(F.lit("Only "), pieces.cast("string"), F.lit(f" pieces: a search that keeps {k} finds most answers by chance.")))

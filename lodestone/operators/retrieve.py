@@ -35,16 +35,34 @@ def bm25(questions: DataFrame, pieces: DataFrame, k: int = 20, k1: float = 1.2,
     Postings are pruned by the questions' terms before they are grouped; lengths and document
     frequencies cover all pieces."""
     terms = postings(questions, "query").select("query", "term")
-    posted = postings(pieces).join(terms.select("term").distinct(), "term", "left_semi")
-    sizes = pieces.select("piece", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]+"), 0)).alias("dl"))
-    total = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]+"), 0)
+    tokens = pieces.select("piece", words.alias("words")).withColumn("dl", F.size("words"))
+    posted = tokens.select("piece", "dl", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "piece", "dl").agg(F.count("*").alias("tf"))
+    total = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    hits = posted.join(terms, "term").join(df, "term").join(sizes, "piece").crossJoin(F.broadcast(total))
+    hits = posted.join(terms, "term").join(df, "term").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return ranked(hits.groupBy("query", "piece").agg(F.sum(part).alias("score")), k)
 
 
+def containing(golds: DataFrame, texts: DataFrame, key: str = "item_id") -> DataFrame:
+    """key and the columns of texts(…, text) for each gold(key, gold) that a text holds, the text itself left out.
+
+    A gold's longest word that white space parts on both sides stands in every text that holds the gold: the two
+    meet on it, and only such pairs are compared.  Golds of one or two words have none and are held against all
+    texts.  Null and empty golds are in no text."""
+    words = F.split("gold", r"[ \t\n\r]+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    seed = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    g = golds.where(F.col("gold") != "").select(key, "gold", seed.alias("_seed"))
+    own = [c for c in texts.columns if c != "text"]
+    held = texts.where("text is not null").select(*own, "text", F.explode(F.array_distinct(F.split("text", r"[ \t\n\r]+"))).alias("_seed"))
+    near = held.join(g, "_seed").where(F.col("text").contains(F.col("gold"))).select(key, *own)
+    short = g.where("_seed is null")
+    return near.unionByName(texts.join(short, F.col("text").contains(F.col("gold"))).select(key, *own))
+
+
 def overlap(questions: DataFrame, pieces: DataFrame, k: int = 20) -> DataFrame:
     """query, piece, score, rank by the number of distinct words a piece shares with the question."""
     terms = postings(questions, "query").select("query", "term")

@@ -1,6 +1,6 @@
 """Every registered query of the library proper."""
 
-from lodestone.plans import judging, keeping, preparing, searching
+from lodestone.plans import answering, judging, keeping, preparing, searching
 from lodestone.query_set import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "judging", "keeping", "preparing", "searching"]
+__all__ = ["ORACLES", "QUERIES", "answering", "judging", "keeping", "preparing", "searching"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +12,12 @@ from lodestone.operators import judge as J
 from lodestone.operators import prepare as P
 from lodestone.operators import rerank as K
 from lodestone.operators import retrieve as R
+from lodestone.operators import sentences as N
 from lodestone.plans.preparing import load
-from lodestone.plans.searching import DENSE, asked, vectors
+from lodestone.plans.searching import DENSE, LEXICAL, asked, questions, vectors
 from lodestone.query_set import query
 from lodestone.sources import files
+from lodestone.sources.tables import new_path
 from lodestone.streaming import jobs
 
 
@@ -43,12 +43,12 @@ def markdown_elements(spark, sf_dir):
 
 @query()
 def document_sentences(spark, sf_dir):
-    return C.document_sentences(load(spark, sf_dir, "documents"))
+    return N.sentences(load(spark, sf_dir, "documents"))
 
 
 @query()
 def sentence_windows(spark, sf_dir):
-    return C.sentence_windows(load(spark, sf_dir, "documents"))
+    return N.sentence_windows(load(spark, sf_dir, "documents"))
 
 
 @query()
@@ -96,16 +96,22 @@ def rescored_hits(spark, sf_dir):
     return K.rescored(hits, F.col("piece") % 10).select("query", "piece", "prior_rank", "rank")
 
 
-@query(r"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) term from documents), t as (select * from w where length(term) >= 3), df as (select term, count(distinct doc_id) df from t group by 1), n as (select count(*) n from documents),
-f as (select doc_id % 10 as query, term, count(*) tf from t where doc_id < 50 group by 1, 2) select * from (select query, term, score, row_number() over (partition by query order by score desc, term) as rank from (select query, term, round(tf * (ln((n + 1) / (df + 1)) + 1), 9) score from f join df using (term), n where term not in ('the', 'and'))) where rank <= 5""")
+STOP = " ".join(T.EXPANSION_STOP_WORDS)
+
+
+@query(rf"""with {LEXICAL}, w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) term from documents), t as (select * from w where length(term) >= 3 and not list_contains(string_split('{STOP}', ' '), term)), df as (select term, count(distinct doc_id) df from t group by 1), n as (select count(*) n from documents),
+own as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '[a-z]+')) term from benchmark), f as (select query, term, count(*) tf from (select query, piece doc_id from lx where rank <= 3) join t using (doc_id) group by 1, 2)
+select * from (select query, term, score, row_number() over (partition by query order by score desc, term) as rank from (select query, term, round(tf * (ln((n + 1) / (df + 1)) + 1), 9) score from f join df using (term), n where (query, term) not in (select (query, term) from own))) where rank <= 5""")
 def expansion_terms(spark, sf_dir):
+    """Terms of the three documents that match each benchmark item best."""
     d = load(spark, sf_dir, "documents")
-    words = d.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).where("length(term) >= 3")
+    words = d.select("doc_id", F.explode(T.expansion_tokens(F.col("text"))).alias("term"))
     count = d.agg(F.count("*").alias("n"))
-    background = words.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).crossJoin(F.broadcast(count))
-    near = words.where("doc_id < 50").groupBy((F.col("doc_id") % 10).alias("query"), "term").agg(F.count("*").alias("tf"))
-    skipped = near.select("query").distinct().select("query", F.explode(F.array(F.lit("the"), F.lit("and"))).alias("term"))
-    return K.expansion_terms(near, background, skipped)
+    background = words.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).crossJoin(F.broadcast(count))  # one row
+    items = questions(spark, sf_dir)
+    best = R.bm25(items, d.select(F.col("doc_id").alias("piece"), "text"), 3).select("query", F.col("piece").alias("doc_id"))
+    near = words.join(best, "doc_id").groupBy("query", "term").agg(F.count("*").alias("tf"))
+    return K.expansion_terms(near, background, items.select("query", F.explode(T.expansion_tokens(F.col("text"))).alias("term")).distinct())
 
 
 REPLY = """case event_id % 5 when 0 then 'Well: {"score": ' || floor(value / 100 * 1000 + 0.5) / 1000 || ', "reason": "ok"}' when 1 then '{"score": true, "reason": "x"}' when 2 then 'none' when 3 then '{"score": "0.5"}' else '{"score": 0.25, "reason": "fair"}' end"""
@@ -159,7 +165,7 @@ def miss_steps(spark, sf_dir):
     b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     short, even = F.length("text") < 3000, F.col("doc_id") % 2 == 0
-    met = F.broadcast(b).join(d, F.col("text").contains(F.col("gold"))).groupBy("item_id").agg(F.lit(True).alias("parsed"), F.max(short).alias("cleaned"), F.max(short & even).alias("hit"))
+    met = R.containing(b, d.select("text", short.alias("short"), even.alias("even"))).groupBy("item_id").agg(F.lit(True).alias("parsed"), F.max("short").alias("cleaned"), F.max(F.col("short") & F.col("even")).alias("hit"))
     return b.select("item_id").join(met, "item_id", "left").select("item_id", J.lost_at({"parse": F.col("parsed"), "clean": F.col("cleaned"), "search": F.col("hit")}).alias("lost_at"))
 
 
@@ -185,12 +191,12 @@ def usage_sums(spark, sf_dir):
 @query()
 def chunker_disagreement(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    by = {"recursive": C.recursive_chunks(d), "sentences": C.sentence_windows(d), "tokens": P.token_chunks(d)}
+    by = {"recursive": C.recursive_chunks(d), "sentences": N.sentence_windows(d), "tokens": P.token_chunks(d)}
     cuts = None
     for name, c in by.items():
         c = c.select("doc_id", F.lit(name).alias("chunker"), F.col("start").cast("long").alias("cut"))
         cuts = c if cuts is None else cuts.unionByName(c)
-    units = C.document_sentences(d).select("doc_id", "start", "end")
+    units = N.sentences(d).select("doc_id", "start", "end")
     return J.cutters_disagree(cuts, units)
 
 
@@ -202,8 +208,7 @@ def users_deleted(spark, sf_dir):
 
 def streamed(spark: SparkSession, frame, build, mode: str = "append") -> DataFrame:
     """Runs build(stream of frame's rows) over all that is there, and gives what it wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-streams"
-    here = f"{base}/stream-{uuid.uuid4().hex}"
+    here = new_path(spark, "stream")
     frame.write.parquet(f"{here}/in")
     stream = spark.readStream.schema(frame.schema).parquet(f"{here}/in")
     out = build(stream)
@@ -232,8 +237,7 @@ def streamed_once(spark, sf_dir):
 
 @query("select doc_id, sha256(text) sha from documents")
 def streamed_ingest(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-streams"
-    here = f"{base}/ingest-{uuid.uuid4().hex}"
+    here = new_path(spark, "ingest")
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     d.withColumn("version", F.lit(1)).unionByName(d.withColumn("version", F.lit(0)).withColumn("text", F.lit("old"))).write.parquet(f"{here}/in")
     stream = spark.readStream.schema("doc_id long, text string, version int").parquet(f"{here}/in")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import chunks as C
 from lodestone.operators import records as D
-from lodestone.operators import retrieve as R
+from lodestone.operators import sentences as N
 from lodestone.plans.preparing import lines, load
-from lodestone.plans.searching import DENSE, asked, vectors
+from lodestone.plans.searching import ITEM_DENSE, LEXICAL, dense_and_lexical, vectors
 from lodestone.query_set import query
 
 
@@ -54,12 +54,11 @@ def best_variants(spark, sf_dir):
     return D.best_variants(v)
 
 
-@query(f"with {DENSE}, a as (select query, list(piece) l from de where rank <= 10 group by 1), b as (select query, list(piece) l from (select query, piece, row_number() over (partition by query order by abs(piece - query), piece) as rank from de) where rank <= 10 group by 1) select query, len(list_intersect(a.l, b.l)) shared from a join b using (query)")
+@query(f"with {ITEM_DENSE}, {LEXICAL}, a as (select query, list(piece) l from de where rank <= 10 group by 1), b as (select query, list(piece) l from lx where rank <= 10 group by 1) select query, len(list_intersect(a.l, b.l)) shared from a join b using (query)")
 def shared_top_k(spark, sf_dir):
-    v, q = vectors(spark, sf_dir), asked(spark, sf_dir)
-    near = R.ranked(v.crossJoin(F.broadcast(q)).select("query", "piece", (-F.abs(F.col("piece") - F.col("query"))).cast("double").alias("score")), 10)
-    a = R.dense(q, v, 10).groupBy("query").agg(F.collect_list("piece").alias("a"))
-    b = near.groupBy("query").agg(F.collect_list("piece").alias("b"))
+    dense, lexical = dense_and_lexical(spark, sf_dir, 10)
+    a = dense.groupBy("query").agg(F.collect_list("piece").alias("a"))
+    b = lexical.groupBy("query").agg(F.collect_list("piece").alias("b"))
     return a.join(b, "query").select("query", F.size(F.array_intersect("a", "b")).alias("shared"))
 
 
@@ -127,5 +126,5 @@ def hashed_vectors(spark, sf_dir):
 def sentence_provenance(spark, sf_dir):
     """The sentences that each recursive chunk meets."""
     d = load(spark, sf_dir, "documents")
-    s = C.document_sentences(d).select("doc_id", F.col("ordinal").alias("id"), "start", "end")
+    s = N.sentences(d).select("doc_id", F.col("ordinal").alias("id"), "start", "end")
     return C.provenance(C.recursive_chunks(d).drop("text"), s)

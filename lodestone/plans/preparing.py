@@ -149,14 +149,14 @@ def normalised_texts(spark, sf_dir):
 
 @query(r"""with w as (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: not list_contains(string_split('a an and are as at be by can do does for from has have how in is it its of on or that the their this to was were what when where which who why will with', ' '), x)) q from benchmark),
 p as (select a.item_id, a.q, coalesce(b.q, []) h from w a left join w b on b.item_id = a.item_id + 1)
-select item_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3))::int expansion, case when len(q) = 0 then 0.0 else len(list_filter(q, lambda x: list_contains(h, x)))::double / len(q) end copied from p join benchmark using (item_id)""")
+select item_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3 and not list_contains(string_split('STOP', ' '), x)))::int expansion, case when len(q) = 0 then 0.0 else len(list_filter(q, lambda x: list_contains(h, x)))::double / len(q) end copied from p join benchmark using (item_id)""".replace("STOP", " ".join(T.EXPANSION_STOP_WORDS)))
 def question_words(spark, sf_dir):
     b = load(spark, sf_dir, "benchmark")
     after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("passage"))
     return b.join(after, "item_id", "left").select("item_id", F.size(T.expansion_tokens(F.col("text"))).alias("expansion"), T.copied_share(F.col("text"), F.coalesce("passage", F.lit(""))).alias("copied"))
 
 
-@query(r"""select conv_id, turn, regexp_replace(regexp_replace(text, '[\t\n\r\x0B\f]', ' ', 'g'), '[\x00-\x1F\x7F-\x{9F}]', '', 'g') cleaned, starts_with(lower(trim(text, ' ')), 'the documents do not') and not regexp_matches(trim(text, ' '), '[.!?]\s+\S') not_found from conversations""")
+@query(r"""select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '[\t\n\r\x0B\f]', ' ', 'g'), '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), '^\s+|\s+$', '', 'g') cleaned, starts_with(lower(trim(text, ' ')), 'the documents do not') and not regexp_matches(trim(text, ' '), '[.!?]\s+\S') not_found from conversations""")
 def cleaned_turns(spark, sf_dir):
     t = F.col("text")
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_text(t).alias("cleaned"), T.says_not_found(t).alias("not_found"))

@@ -14,7 +14,7 @@ from lodestone.plans.preparing import TOKENS, load
 from lodestone.query_set import query
 
 WORDS = r"unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) term"
-BM25 = rf"""{TOKENS}, piece as (select doc_id * 1000 + ordinal piece, substr(whole, start + 1, "end" - start) text from chunks),
+BM25 = rf"""{TOKENS}, piece as (select doc_id * 4294967296 + ordinal piece, substr(whole, start + 1, "end" - start) text from chunks),
 qt as (select distinct item_id query, term from (select item_id, {WORDS} from benchmark)), post as (select piece, term, count(*) tf from (select piece, {WORDS} from piece) group by 1, 2),
 sz as (select piece, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+')) dl from piece), tot as (select count(*) n, avg(dl) avgdl from sz), dfs as (select term, count(*) df from post group by 1),
 bm as (select query, piece, round(score, 9) score, row_number() over (partition by query order by round(score, 9) desc, piece) as rank from (select query, piece, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) score from post join qt using (term) join dfs using (term) join sz using (piece), tot group by 1, 2))"""
@@ -23,7 +23,7 @@ EVAL = """, ev as (select b.item_id query, coalesce(bool_or(contains(p.text, b.t
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = P.token_chunks(load(spark, sf_dir, "documents"))
-    return c.select((F.col("doc_id") * 1000 + F.col("ordinal")).alias("piece"), "text")
+    return c.select((F.col("doc_id") * (1 << 32) + F.col("ordinal")).alias("piece"), "text")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,18 +81,30 @@ def filtered_dense_search(spark, sf_dir):
     return R.dense(asked(spark, sf_dir), rows, 5)
 
 
-@query(f"""with {DENSE}, lx as (select query, piece, row_number() over (partition by query order by abs(piece - query), piece) as rank from de), u as (select query, piece, rank, 1.0 w from de where rank <= 20 union all select query, piece, rank, 0.5 w from lx where rank <= 20),
+LEXICAL = rf"""qt as (select distinct item_id query, term from (select item_id, {WORDS} from benchmark)), post as (select piece, term, count(*) tf from (select doc_id piece, {WORDS} from documents) group by 1, 2),
+sz as (select doc_id piece, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+')) dl from documents), tot as (select count(*) n, avg(dl) avgdl from sz), dfs as (select term, count(*) df from post group by 1),
+lx as (select query, piece, row_number() over (partition by query order by round(score, 9) desc, piece) as rank from (select query, piece, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) score from post join qt using (term) join dfs using (term) join sz using (piece), tot group by 1, 2))"""
+ITEM_DENSE = DENSE.replace("from embeddings where vec_id % 50 = 0", "from embeddings where vec_id in (select item_id from benchmark)")
+
+
+def dense_and_lexical(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The two ranked lists of each benchmark item: by the vector of its id, and by its words over the documents."""
+    v, items = vectors(spark, sf_dir), questions(spark, sf_dir)
+    asked_items = v.join(items.select(F.col("query").alias("piece")), "piece", "left_semi").select(F.col("piece").alias("query"), F.col("vector").alias("qv"))
+    documents = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("piece"), "text")
+    return R.dense(asked_items, v, k), R.bm25(items, documents, k)
+
+
+@query(f"""with {ITEM_DENSE}, {LEXICAL}, u as (select query, piece, rank, 1.0 w from de where rank <= 20 union all select query, piece, rank, 0.5 w from lx where rank <= 20),
 f as (select query, piece, round(sum(w / (60 + rank)), 9) score, min(rank) best from u group by 1, 2) select * from (select *, count(*) over (partition by query) total, row_number() over (partition by query order by score desc, best, piece) as rank from f) where rank <= 10""")
 def hybrid_rrf(spark, sf_dir):
-    v, q = vectors(spark, sf_dir), asked(spark, sf_dir)
-    near = R.ranked(v.crossJoin(F.broadcast(q)).select("query", "piece", (-F.abs(F.col("piece") - F.col("query"))).cast("double").alias("score")), 20)
-    return R.rrf(R.dense(q, v, 20), near, 10, weights=(1.0, 0.5))
+    return R.rrf(*dense_and_lexical(spark, sf_dir, 20), 10, weights=(1.0, 0.5))
 
 
 @query("""select b.item_id, count(d.doc_id) n_documents, min(d.doc_id) first_document, coalesce(min(case when contains(d.text, b.text) then 'exact' end), 'not_found') as status from benchmark b left join documents d on contains(d.text, b.text) group by 1""")
 def gold_containment(spark, sf_dir):
     b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
-    met = F.broadcast(b).join(load(spark, sf_dir, "documents"), F.col("text").contains(F.col("gold"))).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
+    met = R.containing(b, load(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
     return b.join(met, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "first_document", F.when(F.col("first_document").isNull(), "not_found").otherwise("exact").alias("status"))
 
 

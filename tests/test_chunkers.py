@@ -35,8 +35,8 @@ def test_recursive_chunks_are_short():
 
 
 def test_sentences():
-    text = "Dr. Who met J. Smith, e.g. today. Then left!  \n\n1. First item\n2. Second item. More"
-    assert [text[a:z] for a, z in C.sentences(text)] == ["Dr. Who met J. Smith, e.g. today.", "Then left!", "1. First item", "2. Second item.", "More"]
+    text = "Dr. Who met J. Smith, e.g. today. Then left! and on  \n\n1. First item\n2. Second item. More"
+    assert [text[a:z] for a, z in C.sentences(text)] == ["Dr. Who met J. Smith, e.g. today.", "Then left! and on", "1. First item", "2. Second item.", "More"]
 
 
 def test_html_blocks():
