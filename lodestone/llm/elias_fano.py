@@ -18,14 +18,20 @@ for _b in range(256):
         _SELECT[_b, _r] = _p
 
 
+# a byte value in each byte of a word
+_EACH = {v: U64(v * 0x0101010101010101) for v in (0x01, 0x0F, 0x33, 0x55, 0x80)}
+
+
 def _in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Position of the set bit of that rank in each 64-bit word."""
-    by = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-    sums = np.cumsum(np.bitwise_count(by), axis=1, dtype=np.int64)
-    k = (sums <= rank[:, None]).sum(axis=1)
-    rows = np.arange(len(k))
-    before = np.where(k > 0, sums[rows, np.maximum(k - 1, 0)], 0)
-    return k * 8 + _SELECT[by[rows, k], rank - before]
+    x = words - ((words >> U64(1)) & _EACH[0x55])
+    x = (x & _EACH[0x33]) + ((x >> U64(2)) & _EACH[0x33])
+    sums = ((x + (x >> U64(4))) & _EACH[0x0F]) * _EACH[0x01]  # byte j: set bits in bytes 0 to j
+    rank = rank.astype(U64)
+    full = ((rank * _EACH[0x01] | _EACH[0x80]) - sums) & _EACH[0x80]  # the top bit of each byte whose sum is not above the rank
+    shift = np.bitwise_count(full).astype(U64) << U64(3)
+    before = ((sums << U64(8)) >> shift) & U64(255)
+    return shift.astype(np.int64) + _SELECT[(words >> shift) & U64(255), rank - before]
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -146,7 +152,7 @@ def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
             part = f"{local}.{uuid.uuid4().hex}"
             fs.copy_files(f"{path}/{name}", part, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
             os.replace(part, local)
-    whole = np.memmap(local, dtype=np.uint8, mode="r")
+    whole = np.asarray(np.memmap(local, dtype=np.uint8, mode="r"))
     size = int.from_bytes(whole[:8].tobytes(), "little")
     head = json.loads(whole[8 : 8 + size].tobytes())
     out = {}

@@ -39,6 +39,7 @@ from lodestone.llm.shared import fold_of, new_path, table
 
 END = 0x454E44
 STEP = 0.05  # log10 a quantum; 255 of them reach 10**-12.75
+CHUNK = 2 << 20  # a chunk visits every shard
 _open: dict[str, dict] = {}
 
 
@@ -234,7 +235,7 @@ def train(texts: DataFrame, mu: float = 4.0, hot: int = 16, order: int = 2) -> M
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for b in batches:
-            for _, _, data, off in chunks(b.column(0)):
+            for _, _, data, off in chunks(b.column(0), CHUNK):
                 counter.add(tokens(data, off)[0])
         yield from _packed(*counter.total(), _cuts(shards))
 
@@ -274,7 +275,7 @@ def _next_level(texts: DataFrame, model: Model, shards: int, last: bool, parents
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for b in batches:
-            for _, _, data, off in chunks(b.column(0)):
+            for _, _, data, off in chunks(b.column(0), CHUNK):
                 hashes, by = tokens(data, off)
                 _, context, relative = _walk(model, model.ids(hashes)[0], by, True)
                 known = np.flatnonzero((context >= 0) & (relative >= 0))
@@ -373,7 +374,7 @@ def score(documents: DataFrame, model: Model, keep: tuple[Column, ...] = ()) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = model.total + model.distinct + 1
         for b in batches:
-            for lo, hi, data, off in chunks(b.column(1)):
+            for lo, hi, data, off in chunks(b.column(1), CHUNK):
                 hashes, by = tokens(data, off)
                 ids, counts = model.ids(hashes)
                 p1 = np.log10((counts + 1) / whole)
