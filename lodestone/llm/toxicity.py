@@ -2,19 +2,23 @@
 
 Method.  A text's features are the distinct character n-grams (code points, A-Z lower-cased) of the
 configured orders, hashed to buckets.  From labelled training texts, each bucket gets the ratio
-r = log(p / q) of its smoothed document counts in toxic and in clean texts; a logistic regression is
-fitted on the presence of features multiplied by r; a score is the regression's probability.
-
-Bounds, all parameters: the classifier is fitted on at most ``max_train_rows`` labelled rows, taken
-in order of a hash of the id, and keeps at most ``features`` buckets (those whose counts differ most
-between the classes, in standard errors).  Counting is spread over tasks; only the kept buckets of
-the sampled rows meet in the one fitting task.  Scoring reads every whole text, in a map with no
-shuffle, and sends each task the fixed-size model.
+r = log(p / q) of its smoothed document counts in toxic and in clean texts, moved towards 0 by so many
+of its standard errors; a logistic regression with a ridge is fitted on the presence of features
+multiplied by r; a score is the regression's probability.  How many standard errors is chosen among
+``levels`` by the log loss in inner folds of the training rows, the ratios of each being counted
+without its own fold; rows of equal text are in one fold.  A bucket whose ratio is moved to 0 has no
+weight, so there is no list of features to cut.
+
+Bounds, all parameters: the classifier is fitted on at most ``max_train_rows`` labelled ids, taken
+in order of a hash of the id, and as many rows of these; buckets are 2**bucket_bits.  Counting is
+spread over tasks; only the buckets with a ratio, of the sampled rows, meet in the one fitting task.
+Scoring reads every whole text, in a map with no shuffle, and sends each task the fixed-size model.
 
 Defined cases.  Null and empty texts have no features and get the score of the intercept.  Null
 labels and null ids of labels are not learned from; several labels of one id count as the largest.
 Repeated rows are scored alike, one result row per input row.  Without training rows of both
-classes every score is the smoothed share of toxic rows.  Extra columns are not read.
+classes every score is the smoothed share of toxic rows.  ``score`` does not read extra columns;
+``reject_toxic`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bytetext import U64, Hasher, chunks
+from lodestone.llm.elias_fano import from_planes, planes
 from lodestone.llm.shared import fold_of, table
 
 
@@ -35,12 +40,12 @@ from lodestone.llm.shared import fold_of, table
 class Settings:
     orders: tuple[int, ...] = (3, 4, 5, 6)
     bucket_bits: int = 20
-    max_train_rows: int = 16_000
-    features: int = 4096
-    least_z: float = 4.0
+    max_train_rows: int = 6_000
     alpha: float = 1.0
-    ridge: float = 1e-4
-    steps: int = 400
+    levels: tuple[float, ...] = (2.0, 3.0)
+    folds: int = 3
+    ridge: float = 0.1
+    steps: int = 60
 
 
 @dataclass(frozen=True)
@@ -86,86 +91,127 @@ def _slots(buckets: np.ndarray, bits: int) -> np.ndarray:
     return slots
 
 
+def ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, level: float, alpha: float) -> np.ndarray:
+    """Log-count ratios of document counts, moved towards 0 by so many standard errors."""
+    ratio = np.log((toxic + alpha) / (n_toxic + 2 * alpha)) - np.log((clean + alpha) / (n_clean + 2 * alpha))
+    error = np.sqrt(np.maximum(1 / (toxic + alpha) - 1 / (n_toxic + 2 * alpha) + 1 / (clean + alpha) - 1 / (n_clean + 2 * alpha), 0))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - level * error, 0)
+
+
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Learns from documents(doc_id, text) and labels(doc_id, toxic); labels that are null are skipped."""
     s, width = settings, 1 << settings.bucket_bits
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_train_rows)  # bounded, so it may be broadcast
-    train = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
-    parts = 16
+    fold = F.pmod(F.xxhash64("text"), F.lit(s.folds)).cast("int")
+    train = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), fold.alias("fold"))
+    # ids that repeat make no more rows than the bound
+    train = train.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(s.max_train_rows).select("text", "toxic", "fold") if _repeats(train) else train.select("text", "toxic", "fold")
+    parts, cells = 16, 2 * s.folds
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, width), dtype=np.int64)
-        rows = np.zeros(2, dtype=np.int64)
+        seen, rows = np.zeros((cells, width), dtype=np.int32), np.zeros(cells, dtype=np.int64)
         for b in batches:
-            toxic = b.column(1).to_numpy(zero_copy_only=False)
+            cell = b.column(1).to_numpy(zero_copy_only=False) * s.folds + b.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in chunks(b.column(0), 1 << 18):
-                y = (toxic[lo:hi] > 0).astype(np.int64)
-                rows += np.bincount(y, minlength=2)
+                rows += np.bincount(cell[lo:hi], minlength=cells)
                 row, bucket = present(data, off, s.orders, s.bucket_bits, None, width)
-                seen += np.bincount(y[row] * width + bucket, minlength=2 * width).reshape(2, width)
+                own = cell[lo:hi][row]
+                for c in np.unique(own).tolist():
+                    seen[c] += np.bincount(bucket[own == c], minlength=width).astype(np.int32)
         if rows.sum():
-            for p, (neg, pos) in enumerate(zip(np.split(seen[0], parts), np.split(seen[1], parts), strict=True)):
-                yield pa.record_batch({"part": [p], "neg": [neg.astype("<i4").tobytes()], "pos": [pos.astype("<i4").tobytes()], "n_neg": [int(rows[0])], "n_pos": [int(rows[1])]})
+            for p, block in enumerate(np.split(seen, parts, axis=1)):
+                yield pa.record_batch({"part": [p], "seen": [planes(block.ravel())], "rows": pa.array([rows.tolist()], pa.list_(pa.int64()))})
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for b in batches:
             for r in b.to_pylist():
-                now = [np.frombuffer(r["neg"], "<i4").astype(np.int64), np.frombuffer(r["pos"], "<i4").astype(np.int64), r["n_neg"], r["n_pos"]]
+                now = [from_planes(r["seen"]).astype(np.int64).reshape(cells, -1), np.array(r["rows"])]
                 sums[r["part"]] = [x + y for x, y in zip(sums[r["part"]], now, strict=True)] if r["part"] in sums else now
-        for p, (neg, pos, n0, n1) in sums.items():
-            share = (neg + pos + 1) / (n0 + n1 + 2)
-            z = (pos / max(n1, 1) - neg / max(n0, 1)) / np.sqrt(share * (1 - share) * (1 / max(n0, 1) + 1 / max(n1, 1)))
-            order = np.lexsort((np.arange(len(z)), -np.abs(z)))[: s.features]
-            order = order[np.abs(z[order]) >= s.least_z]
-            ratio = np.log((pos + s.alpha) / (n1 + 2 * s.alpha)) - np.log((neg + s.alpha) / (n0 + 2 * s.alpha))
-            yield pa.record_batch({"bucket": pa.array(order + p * (width // parts), pa.int64()), "z": pa.array(np.abs(z[order])), "ratio": pa.array(ratio[order])})
-
-    counted = train.mapInArrow(count, "part long, neg binary, pos binary, n_neg long, n_pos long")
-    chosen = counted.repartition(parts, "part").mapInArrow(choose, "bucket long, z double, ratio double").orderBy(F.desc("z"), "bucket").limit(s.features).toPandas()
-    buckets, ratios = chosen["bucket"].to_numpy(np.int64), chosen["ratio"].to_numpy(np.float64)
+        for p, (seen, rows) in sums.items():
+            held = np.zeros(seen.shape[1], dtype=bool)
+            for _, clean, toxic, n_clean, n_toxic in _without(seen, rows, s.folds):
+                held |= ratios(clean, toxic, n_clean, n_toxic, min(s.levels), s.alpha) != 0
+            own = np.flatnonzero(held)
+            yield pa.record_batch({"bucket": pa.array(own + p * (width // parts), pa.int64()), "seen": pa.array(seen[:, own].T.tolist(), pa.list_(pa.int64())), "rows": pa.array([rows.tolist()] * len(own), pa.list_(pa.int64()))})
+
+    counted = train.mapInArrow(count, "part long, seen binary, rows array<long>")
+    # at most a row for each bucket
+    chosen = counted.repartition(parts, "part").mapInArrow(choose, "bucket long, seen array<long>, rows array<long>").toPandas().sort_values("bucket")
+    buckets = chosen["bucket"].to_numpy(np.int64)
+    seen = np.array(chosen["seen"].tolist(), dtype=np.int64).T.reshape(cells, len(buckets))
+    rows = np.array(chosen["rows"].iloc[0], dtype=np.int64) if len(buckets) else np.zeros(cells, np.int64)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _slots(buckets, s.bucket_bits)
         for b in batches:
-            toxic = b.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in chunks(b.column(0), 1 << 18):
                 row, slot = present(data, off, s.orders, s.bucket_bits, slots, max(1, len(buckets)))
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 blobs = [slot[a:z].astype("<i4").tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.record_batch({"toxic": pa.array((toxic[lo:hi] > 0).astype(np.int32)), "slots": pa.array(blobs, pa.binary())})
+                yield pa.record_batch({"toxic": b.column(1).slice(lo, hi - lo), "fold": b.column(2).slice(lo, hi - lo), "slots": pa.array(blobs, pa.binary())})
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, cols = [], []
+        y, fold, cols = [], [], []
         for b in batches:
             y += b.column(0).to_pylist()
-            cols += [np.frombuffer(x, "<i4") for x in b.column(1).to_pylist()]
-        y = np.array(y, dtype=np.float64)
-        weights, intercept = np.zeros(len(buckets)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        if 0 < y.sum() < len(y) and len(buckets):
-            row, col = np.repeat(np.arange(len(y)), [len(c) for c in cols]), np.concatenate(cols).astype(np.int64)
-            weights, intercept = logistic(row, col, ratios, y, s)
+            fold += b.column(1).to_pylist()
+            cols += [np.frombuffer(x, "<i4") for x in b.column(2).to_pylist()]
+        weights, intercept = chosen_fit(np.array(y, dtype=np.float64), np.array(fold), cols, seen, rows, s)
         yield pa.record_batch({"weights": [weights.tolist()], "intercept": [intercept]}, schema=pa.schema([("weights", pa.list_(pa.float64())), ("intercept", pa.float64())]))
 
-    got = train.mapInArrow(rows_of, "toxic int, slots binary").repartition(1).mapInArrow(solve, "weights array<double>, intercept double").first()
+    got = train.mapInArrow(rows_of, "toxic int, fold int, slots binary").repartition(1).mapInArrow(solve, "weights array<double>, intercept double").first()
     weights, intercept = (np.array(got[0], dtype=np.float64), got[1]) if got else (np.zeros(len(buckets)), 0.0)
-    return Model(s.orders, s.bucket_bits, buckets, weights * ratios, intercept)
+    used = np.flatnonzero(weights)
+    return Model(s.orders, s.bucket_bits, buckets[used], weights[used], intercept)
+
 
+def _repeats(train: DataFrame) -> bool:
+    return bool(train.groupBy("doc_id").count().where("count > 1").head(1))
 
-def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on presence times scale, by Adam on the full sample."""
-    k = len(scale)
-    w = np.zeros(k + 1)
-    w[k] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-    value = scale[col]
+
+def _without(seen: np.ndarray, rows: np.ndarray, folds: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+    """(fold, or -1: none, left out; clean and toxic counts by feature; clean and toxic rows)."""
+    for k in range(-1, folds):
+        clean, toxic = ([c * folds + j for j in range(folds) if j != k] for c in (0, 1))
+        yield k, seen[clean].sum(axis=0), seen[toxic].sum(axis=0), int(rows[clean].sum()), int(rows[toxic].sum())
+
+
+def chosen_fit(y: np.ndarray, fold: np.ndarray, cols: list[np.ndarray], seen: np.ndarray, rows: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+    """(weight of each feature, intercept) at the level of least log loss in the inner folds."""
+    if not 0 < y.sum() < len(y):
+        return np.zeros(seen.shape[1]), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    row, col = np.repeat(np.arange(len(y)), [len(c) for c in cols]), np.concatenate(cols).astype(np.int64)
+    loss = dict.fromkeys(s.levels, 0.0)
+    for k, *counts in _without(seen, rows, s.folds):
+        out = fold == k
+        if k < 0 or not out.any() or not 0 < y[~out].sum() < (~out).sum():
+            continue
+        for level in s.levels:
+            scale = ratios(*counts, level, s.alpha)
+            w, b = logistic(row, col, scale, y, ~out, s)
+            margin = np.bincount(row, weights=(w * scale)[col], minlength=len(y))[out] + b
+            loss[level] += float(np.logaddexp(0, np.where(y[out] > 0, -margin, margin)).sum())
+    level = min(s.levels, key=lambda x: (loss[x], -x))
+    scale = ratios(*next(_without(seen, rows, s.folds))[1:], level, s.alpha)
+    w, b = logistic(row, col, scale, y, np.ones(len(y), dtype=bool), s)
+    return w * scale, b
+
+
+def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, use: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on presence times scale, by Adam on the rows in use."""
+    keep = use[row] & (scale[col] != 0)
+    row, col, k, n = row[keep], col[keep], len(scale), int(use.sum())
+    b = float(np.log((y[use].sum() + 1) / (n - y[use].sum() + 1)))
+    w = np.append(np.zeros(k), b)
+    m, v, value = np.zeros(k + 1), np.zeros(k + 1), scale[col]
     for t in range(1, s.steps + 1):
         margin = np.bincount(row, weights=w[col] * value, minlength=len(y)) + w[k]
-        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(col, weights=error[row] * value, minlength=k) + s.ridge * w[:k], error.sum())
+        error = np.where(use, 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y, 0.0)
+        g = np.append(np.bincount(col, weights=error[row] * value, minlength=k) + s.ridge * w[:k], error.sum()) / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w[:k], float(w[k])
 
 
