@@ -1,11 +1,13 @@
 """Vectorised views of Arrow string columns, for use inside tasks.
 
 Everything here works on a bounded chunk of rows (about ``CHUNK`` bytes; one longer text makes
-a chunk of its own), so a task's memory does not follow the size of its partition.
+a chunk of its own), so a task's memory does not follow the size of its partition.  What a chunk has
+used goes back to the system, as workers outlive their tasks.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,18 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can; drops powers beyond those of a usual chunk."""
+    pa.default_memory_pool().release_unused()
+    if "up" in _powers and len(_powers["up"]) > 8 * CHUNK:
+        _powers.clear()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalising bit mixer of 64-bit hashes."""
     h = h ^ (h >> U64(30))
@@ -92,6 +106,7 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
         end = max(row + 1, int(np.searchsorted(off, off[row] + size, side="right")) - 1)
         yield row, end, data[off[row] : off[end]], off[row : end + 1] - off[row]
         row = end
+    give_back()
 
 
 def separators(kind: str) -> np.ndarray:
