@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, embeddings, jaccard, language_model, licenses, packing, secrets, suffixes, toxicity, urls
 from lodestone.llm.elias_fano import Sequence, encode
@@ -38,13 +39,67 @@ def test_secrets(docs, empty):
             want += [(m.start(), k, rule.kind, m.end()) for m in re.finditer(rule.pattern, t) if len(m[rule.group]) >= rule.least]
         assert got[i] == [(k, a, z) for a, _, k, z in sorted(want)]
     assert secrets.findings(empty).count() == 0
-    ledger = secrets.scan(docs)
-    assert secrets.scan(docs, ledger).count() == 0
-    assert {r.doc_id: len(r.spans) for r in secrets.findings(docs, ledger).collect()} == {i: len(s) for i, s in got.items()}
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert "24be64" not in clean[12] and "[access]" in clean[12] and clean[6] == LONG and clean[0] is None
 
 
+def test_secret_ledger(docs, empty, spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    old = secrets.update(docs.where("doc_id < 13"), path, secrets.BASE)
+    n = old.count()
+    assert n == len({t or "" for t in TEXTS[:13]})
+    assert secrets.scan(docs.where("doc_id < 13"), old, secrets.BASE).count() == 0
+    assert secrets.scan(docs, old, secrets.BASE).count() == len({t or "" for t in TEXTS}) - n
+    # a new rule version, and new rules: these pairs alone are scanned
+    newer = (secrets.BASE[0], secrets.Rule("access", r"AKIA[A-Z]+", 0, 30, version=2), *secrets.BASE[2:])
+    added = secrets.scan(docs.where("doc_id < 13"), old, newer).collect()
+    assert len(added) == n and all([(d.rule, d.version) for d in r.done] == [("access", 2)] for r in added)
+    assert secrets.scan(docs.where("doc_id < 13"), old).select("done.rule").distinct().collect() == [(["github", "pem"],)]
+    first, again = ({r.doc_id: r.spans for r in secrets.findings(docs, path).collect()} for _ in range(2))
+    assert first == again == {r.doc_id: r.spans for r in secrets.findings(docs).collect()}
+    assert secrets.scan(docs, secrets.ledger_at(spark, path)).count() == 0 and secrets.scan(empty, secrets.ledger_at(spark, path)).count() == 0
+    assert all(s.kind != "access" for r in secrets.findings(docs, path, newer).collect() for s in r.spans)
+
+
+def test_columns_with_clashing_names(docs):
+    own = docs.selectExpr("doc_id", "text", "kind as Blob", "name as spans", "name as stay", "name as v", "name as w", "kind as maybe", "name as count")
+    got = secrets.findings(own)
+    assert got.columns == [*own.columns, "blob_", "spans_"] and got.count() == len(TEXTS) + 1
+    for df in (secrets.redact(own), jaccard.keep_first(own)):
+        assert df.columns == own.columns and df.select("spans", "Blob").distinct().count() > 1
+
+
+def test_jaccard_of_edited_copies(spark):
+    """Copies edited apart, some linked with a head of their group, some with one another alone, some truncated."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for base in range(2):
+        words = [f"b{base}x{i}" for i in range(120)]
+        for k in range(150):
+            own = list(words)
+            for place in rng.choice(120, int(rng.integers(0, 14)), replace=False):
+                own[place] = f"n{rng.integers(0, 1 << 40)}" if k % 3 else ""
+            texts.append(" ".join(w for w in own[: 120 - int(rng.integers(0, 50)) * (k % 5 == 0)] if w))
+            if k % 7 == 0:
+                texts.append(texts[-1] + " and more")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), jaccard.Settings(heads=2)).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    group = list(range(len(sets)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    assert len({root(i) for i in range(len(sets))}) > 20
+    assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_suffixes(docs, empty, hot):
     s = suffixes.Settings(hot=hot)
@@ -267,6 +322,21 @@ def test_urls(spark):
     assert (got[99].host, got[99].path) == ("", "") and urls.judge(pages.where("false"), labels).count() == 0
 
 
+def test_host_reputation(spark):
+    """A host with many bad pages is blocked; one with a single bad page, or none, is shrunk and stays."""
+    pages, labels, k = [], [], 0
+    for host, n, bad in [("bad.co.uk", 60, 55), ("www.bad.co.uk", 1, 1), ("small.com", 1, 1), ("new.com", 0, 0), *[(f"h{i}.com", 20, 1) for i in range(30)], *[(f"k{i}.co.uk", 20, 1) for i in range(10)]]:
+        for j in range(max(n, 1)):
+            pages.append((k, f"http://{host}/page/{k}"))
+            labels += [(k, int(j < bad))] if n else []
+            k += 1
+    pages, labels = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, bad int")
+    got = {(r.host, r.verdict) for r in urls.judge(pages, labels).collect()}
+    assert {h for h, v in got if v == "block"} == {"bad.co.uk", "www.bad.co.uk"}
+    rep = {r.host: r for r in urls.reputation(pages.join(labels, F.col("page_id") == F.col("doc_id"), "left").select(urls.host_path(F.col("url"))[0].alias("host"), "bad")).collect()}
+    assert rep["small.com"].mean < 0.6 < rep["bad.co.uk"].mean and rep["small.com"].mean > rep["new.com"].mean and rep["www.bad.co.uk"].mean > rep["small.com"].mean
+
+
 def test_toxicity(spark):
     rows = [(i, ("you idiot " if i % 4 == 0 else "kind words ") + f"text number {i} goes on", "x") for i in range(400)] + [(900, None, "x"), (901, "", "x")]
     d = spark.createDataFrame(rows, "doc_id long, text string, score string")
