@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import stored
+
 ELEMENT = "doc_id long, id string, order int, type string, level int, text string"
-EXCLUDED = ("header", "footer", "page_number")
 
 
 def heading_level(kind: Column, level: Column) -> Column:
@@ -24,12 +25,13 @@ class _Blocks(HTMLParser):
 
     KINDS = {"p": "paragraph", "li": "list_item", "pre": "code", "caption": "caption", "figcaption": "caption", "table": "table", **{f"h{k}": "heading" for k in range(1, 7)}}
     SILENT = ("script", "style", "head", "template", "noscript")
+    OPENS = ("div", "section", "article", "ul", "ol", "nav", "body", "main", "header", "footer", "blockquote")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, int | None, str]] = []
         self.parts: list[str] = []
-        self.kind, self.level, self.silent = "paragraph", None, 0
+        self.kind, self.level, self.silent, self.in_head = "paragraph", None, 0, False
 
     def flush(self) -> None:
         text = "".join(self.parts)
@@ -44,6 +46,10 @@ class _Blocks(HTMLParser):
         self.parts, self.kind, self.level = [], "paragraph", None
 
     def handle_starttag(self, tag, attrs):
+        if self.in_head and (tag in self.KINDS or tag in self.OPENS):
+            # a block ends a head whose end tag is left out
+            self.in_head, self.silent = False, 0
+        self.in_head |= tag == "head"
         self.silent += tag in self.SILENT
         if self.kind == "table" and tag not in ("table", "caption"):
             self.parts.append({"tr": "\n", "td": " | ", "th": " | ", "br": " "}.get(tag, ""))
@@ -51,15 +57,16 @@ class _Blocks(HTMLParser):
             self.flush()
             self.kind = self.KINDS[tag]
             self.level = int(tag[1]) if self.kind == "heading" else None
-        elif tag in ("div", "section", "article", "ul", "ol", "nav", "body", "main"):
+        elif tag in self.OPENS:
             self.flush()
         elif tag == "br":
             self.parts.append("\n" if self.kind == "code" else " ")
 
     def handle_endtag(self, tag):
+        self.in_head &= tag != "head"
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "table" or (tag in self.KINDS and self.kind != "table") or tag in ("div", "section", "article", "ul", "ol", "nav", "body", "main"):
+        elif tag == "table" or (tag in self.KINDS and self.kind != "table") or tag in self.OPENS:
             self.flush()
             if tag in ("caption",):
                 self.kind = "table"
@@ -145,22 +152,22 @@ def html_title(html: Column, first: int = 65_536) -> Column:
     """The page's <title>, else its first <meta name=title>, from the start of the page; else null."""
     head = F.substring(html, 1, first)
     title = F.trim(F.regexp_replace(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    meta = F.trim(F.regexp_extract(head, r"(?is)<meta\s+name=[\"']?title[\"']?\s+content=[\"']([^\"']*)", 1))
+    tag = F.regexp_extract(head, r"(?is)<meta\b(?=[^>]*\bname\s*=\s*[\"']?title[\"'\s/>])[^>]*>", 0)  # whatever the order of its attributes
+    meta = F.trim(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*[\"']([^\"']*)", 1))
     return F.coalesce(F.nullif(title, F.lit("")), F.nullif(meta, F.lit("")))
 
 
 def heading_paths(elements: DataFrame) -> DataFrame:
     """Elements with heading_path: the last heading of each level above, not ended by a shallower one since."""
     upto = Window.partitionBy("doc_id").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
-    last = {k: F.max(F.when((F.col("type") == "heading") & (F.col("level") == k), F.struct("order", "text"))).over(upto) for k in range(1, 7)}
-    e = elements
-    for k, c in last.items():
-        e = e.withColumn(f"_h{k}", c)
-    live = [F.when(F.col("_h1").isNotNull(), F.col("_h1.text"))]
-    for k in range(2, 7):
-        shallower = F.greatest(*[F.coalesce(F.col(f"_h{j}.order"), F.lit(-1)) for j in range(1, k)], F.lit(-1))
-        live.append(F.when(F.col(f"_h{k}.order") > shallower, F.col(f"_h{k}.text")))
-    return e.withColumn("heading_path", F.filter(F.array(*live), lambda x: x.isNotNull())).drop(*[f"_h{k}" for k in range(1, 7)])
+    last = F.array(*[F.max(F.when((F.col("type") == "heading") & (F.col("level") == k), F.struct("order", "text"))).over(upto) for k in range(1, 7)])
+    e = elements.withColumn("heading_path", last)  # the six, then those that live
+    at = lambda k: F.get("heading_path", F.lit(k - 1))
+    live = []
+    for k in range(1, 7):
+        shallower = F.greatest(*[F.coalesce(at(j)["order"], F.lit(-1)) for j in range(1, k)], F.lit(-1), F.lit(-1))
+        live.append(F.when(at(k)["order"] > shallower, at(k)["text"]))
+    return e.withColumn("heading_path", F.array_compact(F.array(*live)))
 
 
 def renumbered(elements: DataFrame, kept: Column) -> DataFrame:
@@ -168,14 +175,21 @@ def renumbered(elements: DataFrame, kept: Column) -> DataFrame:
     return elements.where(kept).withColumn("order", (F.row_number().over(Window.partitionBy("doc_id").orderBy("order")) - 1).cast("int"))
 
 
-def reparented(elements: DataFrame, kept: DataFrame, depth: int = 8) -> DataFrame:
-    """kept(doc_id, id, parent_id, …) with parents moved to the nearest ancestor that is kept, else null;
-    looks at most depth ancestors up, so that a cycle ends."""
-    parents = elements.select("doc_id", F.col("id").alias("_at"), F.col("parent_id").alias("_up"))
-    live = kept.select("doc_id", F.col("id").alias("_at"), F.lit(True).alias("_live"))
-    e = kept
-    for _ in range(depth):
-        e = e.join(parents.join(live, ["doc_id", "_at"], "left").withColumnRenamed("_at", "parent_id"), ["doc_id", "parent_id"], "left")
-        e = e.withColumn("parent_id", F.when(F.col("_live"), F.col("parent_id")).otherwise(F.col("_up"))).drop("_up", "_live")
-    whole = live.withColumnRenamed("_at", "parent_id")
-    return e.join(whole, ["doc_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("_live"), F.col("parent_id"))).drop("_live")
+def reparented(elements: DataFrame, kept: DataFrame) -> DataFrame:
+    """kept(doc_id, id, parent_id, …) with parents moved to the nearest ancestor that is kept, else null.
+
+    What each fallen element leads to is followed in steps that double, each a written table, until all lead to an
+    element that is kept or to none; what still leads to a fallen one then lies on a cycle and becomes null."""
+    fallen = elements.join(kept.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
+    up = stored(fallen.select("doc_id", F.col("id").alias("at"), F.col("parent_id").alias("to")), "fallen")
+    most = up.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length() + 1):
+        on = up.select("doc_id", F.col("at").alias("to"), F.col("to").alias("further"), F.lit(True).alias("fell"))
+        met = stored(up.join(on, ["doc_id", "to"], "left"), "fallen")
+        if not met.where("fell").head(1):
+            break
+        up = met.select("doc_id", "at", F.when(F.col("fell"), F.col("further")).otherwise(F.col("to")).alias("to"))
+    live = kept.select("doc_id", F.col("id").alias("_to"), F.lit(True).alias("_live"))
+    moved = kept.join(up.select("doc_id", F.col("at").alias("parent_id"), F.col("to").alias("_new"), F.lit(True).alias("_fell")), ["doc_id", "parent_id"], "left")
+    moved = moved.withColumn("_to", F.when(F.col("_fell"), F.col("_new")).otherwise(F.col("parent_id")))
+    return moved.join(live, ["doc_id", "_to"], "left").withColumn("parent_id", F.when(F.col("_live"), F.col("_to"))).select(*kept.columns)

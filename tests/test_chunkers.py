@@ -43,6 +43,7 @@ def test_html_blocks():
     html = "<head><title>T</title></head><h2>Head</h2><p>a <b>b</b><br>c</p><ul><li>x<li>y</ul><table><caption>cap</caption><tr><th>k<td>v</tr></table><pre>\n i = 1\n</pre><script>no</script><p> </p>tail"
     assert E.blocks_of_html(html) == [("heading", 2, "Head"), ("paragraph", None, "a b c"), ("list_item", None, "x"), ("list_item", None, "y"), ("caption", None, "cap"), ("table", None, "k | v"), ("code", None, " i = 1"), ("paragraph", None, "tail")]
     assert E.blocks_of_html("") == []
+    assert E.blocks_of_html("<html><head><title>x</title><body><p>hello") == [("paragraph", None, "hello")] == E.blocks_of_html("<head><title>x</title><p>hello</p>")
 
 
 def test_markdown_blocks():
