@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+
 PICKED = "query long, piece long, prior_rank int, rank int, score double"
 
 
@@ -58,3 +60,18 @@ def expansion_terms(feedback: DataFrame, background: DataFrame, asked: DataFrame
     scored = tf.join(background, "term").select("query", "term", score.alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def reordered(hits: DataFrame, replies: DataFrame, k: int = 5) -> DataFrame:
+    """hits(query, rank, …) in the order that replies(query, reply) name, numbers counted from 0, the rest in their prior
+    order, which stays as prior_rank; a query without a reply keeps its order."""
+    n = hits.groupBy("query").agg(F.count("*").cast("int").alias("n"))
+    order = n.join(replies, "query", "left").select("query", F.posexplode(T.parse_order(F.coalesce("reply", F.lit("")), F.col("n"))).alias("place", "index"))
+    moved = hits.withColumnRenamed("rank", "prior_rank").join(order.withColumn("prior_rank", F.col("index") + 1), ["query", "prior_rank"])
+    return moved.withColumn("rank", F.col("place") + 1).where(F.col("rank") <= k).drop("place", "index")
+
+
+def widened(questions: DataFrame, terms: DataFrame) -> DataFrame:
+    """questions(query, text) with the expansion terms(query, term) put after the text, for the lexical side of a search."""
+    more = terms.groupBy("query").agg(F.array_join(F.sort_array(F.collect_set("term")), " ").alias("more"))
+    return questions.join(more, "query", "left").select("query", F.concat_ws(" ", "text", "more").alias("text"))

@@ -70,11 +70,13 @@ def overlap(questions: DataFrame, pieces: DataFrame, k: int = 20) -> DataFrame:
 
 
 def rrf(dense_hits: DataFrame, lexical_hits: DataFrame, k: int = 20, rrf_k: int = 60, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """query, piece, score, best, total, rank of two ranked lists: sum of weight / (rrf_k + rank)."""
+    """query, piece, score, best, dense_score, lexical_score, total, rank of two ranked lists: sum of weight / (rrf_k + rank),
+    ties by the best rank and the id; a list's own score is null where the piece is not in it."""
     if not any(weights):
         raise ValueError("both weights are 0")
-    both = dense_hits.select("query", "piece", "rank", F.lit(float(weights[0])).alias("w")).unionAll(lexical_hits.select("query", "piece", "rank", F.lit(float(weights[1])).alias("w")))
-    fused = both.groupBy("query", "piece").agg(F.round(F.sum(F.col("w") / (rrf_k + F.col("rank"))), 9).alias("score"), F.min("rank").alias("best"))
+    side = lambda hits, w, own: hits.select("query", "piece", "rank", F.lit(float(w)).alias("w"), F.col("score").alias(own))
+    both = side(dense_hits, weights[0], "dense_score").unionByName(side(lexical_hits, weights[1], "lexical_score"), allowMissingColumns=True)
+    fused = both.groupBy("query", "piece").agg(F.round(F.sum(F.col("w") / (rrf_k + F.col("rank"))), 9).alias("score"), F.min("rank").alias("best"), F.max("dense_score").alias("dense_score"), F.max("lexical_score").alias("lexical_score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "best", "piece")
     fused = fused.withColumn("total", F.count("*").over(Window.partitionBy("query"))).withColumn("rank", F.row_number().over(w))
     return fused.where(F.col("rank") <= k)

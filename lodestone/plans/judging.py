@@ -56,6 +56,13 @@ def recursive_chunks(spark, sf_dir):
     return C.recursive_chunks(load(spark, sf_dir, "documents"))
 
 
+@query()
+def chunks_by_table_function(spark, sf_dir):
+    """The recursive chunker as a table function of SQL, over the whole table."""
+    C.register_chunker(spark, "recursive_spans", C.recursive)
+    return spark.sql("select * from recursive_spans(table(select doc_id, text from {d}))", d=load(spark, sf_dir, "documents"))
+
+
 @query()
 def markdown_sections(spark, sf_dir):
     return C.markdown_sections(load(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import manage as M
 from lodestone.operators import prepare as P
+from lodestone.operators import rerank as K
 from lodestone.operators import retrieve as R
 from lodestone.plans.preparing import TOKENS, load
 from lodestone.query_set import query
@@ -83,10 +84,15 @@ def filtered_dense_search(spark, sf_dir):
 
 LEXICAL = rf"""qt as (select distinct item_id query, term from (select item_id, {WORDS} from benchmark)), post as (select piece, term, count(*) tf from (select doc_id piece, {WORDS} from documents) group by 1, 2),
 sz as (select doc_id piece, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+')) dl from documents), tot as (select count(*) n, avg(dl) avgdl from sz), dfs as (select term, count(*) df from post group by 1),
-lx as (select query, piece, row_number() over (partition by query order by round(score, 9) desc, piece) as rank from (select query, piece, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) score from post join qt using (term) join dfs using (term) join sz using (piece), tot group by 1, 2))"""
+lx as (select query, piece, round(score, 9) score, row_number() over (partition by query order by round(score, 9) desc, piece) as rank from (select query, piece, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) score from post join qt using (term) join dfs using (term) join sz using (piece), tot group by 1, 2))"""
 ITEM_DENSE = DENSE.replace("from embeddings where vec_id % 50 = 0", "from embeddings where vec_id in (select item_id from benchmark)")
 
 
+EXPANDED = f"""w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) term from documents), t as (select * from w where length(term) >= 3 and not list_contains(string_split('{" ".join(T.EXPANSION_STOP_WORDS)}', ' '), term)), xf as (select term, count(distinct doc_id) df from t group by 1), xn as (select count(*) n from documents),
+own as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '[a-z]+')) term from benchmark), fb as (select query, term, count(*) tf from (select query, piece doc_id from de where rank <= 3) join t using (doc_id) group by 1, 2),
+ex as (select query, term from (select query, term, row_number() over (partition by query order by score desc, term) as r from (select query, term, round(tf * (ln((n + 1) / (df + 1)) + 1), 9) score from fb join xf using (term), xn where (query, term) not in (select (query, term) from own))) where r <= 5),"""
+
+
 def dense_and_lexical(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
     """The two ranked lists of each benchmark item: by the vector of its id, and by its words over the documents."""
     v, items = vectors(spark, sf_dir), questions(spark, sf_dir)
@@ -95,12 +101,37 @@ def dense_and_lexical(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFra
     return R.dense(asked_items, v, k), R.bm25(items, documents, k)
 
 
-@query(f"""with {ITEM_DENSE}, {LEXICAL}, u as (select query, piece, rank, 1.0 w from de where rank <= 20 union all select query, piece, rank, 0.5 w from lx where rank <= 20),
-f as (select query, piece, round(sum(w / (60 + rank)), 9) score, min(rank) best from u group by 1, 2) select * from (select *, count(*) over (partition by query) total, row_number() over (partition by query order by score desc, best, piece) as rank from f) where rank <= 10""")
+@query(f"""with {ITEM_DENSE}, {LEXICAL}, u as (select query, piece, rank, 1.0 w, score d, null::double x from de where rank <= 20 union all select query, piece, rank, 0.5 w, null, score from lx where rank <= 20),
+f as (select query, piece, round(sum(w / (60 + rank)), 9) score, min(rank) best, max(d) dense_score, max(x) lexical_score from u group by 1, 2) select * from (select *, count(*) over (partition by query) total, row_number() over (partition by query order by score desc, best, piece) as rank from f) where rank <= 10""")
 def hybrid_rrf(spark, sf_dir):
     return R.rrf(*dense_and_lexical(spark, sf_dir, 20), 10, weights=(1.0, 0.5))
 
 
+@query(f"""with {ITEM_DENSE}, {LEXICAL.replace('qt as (', 'q0 as (').replace('post as (select', 'qt as (select query, term from q0 union select query, term from ex), post as (select').replace('q0 as (', EXPANDED + ' q0 as (', 1)}, u as (select query, piece, rank from de where rank <= 20 union all select query, piece, rank from lx where rank <= 20),
+f as (select query, piece, round(sum(1.0 / (60 + rank)), 9) score, min(rank) best from u group by 1, 2) select query, piece, score, rank from (select *, row_number() over (partition by query order by score desc, best, piece) as rank from f) where rank <= 10""")
+def prf_search(spark, sf_dir):
+    """Hybrid search whose lexical side is widened by terms of each item's three nearest documents."""
+    items, d = questions(spark, sf_dir), load(spark, sf_dir, "documents")
+    documents = d.select(F.col("doc_id").alias("piece"), "text")
+    v = vectors(spark, sf_dir)
+    near = R.dense(v.join(items.select(F.col("query").alias("piece")), "piece", "left_semi").select(F.col("piece").alias("query"), F.col("vector").alias("qv")), v, 20)
+    words = d.select("doc_id", F.explode(T.expansion_tokens(F.col("text"))).alias("term"))
+    count = d.agg(F.count("*").alias("n"))
+    background = words.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).crossJoin(F.broadcast(count))  # one row
+    feedback = words.join(near.where("rank <= 3").select("query", F.col("piece").alias("doc_id")), "doc_id").groupBy("query", "term").agg(F.count("*").alias("tf"))
+    terms = K.expansion_terms(feedback, background, items.select("query", F.explode(T.expansion_tokens(F.col("text"))).alias("term")).distinct())
+    return R.rrf(near, R.bm25(K.widened(items, terms), documents, 20), 10).select("query", "piece", "score", "rank")
+
+
+@query(f"""with {DENSE}, h as (select query, piece, rank, query % 7 a, query % 5 + 7 b from de where rank <= 20) select query, piece, rank prior_rank, r as rank from (select *, case rank - 1 when a then 1 when b then 2 else rank + (a > rank - 1)::int + (b > rank - 1)::int end r from h) where r <= 5""")
+def replied_order(spark, sf_dir):
+    """The nearest vectors in the order that a reply names."""
+    hits = R.dense(asked(spark, sf_dir), vectors(spark, sf_dir), 20)
+    q = F.col("query")
+    replies = hits.select("query").distinct().select("query", F.concat(F.lit("First "), (q % 7).cast("string"), F.lit(", then "), (q % 5 + 7).cast("string"), F.lit("; 99 not, and "), (q % 7).cast("string"), F.lit(" again.")).alias("reply"))
+    return K.reordered(hits, replies).select("query", "piece", "prior_rank", "rank")
+
+
 @query("""select b.item_id, count(d.doc_id) n_documents, min(d.doc_id) first_document, coalesce(min(case when contains(d.text, b.text) then 'exact' end), 'not_found') as status from benchmark b left join documents d on contains(d.text, b.text) group by 1""")
 def gold_containment(spark, sf_dir):
     b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
