@@ -169,13 +169,18 @@ def ranking_replies(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", T.parse_order(reply, F.lit(6)).alias("order"))
 
 
-@query("""with e as (select vec_id, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings), q as (select v q, n qn from e where vec_id = 0)
-select vec_id, list_dot_product(v, q) dot, case when n * qn = 0 then 0 else list_dot_product(v, q) / (n * qn) end cosine, -list_distance(v, q) l2 from e, q""")
+@query("""with e as (select vec_id, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings), q as (select vec_id as query, v q, n qn from e where vec_id % 50 = 0)
+select query, vec_id, list_dot_product(v, q) dot, case when n * qn = 0 then 0 else list_dot_product(v, q) / (n * qn) end cosine, -list_distance(v, q) l2 from e, q""")
 def vector_scores(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    a, b = F.col("embedding"), F.col("q")
-    return e.crossJoin(F.broadcast(q)).select("vec_id", V.dot(a, b).alias("dot"), V.cosine(a, b).alias("cosine"), V.l2_score(a, b).alias("l2"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))  # the stated query set
+    a, b = F.col("embedding"), F.col("qv")
+    out = None
+    for k in range(-(-q.count() // 10_000) or 1):  # in blocks
+        block = q.where(F.pmod(F.xxhash64("query"), F.lit(-(-q.count() // 10_000) or 1)) == k)
+        got = e.crossJoin(F.broadcast(block)).select("query", "vec_id", V.dot(a, b).alias("dot"), V.cosine(a, b).alias("cosine"), V.l2_score(a, b).alias("l2"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("""with e as (select vec_id, embedding::double[] v, embedding[1:16]::double[] t from embeddings) select vec_id, list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))) whole, list_sum(list_transform(t, lambda x: x / sqrt(list_dot_product(t, t)))) cut from e""")

@@ -237,23 +237,35 @@ def cost_by_step(spark, sf_dir):
     return M.cost_report(M.priced(e, M.price_table(spark)).groupBy("event_type"))
 
 
-@query("""with c as (select v.vec_id claim, v.vec_id % 10 as query, v.embedding::double[] e, case when v.vec_id % 3 = 0 then [] when v.vec_id % 3 = 1 then [v.vec_id % 10 + 10] else [99999::bigint] end cited from embeddings v where v.vec_id >= 100), s as (select vec_id sid, vec_id % 10 as query, embedding::double[] f from embeddings where vec_id < 100),
+@query(f"""with {DENSE}, c as (select vec_id claim, vec_id - vec_id % 50 as query, embedding::double[] e, case when vec_id % 3 = 0 then [] when vec_id % 3 = 1 then [vec_id - vec_id % 50] else [99999999::bigint] end cited from embeddings), s as (select piece sid, query, embedding::double[] f from de join embeddings on vec_id = piece where rank <= 20),
 m as (select query, claim, cited, sid, round(list_cosine_similarity(e, f), 9) sim, list_contains(cited, sid) ic from c join s using (query)), g as (select query, claim, any_value(cited) cited, arg_max(sid, (sim, -sid)) filter (ic) cs, max(sim) filter (ic) cm, arg_max(sid, (sim, -sid)) a, max(sim) am, sum(ic::int) known from m group by 1, 2)
 select query, claim, case when len(cited) > 0 and known < len(cited) then 'none' when len(cited) > 0 and cm >= 0.05 then 'cited' when len(cited) > 0 then 'weak' when am >= 0.05 then 'similarity' else 'none' end as label, case when len(cited) = 0 then a else cs end sid from g""")
 def grounded_claims(spark, sf_dir):
-    v = load(spark, sf_dir, "embeddings")
-    i = F.col("vec_id")
-    cited = F.when(i % 3 == 0, F.array().cast("array<bigint>")).when(i % 3 == 1, F.array(i % 10 + 10)).otherwise(F.array(F.lit(99999).cast("long")))
-    claims = v.where("vec_id >= 100").select(i.alias("claim"), (i % 10).alias("query"), F.col("embedding").alias("e"), cited.alias("cited"))
-    sentences = v.where("vec_id < 100").select(i.alias("sid"), (i % 10).alias("query"), F.col("embedding").alias("f"))
+    """Every vector as a claim of the question before it, against the sentences that its search found."""
+    v, i = load(spark, sf_dir, "embeddings"), F.col("vec_id")
+    own = i - i % 50
+    cited = F.when(i % 3 == 0, F.array().cast("array<bigint>")).when(i % 3 == 1, F.array(own)).otherwise(F.array(F.lit(99999999).cast("long")))
+    claims = v.select(i.alias("claim"), own.alias("query"), F.col("embedding").alias("e"), cited.alias("cited"))
+    found = R.dense(asked(spark, sf_dir), vectors(spark, sf_dir), 20).select("query", F.col("piece").alias("sid"))
+    sentences = found.join(v.select(i.alias("sid"), F.col("embedding").alias("f")), "sid")
     return M.ground(claims, sentences, V.cosine(F.col("e"), F.col("f")), 0.05)
 
 
-@query("""with f as (select vec_id piece, vec_id % 8 as query, round(list_sum(embedding[1:4]::double[]), 6) score from embeddings), g as (select *, row_number() over (partition by query order by score desc, piece) prior_rank from f)
-select query, piece, prior_rank, rank, prior_rank - rank moved from (select *, row_number() over (partition by query order by piece % 17, prior_rank) as rank from g)""")
+@query(f"""with {DENSE}, h as (select query, piece, rank prior_rank from de where rank <= 20) select query, piece, prior_rank, rank, prior_rank - rank moved from (select *, row_number() over (partition by query order by piece % 17, prior_rank) as rank from h)""")
 def rerank_movement(spark, sf_dir):
-    total = F.round(F.aggregate(F.slice("embedding", 1, 4).cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 6)
-    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("piece"), (F.col("vec_id") % 8).alias("query"), total.alias("score"))
-    e = e.withColumn("prior_rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "piece")))
-    e = e.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("piece") % 17, "prior_rank")))
-    return e.select("query", "piece", "prior_rank", "rank", (F.col("prior_rank") - F.col("rank")).alias("moved"))
+    h = R.dense(asked(spark, sf_dir), vectors(spark, sf_dir), 20).select("query", "piece", F.col("rank").alias("prior_rank"))
+    h = h.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("piece") % 17, "prior_rank")))
+    return h.withColumn("moved", F.col("prior_rank") - F.col("rank"))
+
+
+@query(f"""with {DENSE}, h as (select query, piece, rank prior_rank, label = (query // 50) % 4 holds from de where rank <= 20), m as (select *, row_number() over (partition by query order by piece % 17, prior_rank) as rank from h), f as (select query, min(case when holds then rank end) r, arg_min(prior_rank, rank) filter (holds) p from m group by 1)
+select sum((p > r)::int) up, sum((p < r)::int) down, sum((p = r)::int) same from f where r <= 5""")
+def rerank_effect(spark, sf_dir):
+    """Of the questions found in the first five: how many of the hits that answer them moved up, down or not."""
+    v = vectors(spark, sf_dir)
+    h = R.dense(asked(spark, sf_dir), v, 20).withColumnRenamed("rank", "prior_rank").join(v.select("piece", "label"), "piece")
+    h = h.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("piece") % 17, "prior_rank")))
+    holds = F.col("label") == F.floor(F.col("query") / 50) % 4
+    first = h.where(holds).groupBy("query").agg(F.min(F.struct("rank", "prior_rank")).alias("m")).select("m.*").where("rank <= 5")
+    up = F.col("prior_rank") - F.col("rank")
+    return first.agg(*[F.sum(c.cast("int")).alias(n) for n, c in (("up", up > 0), ("down", up < 0), ("same", up == 0))])
