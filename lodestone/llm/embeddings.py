@@ -37,7 +37,6 @@ class Settings:
     codewords: int = 48
     deviations: float = 2.9
     least: int = 10
-    most: int = 64
     block: int = 1024
     seed: int = 20
 
@@ -74,8 +73,7 @@ def decode(units: np.ndarray, s: Settings) -> list[np.ndarray]:
         ends = np.searchsorted(-r, -(cut - l[:rows]), side="right")
         i = np.repeat(np.arange(rows), ends)
         j = np.arange(len(i)) - np.repeat(np.concatenate(([0], np.cumsum(ends)[:-1])), ends)
-        top = np.argsort(-(l[i] + r[j]), kind="stable")[: s.most]
-        out.append(np.sort(order_l[k, i[top]] * s.codewords + order_r[k, j[top]]).astype(np.int32))
+        out.append(np.sort(order_l[k, i] * s.codewords + order_r[k, j]).astype(np.int32))
     return out
 
 
@@ -224,3 +222,14 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> Data
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of op8: every pair of a label."""
+    return """with v as (select row_number() over () i, vec_id, label, embedding::double[] e from embeddings),
+ok as (select * from v where vec_id is not null and label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.i, b.i j, a.vec_id u, b.vec_id w from ok a join ok b on a.label = b.label and a.i <> b.i and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+edges as (select u, w from links union select w, u from links),
+least as (with recursive r(x, y) as (select vec_id, vec_id from ok union select r.x, edges.w from r join edges on edges.u = r.y) select x, min(y) c from r group by 1),
+n as (select i, count(*) n from links group by 1)
+select vec_id, coalesce(n, 0)::bigint n_links, coalesce(c, vec_id) component_id, coalesce(vec_id = coalesce(c, vec_id), true) kept from v left join n using (i) left join least on x = vec_id and i in (select i from ok)"""
