@@ -8,12 +8,13 @@ by trigger with the bytes that its strings cover.  There the dictionary's two su
 what follows the trigger and, reversed, of what precedes it - are built with their LCP arrays; a
 string with o bytes before its trigger is repeated if another row has the same rank group at LCP o
 on the left and at LCP length - o on the right.  So the two arrays together give corpus order of all
-strings, compared byte by byte, while text that occurs once is never sorted.
+strings, compared byte by byte (but for hot triggers, below), while text that occurs once is never sorted.
 
 Bounds.  Equal rows of a chunk are sent once; equal texts are counted apart (each byte of a text of
 at least ``length`` bytes that occurs twice is removed) and a task sends a text once.  Triggers with
-more than ``hot`` occurrences, at most ``hot_keys`` of them, have their strings dealt out one by one
-by a 64-bit hash instead, so no task holds a hot trigger.  The test of triggers is a bitmap of fixed
+more than ``hot`` occurrences, at most ``hot_keys`` of them, leave the suffix order: their strings are
+dealt out one by one by two independent 64-bit hashes, which stand for the bytes there, so no task
+holds a hot trigger.  The test of triggers is a bitmap of fixed
 size; where it errs, rows are sent that find no partner.
 
 Defined cases.  A null text is the empty one.  Texts shorter than the length lose nothing.  Equal
@@ -128,7 +129,8 @@ def repeated_triggers(texts: DataFrame, s: Settings) -> tuple[np.ndarray, np.nda
     return _bitmap(found, s.bitmap_bits), np.sort(hot)
 
 
-CONTEXT = "key long, name binary, low long, before long, count long, twice boolean, bytes binary"
+CONTEXT = "key long, name binary, low long, before long, count long, twice boolean, bytes binary, other long"
+_SECOND = mix(PLAIN ^ U64(0x5851F42D4C957F2D))
 
 
 def contexts(texts: DataFrame, bitmap: np.ndarray, hot: np.ndarray, s: Settings) -> DataFrame:
@@ -164,12 +166,12 @@ def contexts(texts: DataFrame, bitmap: np.ndarray, hot: np.ndarray, s: Settings)
                 local = p.low[x] - off[p.doc[x]]
                 own = pa.array([names[lo + d] for d in p.doc[x].tolist()], pa.binary())
                 twice = n[inverse.ravel()] > 1
-                out = pa.record_batch({"key": pa.array(key[x]), "name": own, "low": pa.array(local), "before": pa.array(before), "count": pa.array(count), "twice": pa.array(twice), "bytes": blob})
+                out = pa.record_batch({"key": pa.array(key[x]), "name": own, "low": pa.array(local), "before": pa.array(before), "count": pa.array(count), "twice": pa.array(twice), "bytes": blob, "other": pa.nulls(len(x), pa.int64())})
                 yield out.filter(pa.array(sent & ~is_hot))
                 if (twice & ~is_hot).any():
                     done = out.filter(pa.array(twice & ~is_hot))
                     n_done = done.num_rows
-                    yield pa.record_batch({"key": pa.array(np.zeros(n_done, np.int64)), "name": done.column(1), "low": done.column(2), "before": done.column(3), "count": done.column(4), "twice": done.column(5), "bytes": pa.nulls(n_done, pa.binary())})
+                    yield pa.record_batch({"key": pa.array(np.zeros(n_done, np.int64)), "name": done.column(1), "low": done.column(2), "before": done.column(3), "count": done.column(4), "twice": done.column(5), "bytes": pa.nulls(n_done, pa.binary()), "other": pa.nulls(n_done, pa.int64())})
                 if is_hot.any():
                     y = np.flatnonzero(is_hot)
                     reps = count[y]
@@ -178,9 +180,10 @@ def contexts(texts: DataFrame, bitmap: np.ndarray, hot: np.ndarray, s: Settings)
                     start = np.repeat(p.low[x][y], reps) + step
                     h = mix(p.hasher.of(start, start + s.length)).view(np.int64)
                     h = np.where(h == 0, 1, h)
+                    other = mix(Hasher(data, _SECOND).of(start, start + s.length)).view(np.int64)
                     at = np.repeat(y, reps)
                     zero = np.zeros(len(at), np.int64)
-                    yield pa.record_batch({"key": pa.array(h), "name": own.take(pa.array(at)), "low": pa.array(local[at] + step), "before": pa.array(zero - 1), "count": pa.array(zero + 1), "twice": pa.array(np.zeros(len(at), bool)), "bytes": pa.nulls(len(at), pa.binary())})
+                    yield pa.record_batch({"key": pa.array(h), "name": own.take(pa.array(at)), "low": pa.array(local[at] + step), "before": pa.array(zero - 1), "count": pa.array(zero + 1), "twice": pa.array(np.zeros(len(at), bool)), "bytes": pa.nulls(len(at), pa.binary()), "other": pa.array(other)})
 
     return texts.select("name", "text").mapInArrow(run, CONTEXT)
 
@@ -272,9 +275,9 @@ def spans(parse: DataFrame, s: Settings) -> DataFrame:
     parts = int(parse.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     compared = parse.where("bytes is not null").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "name binary, start long, end long")
     told = parse.where("bytes is null and key = 0").select("name", F.col("low").alias("start"), (F.col("low") + F.col("count") - 1 + s.length).alias("end"))
-    hot = parse.where("bytes is null and key <> 0").select("key", "name", "low")
-    twice = hot.groupBy("key").count().where("count > 1").select("key")
-    return compared.unionByName(told).unionByName(hot.join(twice, "key").select("name", F.col("low").alias("start"), (F.col("low") + s.length).alias("end")))
+    hot = parse.where("bytes is null and key <> 0").select("key", "other", "name", "low")
+    twice = hot.groupBy("key", "other").count().where("count > 1").select("key", "other")
+    return compared.unionByName(told).unionByName(hot.join(twice, ["key", "other"]).select("name", F.col("low").alias("start"), (F.col("low") + s.length).alias("end")))
 
 
 def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,3 +343,16 @@ def dedup(documents: DataFrame, settings: Settings = Settings(), with_text: bool
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of op2: every 200-byte string, by its MD5."""
+    return """with d as (select row_number() over () i, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+s as (select i, p, md5(substr(h, 2 * p + 1, 400)) m from (select i, h, unnest(range(0, len(h) // 2 - 199)) p from d)),
+twice as (select m from s group by 1 having count(*) > 1),
+r as (select i, p, coalesce(p > lag(p) over (partition by i order by p) + 200, true)::int fresh from s where m in (from twice)),
+n as (select i, p, sum(fresh) over (partition by i order by p) span from r),
+runs as (select i, min(p) a, max(p) + 200 z from n group by i, span),
+cut as (select i, a, z, lag(z, 1, 0) over (partition by i order by a) before from runs),
+kept as (select i, sum(z - a)::bigint n_removed, count(*) n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(z) + 1) k from cut join d using (i) group by i)
+select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(k, h))) kept_sha256 from d left join kept using (i)"""
