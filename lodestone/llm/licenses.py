@@ -108,6 +108,7 @@ class Index:
                 inside = (x >= by[d]) & (x < by[d + 1])
                 got += np.where(inside & (codes[np.where(inside, x, 0)] == w), self.idf[w], 0.0)
             got = np.minimum(got / self.idf[own].sum(), 1.0)
+            got = np.round(got, 9)
             ok = got >= template.least - 1e-9
             yield t, d[ok], start[ok], got[ok]
 
@@ -173,3 +174,19 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def oracle() -> str:
+    """DuckDB SQL of op9: every place of every template's key phrase."""
+    rows, keys = [], []
+    for k, (t, (low, high)) in enumerate(zip(TEMPLATES, Index(TEMPLATES).keys, strict=True)):
+        rows += [f"({k}, {p}, '{w}', {low <= p < high})" for p, w in enumerate(t.text.split())]
+        keys.append(f"({k}, '{t.label}', {low}, {high - low}, {t.least}, {t.base})")
+    return rf"""with tw(t, p, w, k) as (values {", ".join(rows)}), te(t, label, low, n_key, least, base) as (values {", ".join(keys)}),
+d as (select row_number() over () i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') l from documents),
+ws as (select i, unnest(range(0, len(l))) pos, unnest(l) w from d), hit as (select * from ws where w in (select w from tw)),
+idf as (select w, ln(((select count(*) from d) + 1) / (coalesce(df, 0) + 1)) + 1 idf from (select distinct w from tw) left join (select w, count(distinct i) df from hit group by 1) using (w)),
+tot as (select t, sum(idf) total from tw join idf using (w) group by 1),
+cand as (select i, t, start from (select i, t, pos - p as start, count(*) n from hit join tw using (w) where k group by 1, 2, 3) join te using (t) where n = n_key),
+sc as (select c.i, c.t, c.start, round(least(sum(case when h.w is not null then idf else 0 end) / any_value(total), 1), 9) s from cand c join tw using (t) join idf on idf.w = tw.w join tot on tot.t = c.t left join hit h on h.i = c.i and h.pos = c.start + tw.p and h.w = tw.w group by 1, 2, 3),
+ok as (select i, start, s, label, base from sc join te using (t) where s >= least - 1e-9),
+g as (select i, max(s) score, count(*) filter (base) n_base, min(start) filter (base) first_word, max(start) filter (base) last_word, array_to_string(list_sort(list(distinct label) filter (base)), ',') base_labels, array_to_string(list_sort(list(distinct label)), ',') labels from ok group by 1)
+select doc_id, len(l)::bigint n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0.0) score from d left join g using (i)"""
