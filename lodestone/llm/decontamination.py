@@ -132,10 +132,10 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, a bounded block at a time."""
+    """The items, a bounded block at a time; the texts of one id are in one block."""
     rows, size = [], 0
-    for r in items.select("item_id", "text").where("text is not null").toLocalIterator():
-        if rows and size + len(r[1]) > most:
+    for r in items.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
+        if rows and size + len(r[1]) > most and r[0] != rows[-1][0]:
             yield rows
             rows, size = [], 0
         rows.append((r[0], r[1]))
