@@ -8,15 +8,22 @@ leave too few members for a link.
 Answers are derived from those of highly similar sets: equal sets are one class; the sets of a block
 that post the list's member earliest, which are those with the fewest members of their own, answer
 for the block, so the others are first compared with these alone; sets joined so are one group.
-What is left are pairs of sets in different groups that share a prefix member.  The first member a
-pair shares has before it only members in which the sets differ; as frequent members come last,
-these are most of the members in which they differ at all.  After it, members that no other set
-posts before a mark which both prefixes reach are differences too.  Pairs are met inside a task, in
-blocks of bounded size, and leave it only if both bounds allow a link, and only where neither of the
-last two posted members before says that they met there already.
-Of these the shared prefix members are counted, and what the count does not rule out is verified on
-the whole sets.  A link inside a group can change no component and is not looked for, so
-no list or group is ever expanded into all its pairs.
+Of the sets within a few meetings of it each set takes the one that most sets met as its reference, if
+it shares enough with it.
+
+What is left are pairs of sets in different groups.  If both have one reference H, what they share of
+it follows from |H| and the members that each lacks, so the number of differences from H that they must
+share is known.  It is at least one, as one of them does not link with H; the differences get prefixes
+of their own, members that H lacks first, and only these are posted and skipped by position: copies
+that were edited apart share none of them, and their long common lists are not visited.
+Pairs with different references meet in the lists of the prefix members, references held against each
+other.  The first member such a pair shares has before it only members in which the sets differ; as
+frequent members come last, these are most of the members in which they differ at all.  After it,
+members that no other set posts before a mark which both prefixes reach are differences too.  Pairs
+leave a task only if both bounds allow a link, and only where neither of the last two posted members
+before says that they met there already.
+What the bounds leave is compared on the whole sets.  A link inside a group can change no component
+and is not looked for, so no list or group is ever expanded into all its pairs.
 
 The order needs no exact frequencies to be right, so the shingles to put last are the most frequent
 ones of what tasks meet often, at most ``frequent`` of them (a broadcast of that size).  Sets are
@@ -26,7 +33,8 @@ no candidate names, and the exact join follows.
 Defined cases.  Null, empty and white texts have no shingles, link with nothing and are their own
 component.  Texts of one to four words have one shingle, the whole sequence.  Rows with equal sets
 link even if their ids repeat; a null id is never a component's smallest id unless alone.  Shingles
-and sets are named by 64-bit hashes.  Extra columns are not read.
+and sets are named by 64-bit hashes, lists by 48 bits of these.  ``join`` does not read extra columns;
+``keep_first`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,12 +49,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bytetext import U64, WHITE, Hasher, chunks, mix, words
 from lodestone.llm.elias_fano import from_planes, planes
-from lodestone.llm.shared import components, stored, table, unused
+from lodestone.llm.shared import components, discard, stored, table, unused
 
 _TOP = U64(1 << 63)
 # marks in the order of shingles; most prefixes end between the same two
 MARKS = (np.arange(16, dtype=U64) * U64(2) + U64(1)) << U64(58)
 _PAIRS = 1 << 20
+LIST_BITS = 48
 
 
 @dataclass(frozen=True)
@@ -56,6 +65,7 @@ class Settings:
     frequent: int = 32_768
     bitmap_bits: int = 26
     heads: int = 4
+    long_list: int = 32
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +150,11 @@ def documents_sets(documents: DataFrame, s: Settings) -> tuple[DataFrame, np.nda
 
 
 def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(shingle, name, size, place, reach of every prefix member that at least two sets post; pairs a, b of sets
-    and the first sets of their blocks)."""
+    """(shingle, name, size, place, reach of every prefix member that at least two sets post, besides rows without a
+    shingle; pairs a, b of sets and the first sets of their blocks, near; and of sets and the first set of a list,
+    which may be too far to link with it)."""
     parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    width = (1 << 64) // parts + 1
+    width = (1 << LIST_BITS) // parts + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -157,8 +168,9 @@ def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> tuple[D
             reach = np.array([_reach(h[2]) for h in held], dtype=np.int64)
             owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
             place = np.concatenate([np.arange(len(h[2])) for h in held])
-            # frequent members share the top bit, so lists are dealt out by a mixed hash
-            part = mix(token) // U64(width)
+            # members of one key share a list; that adds pairs to compare, never links
+            token = mix(token) >> U64(64 - LIST_BITS)
+            part = token // U64(width)
             order = np.lexsort((token, part))
             cuts = np.searchsorted(part[order], np.arange(parts + 1).astype(U64))
             for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -204,12 +216,12 @@ def postings(documents: DataFrame, s: Settings, frequent: np.ndarray) -> tuple[D
 
     packed = documents.select("text").mapInArrow(post, "part long, token binary, set binary, place binary, names binary, sizes binary, reach binary").repartition(parts, "part")
     both = stored(packed.mapInArrow(meet, ", ".join(f"{c} long" for c in POSTED + STAR)), "postings")
-    stars = both.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    stars = both.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.min("least").alias("least"))
     # a list in four is looked at, and where two sets share less than half of what linked sets would, the crossing pass decides
-    return both.where("shingle is not null").select(*POSTED), stars.where("n * 8 >= least").select("a", "b")
+    return both, stars.where("greatest(n, m) * 8 >= least").select("a", "b", F.expr("n * 8 >= least").alias("near"))
 
 
-POSTED, STAR = ("shingle", "name", "size", "place", "reach"), ("a", "b", "n", "least")
+POSTED, STAR = ("shingle", "name", "size", "place", "reach"), ("a", "b", "n", "m", "least")
 
 
 def _reach(members: np.ndarray) -> int:
@@ -224,32 +236,48 @@ def _rows(names: tuple[str, ...], *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _stars(token: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
-    """a, b, n, least: how often sets meet one of the first sets of their block, in a quarter of the lists."""
+    """a, b, n, m, least: in a quarter of the lists, how often sets meet one of the first sets of their block that
+    position does not rule out (n), and the first set of the whole list where it does (m)."""
     some = ((mix(token) & U64(3)) == 0) | (place < 4)
     token, name, size, place = token[some], name[some], size[some], place[some]
     block = np.floor(np.log(size) / np.log(100 / s.percent) + 1e-9).astype(np.int64)
     order = np.lexsort((name, place, block, token))
     token, name, size, place, block = (x[order] for x in (token, name, size, place, block))
-    first = np.concatenate((np.ones(min(1, len(token)), bool), (token[1:] != token[:-1]) | (block[1:] != block[:-1])))
-    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0)) if len(first) else np.zeros(0, np.int64)
+    rows = np.arange(len(token))
+    if not len(rows):
+        z = np.zeros(0, np.int64)
+        return z, z, z, z, z
+    new_list = np.concatenate(([True], token[1:] != token[:-1]))
+    head = np.maximum.accumulate(np.where(new_list | np.concatenate(([True], block[1:] != block[:-1])), rows, 0))
+
+    def near(i: np.ndarray, k: np.ndarray) -> np.ndarray:
+        far = np.abs(place[i] - place[k]) + np.abs((size[i] - place[i]) - (size[k] - place[k]))
+        return far * (100 + s.percent) <= (100 - s.percent) * (size[i] + size[k])
+
     left, right = [], []
     for j in range(s.heads):
-        later = np.flatnonzero(np.arange(len(head)) - head > j)
-        h = head[later] + j
-        far = np.abs(place[later] - place[h]) + np.abs((size[later] - place[later]) - (size[h] - place[h]))
-        near = far * (100 + s.percent) <= (100 - s.percent) * (size[later] + size[h])
-        left.append(later[near])
-        right.append(h[near])
-    i, k = np.concatenate(left), np.concatenate(right)
-    if not len(i):
-        z = np.zeros(0, np.int64)
-        return z, z, z, z
-    pair, at, n = np.unique(np.stack((np.minimum(name[i], name[k]), np.maximum(name[i], name[k]))), axis=1, return_index=True, return_counts=True)
-    return pair[0], pair[1], n, np.minimum(prefix(size[i], s.percent), prefix(size[k], s.percent))[at]
+        later = np.flatnonzero(rows - head > j)
+        ok = near(later, head[later] + j)
+        left.append(later[ok])
+        right.append(head[later][ok] + j)
+    counted = sum(map(len, left))
+    least_place = np.lexsort((name, place, token))
+    first = least_place[np.flatnonzero(new_list)][np.cumsum(new_list) - 1]
+    away = np.flatnonzero((first != rows) & ~near(rows, first))
+    i, k = np.concatenate((*left, away)), np.concatenate((*right, first[away]))
+    pair, inverse = np.unique(np.stack((np.minimum(name[i], name[k]), np.maximum(name[i], name[k]))), axis=1, return_inverse=True)
+    inverse = inverse.ravel()
+    n, m = (np.bincount(inverse[part], minlength=pair.shape[1]) for part in (slice(counted), slice(counted, None)))
+    # in a long list one meeting with the first is enough, as it would be left to all pairs else
+    members = np.diff(np.append(np.flatnonzero(new_list), len(rows)))[np.cumsum(new_list) - 1]
+    enough = (members[i] >= s.long_list) & ((k == head[i]) | (k == first[i]))
+    least = np.full(pair.shape[1], np.iinfo(np.int64).max)
+    np.minimum.at(least, inverse, np.where(enough, 0, np.minimum(prefix(size[i], s.percent), prefix(size[k], s.percent))))
+    return pair[0], pair[1], n, m, least
 
 
 def sets_of(documents: DataFrame, named: DataFrame, s: Settings, frequent: np.ndarray) -> DataFrame:
-    """name, members of the sets that named(name) lists, one row each."""
+    """name, members of the sets that named(name) lists, one row each; a few others may be there, too."""
     # names are mixed hashes already, so their low bits serve
     bits = named.selectExpr(f"pmod(name, {1 << s.bitmap_bits}) as bit").groupBy(F.expr("shiftright(bit, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("v"))
     # at most 2**(bits - 6) rows, whatever the number of names
@@ -274,14 +302,15 @@ def sets_of(documents: DataFrame, named: DataFrame, s: Settings, frequent: np.nd
                 if out:
                     yield pa.record_batch({"name": pa.array([o[0] for o in out], pa.int64()), "members": pa.array([o[1] for o in out], pa.binary())})
 
-    return hashed.mapInArrow(run, "name long, members binary").join(named.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"])
+    return hashed.mapInArrow(run, "name long, members binary").dropDuplicates(["name"])
 
 
 def compared(documents: DataFrame, pairs: DataFrame, s: Settings, frequent: np.ndarray) -> DataFrame:
     """(a, b, link) of pairs(a, b, refers), and where refers, with a the reference of b, also: held = |a|, dp and dm =
     how many members b has more and lacks, short = how long a prefix of these differences serves for partners that
     do not link with a, and the prefix that b posts, members more first."""
-    sets = stored(sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("name")), s, frequent), "members")
+    # both joins take the members from the one exchange by name
+    sets = sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("name")), s, frequent)
     both = pairs.join(sets.withColumnRenamed("name", "b").withColumnRenamed("members", "y"), "b").join(sets.withColumnRenamed("name", "a").withColumnRenamed("members", "x"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,15 +335,16 @@ def compared(documents: DataFrame, pairs: DataFrame, s: Settings, frequent: np.n
     return both.select("a", "b", "x", "y", "refers").mapInArrow(run, "a long, b long, link boolean, held long, dp long, dm long, short long, differences binary")
 
 
-def references(stars: DataFrame) -> DataFrame:
-    """(name, ref) of every set of stars(a, b): the set of most pairs among those it met and itself, then that one's own, twice."""
+def references(stars: DataFrame, hops: int = 3) -> DataFrame:
+    """(name, ref) of every set of stars(a, b): of the sets within so many meetings of it, itself included, the one that
+    most sets met.  Two favourites of one family become one, as some set met both."""
     both = stars.select(F.col("a").alias("name"), F.col("b").alias("other")).unionByName(stars.select(F.col("b").alias("name"), F.col("a").alias("other")))
-    degree = stored(both.groupBy("name").agg(F.count("*").alias("pairs")), "degrees")
-    seen = both.join(degree.withColumnRenamed("name", "other"), "other").unionByName(degree.select(F.col("name").alias("other"), "name", "pairs"))
-    ref = stored(seen.groupBy("name").agg(F.max(F.struct("pairs", "other")).alias("top")).select("name", F.col("top.other").alias("ref")), "references")
-    for _ in range(2):
-        ref = stored(ref.join(ref.select(F.col("name").alias("ref"), F.col("ref").alias("next")), "ref").select("name", F.col("next").alias("ref")), "references")
-    return ref
+    ref = stored(both.groupBy("name").agg(F.struct(F.count("*").alias("pairs"), F.col("name").alias("ref")).alias("top")), "references")
+    for _ in range(hops):
+        seen = both.join(ref.withColumnRenamed("name", "other"), "other").select("name", "top").unionByName(ref)
+        ref, old = stored(seen.groupBy("name").agg(F.max("top").alias("top")), "references"), ref
+        discard(old)
+    return ref.select("name", F.col("top.ref").alias("ref"))
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -389,7 +419,7 @@ def _mixed_lists(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndar
 def cross_pairs(posted: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     """a, b of different references and groups that may still link; known(name, ref, part)."""
     upto = F.expr("shiftright(reach, 5)")
-    grouped = posted.join(known, "name", "left").withColumns({c: F.coalesce(c, "name") for c in ("ref", "part")})
+    grouped = posted.where("shingle is not null").select(*POSTED).join(known, "name", "left").withColumns({c: F.coalesce(c, "name") for c in ("ref", "part")})
     after = Window.partitionBy("name").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
     line = Window.partitionBy("name").orderBy("place")
     posted_after = F.coalesce(F.sum((F.col("place") < upto).cast("long")).over(after), F.lit(0))
@@ -452,19 +482,24 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     refs = references(stars)
     refers = refs.where("name <> ref").select(F.col("ref").alias("a"), F.col("name").alias("b"), F.lit(True).alias("refers"))
     known_pairs = refers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    asked = stored(stars.join(known_pairs, ["a", "b"], "left_anti").withColumn("refers", F.lit(False)).unionByName(refers), "asked")
+    asked = stored(stars.where("near").drop("near").join(known_pairs, ["a", "b"], "left_anti").withColumn("refers", F.lit(False)).unionByName(refers), "asked")
     told = stored(compared(documents, asked, s, frequent), "compared")
     first = told.where("link").select("a", "b")
     groups = stored(components(first), "groups")
-    known = stored(refs.join(groups.withColumnRenamed("node", "name"), "name", "left").select("name", "ref", F.coalesce("component", "name").alias("part")), "known")
+    # a set that shares little with its reference has none
+    near = stored(told.where(3 * (F.col("held") - F.col("dm")) >= F.col("held") + F.col("dp")).withColumnsRenamed({"a": "ref", "b": "name"}), "near")
+    own = refs.select("name").join(near.select("name", "ref"), "name", "left").join(groups.withColumnRenamed("node", "name"), "name", "left")
+    known = stored(own.select("name", F.coalesce("ref", "name").alias("ref"), F.coalesce("component", "name").alias("part")), "known")
     # a reference that links with all that refer to it leaves nothing to look for among these
-    open_refs = told.where("held is not null and not link").select("a").distinct()
-    differences = told.where("held is not null").join(open_refs, "a", "left_semi").withColumnsRenamed({"a": "ref", "b": "name"}).join(known.select("name", "part"), "name")
+    open_refs = near.where("not link").select("ref").distinct()
+    differences = near.join(open_refs, "ref", "left_semi").join(known.select("name", "part"), "name")
     more = stored(cross_pairs(posted, known, s).unionByName(difference_pairs(differences, s)), "crossing").withColumn("refers", F.lit(False))
+    discard(posted)
     second = stored(compared(documents, more, s, frequent).where("link").select("a", "b"), "links")
     whole = components(first.unionByName(second)) if second.head(1) else groups
     named = rows.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("least")).join(whole.withColumnRenamed("node", "name"), "name", "left")
     named = stored(named.select("name", "least", F.coalesce("component", "name").alias("component")), "named")
+    discard(stars, asked, told, near, groups, known, second)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_name = named.join(ids, "component").select("name", "component_id")
     return rows.join(of_name, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -485,3 +520,14 @@ def keep_first(documents: DataFrame, settings: Settings = Settings()) -> DataFra
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of op4: all pairs of distinct sets that share a shingle."""
+    return r"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as shingles from d),
+k as (select md5(array_to_string(shingles, chr(10))) k, any_value(shingles) shingles, min(doc_id) least, any_value(len(shingles)) n from s where len(shingles) > 0 group by 1),
+p as (select k, n, unnest(shingles) x from k),
+links as (select a.k u, b.k w from p a join p b using (x) where a.k <> b.k group by a.k, b.k, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+c as (with recursive r(x, y) as (select k, k from k union select r.x, links.w from r join links on links.u = r.y) select r.x k, min(k.least) component_id from r join k on k.k = r.y group by 1)
+select doc_id, len(shingles)::bigint n_shingles, coalesce(component_id, doc_id) component_id from s left join c on len(shingles) > 0 and c.k = md5(array_to_string(shingles, chr(10)))"""
