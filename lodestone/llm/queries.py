@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = {
     "op1_secret_scans": "secrets", "op2_suffix_dedup": "suffixes", "op3_decontamination": "decontamination", "op4_jaccard_join": "jaccard", "op5_packing": "packing",
     "op6_url_filters": "urls", "op7_toxicity": "toxicity", "op8_embedding_dedup": "embeddings", "op9_license_scans": "licenses", "op10_lm_scoring": "language_model",
-    "op11_bpe": "bpe", "op13_conversations": "conversations",
+    "op11_bpe": "bpe", "op12_source_divergence": "divergence", "op13_conversations": "conversations",
 }
 
 
