@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Quotes and ligatures that compare as plain characters.
 QUOTES = {"‘": "'", "’": "'", "‚": "'", "′": "'", "“": '"', "”": '"', "„": '"', "″": '"'}
-LIGATURES = {"ﬃ": "ffi", "ﬄ": "ffl", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 # Fixed value: a list marker that stands alone.
 MARKER = r"^(?:[-•*–·▪‣◦]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)])$"
 # Fixed value: the shapes of a page number.

@@ -60,26 +60,27 @@ def located(citations: DataFrame, elements: DataFrame, documents: DataFrame) ->
 
 def broken(rows: DataFrame, spread: int = 3) -> DataFrame:
     """rows(text, gold, …) with first and last: the words between which the gold's words stand in order within
-    ``spread`` times its length, the closest such place; null where there is none.  Text and gold go."""
+    ``spread`` times its length, the closest such place; null where there is none.  Text and gold go, and
+    columns that are named as the results."""
     key = lambda w: T.casefold(F.regexp_replace(w, r"(?U)^\W+|\W+$", ""))
     whole = F.transform(F.split(T.squeeze(F.regexp_replace("text", r"-\s*\n\s*", "")), " "), key)
     want = F.filter(F.transform(F.split(T.squeeze(F.col("gold")), " "), key), lambda w: w != "")
-    keep = [c for c in rows.columns if c not in ("text", "gold")]
-    r = rows.select(*keep, whole.alias("_words"), want.alias("_want"), F.lit(0).alias("_n")).withColumn("_n", F.size("_want") * spread)
-    words, limit = F.col("_words"), F.col("_n")
+    keep = [c for c in rows.columns if c.lower() not in ("text", "gold", "first", "last")]
+    r = rows.select(F.struct(F.lit(0).alias("0"), *keep).alias("row"), whole.alias("words"), want.alias("want")).withColumn("limit", F.size("want") * spread)
+    words, limit = F.col("words"), F.col("limit")
 
     def last(start: Column) -> Column:
         def step(at: Column, w: Column) -> Column:
             room = F.slice(words, at + 2, F.greatest(start + limit - at - 1, F.lit(0)))
             return F.when(at < 0, at).otherwise(F.coalesce(at + F.nullif(F.array_position(room, w), F.lit(0).cast("long")), F.lit(-1).cast("long")).cast("int"))
 
-        return F.aggregate(F.slice("_want", 2, F.greatest(F.size("_want") - 1, F.lit(0))), start, step)
+        return F.aggregate(F.slice("want", 2, F.greatest(F.size("want") - 1, F.lit(0))), start, step)
 
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == F.get("_want", F.lit(0)))
-    r = r.withColumn("_ends", F.transform(places, lambda i: F.struct(i.alias("first"), last(i).alias("last"))))
-    spans = F.transform(F.filter("_ends", lambda x: x["last"] >= 0), lambda x: F.struct((x["last"] - x["first"]).alias("length"), x["first"].alias("first"), x["last"].alias("last")))
-    r = r.withColumn("_best", F.array_min(spans))
-    return r.select(*keep, F.col("_best.first").alias("first"), F.col("_best.last").alias("last"))
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == F.get("want", F.lit(0)))
+    r = r.withColumn("ends", F.transform(places, lambda i: F.struct(i.alias("first"), last(i).alias("last"))))
+    spans = F.transform(F.filter("ends", lambda x: x["last"] >= 0), lambda x: F.struct((x["last"] - x["first"]).alias("length"), x["first"].alias("first"), x["last"].alias("last")))
+    r = r.withColumn("best", F.array_min(spans))
+    return r.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("best.first").alias("first"), F.col("best.last").alias("last"))
 
 
 def cut_pieces(pieces: DataFrame, golds: DataFrame, edge: int = 4) -> DataFrame:

@@ -46,21 +46,31 @@ def bm25(questions: DataFrame, pieces: DataFrame, k: int = 20, k1: float = 1.2,
     return ranked(hits.groupBy("query", "piece").agg(F.sum(part).alias("score")), k)
 
 
-def containing(golds: DataFrame, texts: DataFrame, key: str = "item_id") -> DataFrame:
+def containing(golds: DataFrame, texts: DataFrame, key: str = "item_id", most: int = 1000) -> DataFrame:
     """key and the columns of texts(…, text) for each gold(key, gold) that a text holds, the text itself left out.
 
-    A gold's longest word that white space parts on both sides stands in every text that holds the gold: the two
-    meet on it, and only such pairs are compared.  Golds of one or two words have none and are held against all
-    texts.  Null and empty golds are in no text."""
+    A gold's longest word that white space parts on both sides stands in every text that holds the gold: words of texts,
+    each with its text's digest alone, meet golds on it, and only then are texts fetched and compared.  Golds of one or
+    two words have no such word; they are taken in blocks of at most ``most``, one row each, past every text.  Null and
+    empty golds are in no text.  A column of texts that is named as the key gives way to it."""
     words = F.split("gold", r"[ \t\n\r]+")
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
     seed = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    g = golds.where(F.col("gold") != "").select(key, "gold", seed.alias("_seed"))
-    own = [c for c in texts.columns if c != "text"]
-    held = texts.where("text is not null").select(*own, "text", F.explode(F.array_distinct(F.split("text", r"[ \t\n\r]+"))).alias("_seed"))
-    near = held.join(g, "_seed").where(F.col("text").contains(F.col("gold"))).select(key, *own)
-    short = g.where("_seed is null")
-    return near.unionByName(texts.join(short, F.col("text").contains(F.col("gold"))).select(key, *own))
+    g = golds.where(F.col("gold") != "").select(F.col(key).alias("key"), "gold", seed.alias("seed"))
+    own = [c for c in texts.columns if c != "text" and c.lower() != key.lower()]
+    t = texts.where("text is not null").select(F.struct(F.lit(0).alias("0"), *own).alias("row"), "text")
+    digest = F.sha2("text", 256)
+    word = t.select(digest.alias("digest"), F.explode(F.array_distinct(F.split("text", r"[ \t\n\r]+"))).alias("seed"))
+    near = word.join(g.where("seed is not null"), "seed").select("digest", "key", "gold").distinct()
+    out = t.withColumn("digest", digest).join(near, "digest").where(F.col("text").contains(F.col("gold"))).select("key", "row")
+    short = g.where("seed is null")
+    n = short.count()
+    for k in range(-(-n // most)):
+        block = short if n <= most else short.where(F.pmod(F.xxhash64("gold"), F.lit(-(-n // most))) == k)
+        one = block.agg(F.collect_list(F.struct("key", "gold")).alias("block"))
+        met = t.crossJoin(F.broadcast(one)).select("row", F.explode(F.filter("block", lambda x: F.col("text").contains(x["gold"]))).alias("met"))
+        out = out.unionByName(met.select("met.key", "row"))
+    return out.select(F.col("key").alias(key), *[F.col("row").getField(c).alias(c) for c in own])
 
 
 def overlap(questions: DataFrame, pieces: DataFrame, k: int = 20) -> DataFrame:

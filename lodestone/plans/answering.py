@@ -15,7 +15,7 @@ from lodestone.operators import prepare as P
 from lodestone.operators import questions as Q
 from lodestone.operators import reviews as V
 from lodestone.operators import sentences as N
-from lodestone.plans.preparing import LINES, NORM, TOKENS, lines, load
+from lodestone.plans.preparing import FOLDED, LINES, NORM, TOKENS, lines, load
 from lodestone.query_set import query
 
 FILTERS = {
@@ -349,13 +349,13 @@ def generated_questions(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", r["question"].alias("question"), r["drop"].alias("drop"))
 
 
-@query(rf"""with c as (select d.doc_id % 7 set_id, d.doc_id n, d.doc_id, 'ask ' || substr(d.text, 1, 12) q, case when d.doc_id % 3 = 0 then 'not there at all' when d.doc_id % 3 = 1 then substr(d.text, 1, 40) else upper(substr(d.text, 1, 40)) end gold, d.text from documents d where length(d.text) > 100 and regexp_matches(d.text, '^[a-zA-Z .,]{{60}}')),
-h as (select *, contains(text, gold) or contains({NORM.format('text')}, {NORM.format('gold')}) held, {NORM.format('gold')} g from c), s as (select *, row_number() over (partition by set_id, held, g order by n) k from h)
+@query(rf"""with c as (select d.doc_id % 7 set_id, d.doc_id n, d.doc_id, case when d.doc_id % 3 = 0 then 'not there at all' when d.doc_id % 3 = 1 then substr(d.text, 1, 40) else replace(substr(d.text, 1, 40), ' ', '  ') end gold, d.text from documents d),
+h as (select *, coalesce(contains(text, gold) or contains({FOLDED.format('text')}, {FOLDED.format('gold')}), false) held, {FOLDED.format('gold')} g from c), s as (select *, row_number() over (partition by set_id, held, g order by n) k from h)
 select set_id, n, case when not held then 'not in the document' when k > 1 then 'same gold passage' end as "drop" from s""")
 def generated_checks(spark, sf_dir):
     t, i = F.col("text"), F.col("doc_id")
-    d = load(spark, sf_dir, "documents").where((F.length("text") > 100) & t.rlike(r"^[a-zA-Z .,]{60}"))
-    gold = F.when(i % 3 == 0, "not there at all").when(i % 3 == 1, F.substring(t, 1, 40)).otherwise(F.upper(F.substring(t, 1, 40)))
+    d = load(spark, sf_dir, "documents")
+    gold = F.when(i % 3 == 0, "not there at all").when(i % 3 == 1, F.substring(t, 1, 40)).otherwise(F.replace(F.substring(t, 1, 40), F.lit(" "), F.lit("  ")))
     c = d.select((i % 7).alias("set_id"), i.alias("n"), "doc_id", F.concat(F.lit("ask "), F.substring(t, 1, 12)).alias("question"), gold.alias("gold"))
     return Q.checked(c, d).select("set_id", "n", "drop")
 
@@ -370,14 +370,14 @@ def fingerprint_sets(spark, sf_dir):
     return same.join(d.groupBy(F.col("lang").alias("set_id")).agg(F.count_distinct("source").alias("sources")), "set_id").select("set_id", "sources")
 
 
-GOLDS = "g as (select doc_id as query, doc_id, unnest([substr(text, 1, 30), case when doc_id % 3 = 0 then upper(substr(text, 1, 30)) end, case when doc_id % 5 = 0 then 'gone for good' end]) gold, text from documents where regexp_matches(text, '^[a-zA-Z .,]{40}'))"
-STATUS = f"s as (select *, case when contains(text, gold) then 'found' when contains({NORM.format('text')}, {NORM.format('gold')}) then 'found_normalized' else 'not_found' end as status from g where gold is not null)"
+GOLDS = "g as (select doc_id as query, doc_id, unnest([substr(text, 1, 30), case when doc_id % 3 = 0 then replace(substr(text, 1, 30), ' ', '  ') end, case when doc_id % 5 = 0 then 'gone for good' end]) gold, text from documents)"
+STATUS = f"s as (select *, case when contains(text, gold) then 'found' when contains({FOLDED.format('text')}, {FOLDED.format('gold')}) then 'found_normalized' else 'not_found' end as status from g where gold is not null)"
 
 
 def golds(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, i = F.col("text"), F.col("doc_id")
-    each = F.array_compact(F.array(F.substring(t, 1, 30), F.when(i % 3 == 0, F.upper(F.substring(t, 1, 30))), F.when(i % 5 == 0, "gone for good")))
-    return load(spark, sf_dir, "documents").where(t.rlike(r"^[a-zA-Z .,]{40}")).select(i.alias("query"), "doc_id", F.explode(each).alias("gold"), "text")
+    each = F.array_compact(F.array(F.substring(t, 1, 30), F.when(i % 3 == 0, F.replace(F.substring(t, 1, 30), F.lit(" "), F.lit("  "))), F.when(i % 5 == 0, "gone for good")))
+    return load(spark, sf_dir, "documents").select(i.alias("query"), "doc_id", F.explode(each).alias("gold"), "text")
 
 
 @query(f"with {GOLDS}, {STATUS} select query, case max(case status when 'found' then 0 when 'found_normalized' then 1 else 2 end) when 0 then 'found' when 1 then 'found_normalized' else 'not_found' end as status from s group by 1")
@@ -415,13 +415,13 @@ def merged_question_files(spark, sf_dir):
     return Q.merged_sets(d, d.where("query % 2 = 0 and document in ('fr', 'de')"))
 
 
-@query("""with h as (select event_id % 200 as query, event_id // 200 as rank, case (event_id // 200 + event_id) % 4 when 0 then 'holds THE gold text' when 1 then 'has the gold text' else 'nothing' end as text from events),
-t as (select query, rank, case when contains(text, 'the gold text') then 'exact' when contains(lower(text), 'the gold text') then 'normalized' end tier from h)
+@query("""with h as (select event_id % 200 as query, event_id // 200 as rank, case (event_id // 200 + event_id) % 4 when 0 then 'holds THE gold text' when 1 then 'has the gold text' when 2 then '1. the (a) gold - text' else 'nothing' end as text from events),
+t as (select query, rank, case when contains(text, 'the gold text') then 'exact' when contains(lower(text), 'the gold text') then 'normalized' when contains(text, '(a)') then 'reworded' end tier from h)
 select query, bool_or(tier is not null and rank <= 2) found, min(case when tier is not null and rank <= 2 then rank end) as rank, arg_min(tier, rank) filter (tier is not null and rank <= 2) tier, case when bool_or(tier is not null and rank <= 2) then 1 else 0 end golds_found, 1 golds_total, case when not bool_or(tier is not null and rank <= 2) then min(case when tier is not null and rank > 2 then rank end) end found_below from t group by 1""")
 def match_tiers(spark, sf_dir):
     i = F.col("event_id")
     q, r = i % 200, F.floor(i / 200).cast("long")
-    hits = load(spark, sf_dir, "events").select(q.alias("query"), r.alias("rank"), F.when((r + i) % 4 == 0, "holds THE gold text").when((r + i) % 4 == 1, "has the gold text").otherwise("nothing").alias("text"))
+    hits = load(spark, sf_dir, "events").select(q.alias("query"), r.alias("rank"), F.when((r + i) % 4 == 0, "holds THE gold text").when((r + i) % 4 == 1, "has the gold text").when((r + i) % 4 == 2, "1. the (a) gold - text").otherwise("nothing").alias("text"))
     g = hits.select("query").distinct().select("query", F.explode(F.array(F.lit("the gold text"), F.lit("the |gold text"))).alias("gold"))
     return A.tiers(hits, g, 2)
 

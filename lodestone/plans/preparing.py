@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -13,6 +13,9 @@ from lodestone.query_set import query
 LINES = r"""lines as (select doc_id, i - 1 as "order", l[i] as text from (select doc_id, list_filter(regexp_split_to_array(text, '[\r\n]+'), lambda x: trim(x, ' ') <> '') l from documents), unnest(range(1, len(l) + 1)) u(i))"""
 NORM = r"replace(lower(trim(regexp_replace({0}, '\s+', ' ', 'g'), ' ')), 'ß', 'ss')"
 
+# What two parsers of one passage agree on.
+MATCHED = r"translate(regexp_replace({0}, '-[ \t]*[\r\n]\s*', '', 'g'), '‘’‚′“”„″', repeat(chr(39), 4) || repeat(chr(34), 4))"
+FOLDED = "replace(lower(trim(regexp_replace(replace(replace(replace(replace(replace(" + MATCHED + r", 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '\s+', ' ', 'g'), ' ')), 'ß', 'ss')"
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -195,13 +198,3 @@ def doc_versions(spark, sf_dir):
     c = c.select("doc_id", "ordinal", P.chunk_id(F.col("doc_id"), "token_based", F.col("ordinal"), F.col("start"), F.col("end")).alias("id"))
     ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "id"))), lambda x: x["id"]), "\n")
     return c.groupBy("doc_id").agg(F.substring(F.sha2(ids, 256), 1, 16).alias("doc_version"))
-
-
-@query()
-def joined_paragraphs(spark, sf_dir):
-    """Lines of a page joined where the next begins in lower case, as line boxes would be."""
-    w = Window.partitionBy("doc_id").orderBy("order")
-    e = lines(spark, sf_dir).withColumn("new", F.when(F.coalesce(F.lag("text").over(w), F.lit(".")).rlike(r"[.!?]$"), 1).otherwise(0))
-    e = e.withColumn("para", F.sum("new").over(w))
-    joined = F.aggregate(F.sort_array(F.collect_list(F.struct("order", "text"))), F.lit(""), lambda s, x: F.when(s == "", x["text"]).when(s.rlike(r"\p{L}-$") & x["text"].rlike(r"^\p{Ll}"), F.concat(F.expr("''"), F.regexp_replace(s, "-$", ""), x["text"])).otherwise(F.concat_ws(" ", s, x["text"])))
-    return e.groupBy("doc_id", "para").agg(joined.alias("text"), F.count("*").alias("n_lines"))
