@@ -58,19 +58,20 @@ def containing(golds: DataFrame, texts: DataFrame, key: str = "item_id", most: i
     seed = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     g = golds.where(F.col("gold") != "").select(F.col(key).alias("key"), "gold", seed.alias("seed"))
     own = [c for c in texts.columns if c != "text" and c.lower() != key.lower()]
-    t = texts.where("text is not null").select(F.struct(F.lit(0).alias("0"), *own).alias("row"), "text")
+    held = [f"own{k}" for k in range(len(own))]  # names apart from those used here
+    t = texts.where("text is not null").select(*[F.col(f"`{c}`").alias(h) for c, h in zip(own, held, strict=True)], "text")
     digest = F.sha2("text", 256)
     word = t.select(digest.alias("digest"), F.explode(F.array_distinct(F.split("text", r"[ \t\n\r]+"))).alias("seed"))
     near = word.join(g.where("seed is not null"), "seed").select("digest", "key", "gold").distinct()
-    out = t.withColumn("digest", digest).join(near, "digest").where(F.col("text").contains(F.col("gold"))).select("key", "row")
+    out = t.withColumn("digest", digest).join(near, "digest").where(F.col("text").contains(F.col("gold"))).select("key", *held)
     short = g.where("seed is null")
     n = short.count()
     for k in range(-(-n // most)):
         block = short if n <= most else short.where(F.pmod(F.xxhash64("gold"), F.lit(-(-n // most))) == k)
         one = block.agg(F.collect_list(F.struct("key", "gold")).alias("block"))
-        met = t.crossJoin(F.broadcast(one)).select("row", F.explode(F.filter("block", lambda x: F.col("text").contains(x["gold"]))).alias("met"))
-        out = out.unionByName(met.select("met.key", "row"))
-    return out.select(F.col("key").alias(key), *[F.col("row").getField(c).alias(c) for c in own])
+        met = t.crossJoin(F.broadcast(one)).select(*held, F.explode(F.filter("block", lambda x: F.col("text").contains(x["gold"]))).alias("met"))
+        out = out.unionByName(met.select("met.key", *held))
+    return out.select(F.col("key").alias(key), *[F.col(h).alias(c) for c, h in zip(own, held, strict=True)])
 
 
 def overlap(questions: DataFrame, pieces: DataFrame, k: int = 20) -> DataFrame:
