@@ -14,12 +14,14 @@ holds whatever an alignment of the threshold through its seed can span.  A copy
 in a row with its item is not looked for.
 
 Both passes are maps over whole texts.  The items' n-grams travel with the tasks, so items are taken
-in blocks of at most ``block_bytes`` of text: more items mean more passes, never a larger broadcast.
-Only counts by n-gram are shuffled, combined before.
+in blocks of at most ``block_bytes`` of text, or one text that is longer, wherever an id's texts are cut:
+more items mean more passes, never a larger broadcast.  Only counts by n-gram, combined before, and
+matches are shuffled.
 
 Defined cases.  Null and empty texts and items match nothing.  An item of fewer than n words is one
-seed of all its words.  Each row of documents is judged by itself; a repeated item id counts once
-for each of its texts, the best score being returned.  An empty table gives no rows.
+seed of all its words.  A document and an item id, null ids included, have one row, of the best score
+and then the last place over all texts of that id and all rows of that document; ``drop_matches``
+judges each row by itself.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -132,14 +134,15 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, a bounded block at a time; the texts of one id are in one block."""
+    """The items, a block of at most so many bytes of text at a time."""
     rows, size = [], 0
     for r in items.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        if rows and size + len(r[1]) > most and r[0] != rows[-1][0]:
+        n = len(r[1].encode())
+        if rows and size + n > most:
             yield rows
             rows, size = [], 0
         rows.append((r[0], r[1]))
-        size += len(r[1])
+        size += n
     if rows:
         yield rows
 
@@ -150,7 +153,10 @@ def matches(documents: DataFrame, items: DataFrame, settings: Settings = Setting
     for rows in _blocks(items, settings.block_bytes):
         got = _block(documents, rows, settings)
         out = got if out is None else out.unionByName(got)
-    return out if out is not None else documents.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, last_word long")
+    if out is None:
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, last_word long")
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "last_word")).alias("best"))
+    return best.select("doc_id", "item_id", "best.score", "best.last_word")
 
 
 def _rare(documents: DataFrame, rows: list[tuple[int, str]], s: Settings) -> np.ndarray:

@@ -14,11 +14,12 @@ in order of a hash of the id, and as many rows of these; buckets are 2**bucket_b
 spread over tasks; only the buckets with a ratio, of the sampled rows, meet in the one fitting task.
 Scoring reads every whole text, in a map with no shuffle, and sends each task the fixed-size model.
 
-Defined cases.  Null and empty texts have no features and get the score of the intercept.  Null
-labels and null ids of labels are not learned from; several labels of one id count as the largest.
-Repeated rows are scored alike, one result row per input row.  Without training rows of both
-classes every score is the smoothed share of toxic rows.  ``score`` does not read extra columns;
-``reject_toxic`` keeps them, whatever their names.
+Defined cases.  A text without a feature that the model knows, null and empty ones included, tells
+nothing: its score is the smoothed share of toxic rows among those trained on, and ``reject_toxic``
+keeps it.  Null labels and null ids of labels are not learned from; several labels of one id count as
+the largest.  Repeated rows are scored alike, one result row per input row.  Without training rows of
+both classes every score is that share.  ``score`` does not read extra columns; ``reject_toxic`` keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bytetext import U64, Hasher, chunks
 from lodestone.llm.elias_fano import from_planes, planes
-from lodestone.llm.shared import fold_of, table
+from lodestone.llm.shared import discard, fold_of, stored, table
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,7 @@ class Model:
     buckets: np.ndarray
     weights: np.ndarray
     intercept: float
+    base: float  # the log odds of a text that has no known feature
 
 
 def hashed(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -104,7 +106,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_train_rows)  # bounded, so it may be broadcast
     fold = F.pmod(F.xxhash64("text"), F.lit(s.folds)).cast("int")
-    train = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), fold.alias("fold"))
+    train = labelled = stored(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), fold.alias("fold")), "labelled")
     # ids that repeat make no more rows than the bound
     train = train.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(s.max_train_rows).select("text", "toxic", "fold") if _repeats(train) else train.select("text", "toxic", "fold")
     parts, cells = 16, 2 * s.folds
@@ -162,9 +164,10 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         yield pa.record_batch({"weights": [weights.tolist()], "intercept": [intercept]}, schema=pa.schema([("weights", pa.list_(pa.float64())), ("intercept", pa.float64())]))
 
     got = train.mapInArrow(rows_of, "toxic int, fold int, slots binary").repartition(1).mapInArrow(solve, "weights array<double>, intercept double").first()
+    discard(labelled)
     weights, intercept = (np.array(got[0], dtype=np.float64), got[1]) if got else (np.zeros(len(buckets)), 0.0)
-    used = np.flatnonzero(weights)
-    return Model(s.orders, s.bucket_bits, buckets[used], weights[used], intercept)
+    used, clean, toxic = np.flatnonzero(weights), rows[: s.folds].sum(), rows[s.folds :].sum()
+    return Model(s.orders, s.bucket_bits, buckets[used], weights[used], intercept, float(np.log((toxic + 1) / (clean + 1))))
 
 
 def _repeats(train: DataFrame) -> bool:
@@ -215,37 +218,40 @@ def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray,
     return w[:k], float(w[k])
 
 
+def probabilities(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(score of each text, whether it has a feature that the model knows)."""
+    slots = _slots(model.buckets, model.bucket_bits)
+    margin, known = np.full(len(texts), model.base), np.zeros(len(texts), dtype=bool)
+    for lo, hi, data, off in chunks(texts, 1 << 18):
+        row, slot = present(data, off, model.orders, model.bucket_bits, slots, max(1, len(model.buckets)))
+        if len(row):
+            known[lo:hi] = np.bincount(row, minlength=hi - lo) > 0
+            found = np.bincount(row, weights=model.weights[slot], minlength=hi - lo) + model.intercept
+            margin[lo:hi] = np.where(known[lo:hi], found, model.base)
+    return 1 / (1 + np.exp(-np.clip(margin, -500, 500))), known
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row of documents(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = _slots(model.buckets, model.bucket_bits)
         for b in batches:
-            out = np.empty(b.num_rows)
-            for lo, hi, data, off in chunks(b.column(1), 1 << 18):
-                row, slot = present(data, off, model.orders, model.bucket_bits, slots, max(1, len(model.buckets)))
-                out[lo:hi] = np.bincount(row, weights=model.weights[slot], minlength=hi - lo) if len(row) else 0.0
-            yield pa.record_batch({"doc_id": b.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(out + model.intercept, -500, 500))))})
+            yield pa.record_batch({"doc_id": b.column(0), "score": pa.array(probabilities(model, b.column(1))[0])})
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, settings: Settings = Settings()) -> DataFrame:
-    """The rows of documents whose score is below the threshold, with their columns.
+    """The rows of documents whose score is below the threshold, or that tell nothing, with their columns.
 
     The model is fitted first; rows are then judged in one map over whole texts, with no join."""
     model = fit(documents, labels.where(fold_of(F.col("doc_id"), 5) != 0), settings)
-    columns = documents.columns
-    at = columns.index("text")
+    at = documents.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = _slots(model.buckets, model.bucket_bits)
         for b in batches:
-            out = np.empty(b.num_rows)
-            for lo, hi, data, off in chunks(b.column(at), 1 << 18):
-                row, slot = present(data, off, model.orders, model.bucket_bits, slots, max(1, len(model.buckets)))
-                out[lo:hi] = np.bincount(row, weights=model.weights[slot], minlength=hi - lo) if len(row) else 0.0
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(out + model.intercept, -500, 500))) < threshold))
+            score, known = probabilities(model, b.column(at))
+            yield b.filter(pa.array((score < threshold) | ~known))
 
     return documents.mapInArrow(keep, documents.schema)
 
