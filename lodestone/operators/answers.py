@@ -66,21 +66,26 @@ def broken(rows: DataFrame, spread: int = 3) -> DataFrame:
     whole = F.transform(F.split(T.squeeze(F.regexp_replace("text", r"-\s*\n\s*", "")), " "), key)
     want = F.filter(F.transform(F.split(T.squeeze(F.col("gold")), " "), key), lambda w: w != "")
     keep = [c for c in rows.columns if c.lower() not in ("text", "gold", "first", "last")]
-    r = rows.select(F.struct(F.lit(0).alias("0"), *keep).alias("row"), whole.alias("words"), want.alias("want")).withColumn("limit", F.size("want") * spread)
-    words, limit = F.col("words"), F.col("limit")
 
-    def last(start: Column) -> Column:
-        def step(at: Column, w: Column) -> Column:
-            room = F.slice(words, at + 2, F.greatest(start + limit - at - 1, F.lit(0)))
-            return F.when(at < 0, at).otherwise(F.coalesce(at + F.nullif(F.array_position(room, w), F.lit(0).cast("long")), F.lit(-1).cast("long")).cast("int"))
+    def closest(x: Column) -> Column:
+        words, sought = x["words"], x["want"]
+        limit = F.size(sought) * spread
 
-        return F.aggregate(F.slice("want", 2, F.greatest(F.size("want") - 1, F.lit(0))), start, step)
+        def last(start: Column) -> Column:
+            def step(at: Column, w: Column) -> Column:
+                room = F.slice(words, at + 2, F.greatest(start + limit - at - 1, F.lit(0)))
+                return F.when(at < 0, at).otherwise(F.coalesce(at + F.nullif(F.array_position(room, w), F.lit(0).cast("long")), F.lit(-1).cast("long")).cast("int"))
 
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == F.get("want", F.lit(0)))
-    r = r.withColumn("ends", F.transform(places, lambda i: F.struct(i.alias("first"), last(i).alias("last"))))
-    spans = F.transform(F.filter("ends", lambda x: x["last"] >= 0), lambda x: F.struct((x["last"] - x["first"]).alias("length"), x["first"].alias("first"), x["last"].alias("last")))
-    r = r.withColumn("best", F.array_min(spans))
-    return r.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("best.first").alias("first"), F.col("best.last").alias("last"))
+            return F.aggregate(F.slice(sought, 2, F.greatest(F.size(sought) - 1, F.lit(0))), start, step)
+
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == F.get(sought, F.lit(0)))
+        ends = F.filter(F.transform(places, lambda i: F.struct(i.alias("first"), last(i).alias("last"))), lambda e: e["last"] >= 0)
+        return F.array_min(F.transform(ends, lambda e: F.struct((e["last"] - e["first"]).alias("length"), e["first"].alias("first"), e["last"].alias("last"))))
+
+    # one element, so that the words are made once for each row, wherever the optimiser puts what follows
+    best = F.get(F.transform(F.array(F.struct(whole.alias("words"), want.alias("want"))), closest), F.lit(0))
+    r = rows.select(*[F.col(f"`{c}`") for c in keep], best.alias("_lodestone_best"))
+    return r.select(*[F.col(f"`{c}`") for c in keep], F.col("_lodestone_best.first").alias("first"), F.col("_lodestone_best.last").alias("last"))
 
 
 def cut_pieces(pieces: DataFrame, golds: DataFrame, edge: int = 4) -> DataFrame:

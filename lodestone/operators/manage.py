@@ -119,10 +119,30 @@ def over_limit(turns: DataFrame, most: int, seconds: int = 60) -> DataFrame:
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60, 120)
 
 
-def step_metrics(steps: DataFrame) -> DataFrame:
-    """step, n, errors, seconds and the cumulative buckets le_0 .. le_13; also over a windowed stream's groups."""
+# The flags that are counted by name, and the values of feedback.
+FLAGS, FEEDBACK = ("low_grounding", "declined", "not_in_documents"), ("up", "down")
+
+
+def measures(columns: list[str]) -> dict[str, Column]:
+    """Aggregates over steps(step, ms, status), by name: n, errors, seconds, le_0 .. le_13; where the columns are there also
+    input_tokens, output_tokens, dollars (nulls count as 0), a count of each flag of flags (an array) and of each value
+    of feedback.  All combine before a shuffle, in batches and in windows of a stream."""
     ms = F.col("ms")
-    return steps.groupBy("step").agg(F.count("*").alias("n"), F.sum((F.col("status") == "failed").cast("int")).alias("errors"), F.round(F.sum(ms) / 1000, 6).alias("seconds"), *[F.sum((ms <= b * 1000).cast("int")).alias(f"le_{k}") for k, b in enumerate(BUCKETS)])
+    out = {"n": F.count("*"), "errors": F.sum((F.col("status") == "failed").cast("int")), "seconds": F.round(F.sum(ms) / 1000, 6)}
+    out |= {f"le_{k}": F.sum((ms <= b * 1000).cast("int")) for k, b in enumerate(BUCKETS)}
+    out |= {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("input_tokens", "output_tokens") if c in columns}
+    if "dollars" in columns:
+        out["dollars"] = F.round(F.coalesce(F.sum("dollars"), F.lit(0.0)), 9)
+    if "flags" in columns:
+        out |= {f: F.sum(F.coalesce(F.array_contains("flags", f), F.lit(False)).cast("int")) for f in FLAGS}
+    if "feedback" in columns:
+        out |= {f"feedback_{v}": F.sum(F.coalesce(F.col("feedback") == v, F.lit(False)).cast("int")) for v in FEEDBACK}
+    return {name: c.alias(name) for name, c in out.items()}
+
+
+def step_metrics(steps: DataFrame) -> DataFrame:
+    """step and the ``measures`` of steps."""
+    return steps.groupBy("step").agg(*measures(steps.columns).values())
 
 
 def expired(turns: DataFrame, cutoff: Column, key: str = "conv_id") -> DataFrame:
