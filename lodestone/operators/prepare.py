@@ -126,6 +126,21 @@ def repeats(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("repeated", F.greatest(F.lit(0), F.least(F.coalesce(before, F.lit(0)), F.col("end")) - F.col("start")).cast("long"))
 
 
+def overlapping(chunks: DataFrame) -> DataFrame:
+    """Adds overlaps: how many later pieces of its document begin before a piece ends.
+
+    Pieces in order begin in order, so those that a piece meets follow it directly: the k-th one after it is looked at as
+    long as any piece meets its k-th, which for windows is as often as they overlap."""
+    c = stored(chunks, "pieces")
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    n, k = F.lit(0).cast("long"), 1
+    while True:
+        met = F.coalesce(F.lead("start", k).over(w) < F.col("end"), F.lit(False))
+        if not c.select(met.alias("met")).where("met").head(1):
+            return c.withColumn("overlaps", n)
+        n, k = n + met.cast("long"), k + 1
+
+
 def paragraph_parts(elements: DataFrame, count: int) -> DataFrame:
     """Adds part: the run of whole paragraphs, of ``count`` runs, that an element falls in."""
     n = F.count("*").over(Window.partitionBy("doc_id"))

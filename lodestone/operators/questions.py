@@ -78,6 +78,11 @@ def gates(categories: DataFrame, allow: int, weak_below: int = 10) -> DataFrame:
     return categories.select("category", "compared", (F.col("found_before") - F.col("found_now") > allow).alias("failed"), ((F.col("category") != "uncategorized") & (F.col("compared") < weak_below)).alias("weak"))
 
 
+def judged_gate(before: Column, now: Column, most: float = 0.05) -> Column:
+    """Has the mean judged correctness fallen by at most so much?  So it has where either run was not judged."""
+    return F.coalesce(before - now <= most + 1e-9, F.lit(True))
+
+
 def by_document(rows: DataFrame) -> DataFrame:
     """document (null: named none), place of its first question, total, found of rows(position, document, found)."""
     return rows.groupBy("document").agg(F.min("position").alias("first"), F.count("*").alias("total"), F.sum(F.col("found").cast("int")).alias("n_found"))

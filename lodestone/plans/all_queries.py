@@ -1,6 +1,6 @@
 """Every registered query of the library proper."""
 
-from lodestone.plans import answering, comparing, judging, keeping, outlining, preparing, publishing, searching
+from lodestone.plans import answering, comparing, judging, keeping, listing, outlining, preparing, publishing, searching
 from lodestone.query_set import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "answering", "comparing", "judging", "keeping", "outlining", "preparing", "publishing", "searching"]
+__all__ = ["ORACLES", "QUERIES", "answering", "comparing", "judging", "keeping", "listing", "outlining", "preparing", "publishing", "searching"]

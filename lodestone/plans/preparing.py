@@ -128,8 +128,7 @@ def chunk_coverage(spark, sf_dir):
 @query(f"""with {TOKENS} select a.doc_id, count(*) pairs from chunks a join chunks b on a.doc_id = b.doc_id and a.ordinal < b.ordinal and b.start < a."end" group by 1""")
 def overlapping_pieces(spark, sf_dir):
     c = P.token_chunks(load(spark, sf_dir, "documents")).select("doc_id", "ordinal", "start", "end")
-    b = c.select("doc_id", F.col("ordinal").alias("o2"), F.col("start").alias("s2"))
-    return c.join(b, "doc_id").where("ordinal < o2 and s2 < end").groupBy("doc_id").agg(F.count("*").alias("pairs"))
+    return P.overlapping(c).groupBy("doc_id").agg(F.sum("overlaps").alias("pairs")).where("pairs > 0")
 
 
 @query(f"""with {LINES}, k as (select doc_id, "order", row_number() over (partition by doc_id order by "order") k, count(*) over (partition by doc_id) n from lines) select doc_id, "order", ((k * 4 - 1) // n)::bigint part from k""")
@@ -165,7 +164,7 @@ def cleaned_turns(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_text(t).alias("cleaned"), T.says_not_found(t).alias("not_found"))
 
 
-@query()
+@query("""select l_orderkey, l_linenumber, list_concat(s, list_filter([0, 1, 2, 3, 4, 5], lambda x: not list_contains(s, x))) as "order" from (select *, case when a >= 6 then [b] when a = b then [a] else [a, b] end s from (select l_orderkey, l_linenumber, (l_partkey % 7)::int a, (l_suppkey % 5)::int b from lineitem))""")
 def ranking_replies(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
     reply = F.concat(F.lit("rank "), (F.col("l_partkey") % 7).cast("string"), F.lit(" then "), (F.col("l_suppkey") % 5).cast("string"), F.lit(" and 12"))
