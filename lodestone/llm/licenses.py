@@ -1,12 +1,12 @@
 """License scans with a positional rare-token index.
 
-Method.  The templates' words form a small inverted index: word to postings (template, position).
-A first pass counts in how many documents each of those words occurs and so gives its IDF.  In a
-second pass a file's licence words are looked up; for each template the highest-IDF word of its
-mandatory key phrase is the anchor, each of its occurrences less its position is a candidate start,
-and the template is laid there: its words' IDF that agree, by relative position, give the score.  A
-candidate counts if the key phrase stands there whole and the score reaches the template's least
-value (1 for base phrases, so these are exact).
+Method.  A first pass counts in how many documents each word of the templates occurs and so gives its
+IDF.  The index maps a word to postings (template, position): those of each template's anchor, the word of
+its mandatory key phrase with the highest IDF.  In a second pass a file's words are looked up in it, and
+each posting met puts its template at the place less the position, so a file pays for the anchors that
+it holds and not for the templates there are.  All candidates of a chunk are then met with their templates'
+words by relative position at once: the key phrase has to stand there whole, and the IDF of the words that
+agree, as a share of the template's, has to reach its least value (1 for base phrases, so these are exact).
 
 The anchor stands at every place that can count, as the key phrase does.
 The index is fixed by the templates and travels with the task; both passes are maps over whole
@@ -52,6 +52,14 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source", 0.7),
     Template("mpl-2.0", "subject to the terms of the mozilla public license", "mozilla public license", 0.7),
     Template("cc", "licensed under a creative commons attribution license", "creative commons", 0.7),
+    Template("cc0", "to the extent possible under law the author has dedicated all copyright to the public domain under the cc0 waiver", "to the extent possible under law", 0.7),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify", 0.7),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "in no event will the authors be held liable", 0.7),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software", 0.7),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license", 0.7),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license", 0.7),
+    Template("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license", 0.7),
+    Template("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license", 0.7),
 )
 
 
@@ -72,6 +80,17 @@ class Index:
             all_words, key = t.text.split(), t.key.split()
             at = next(i for i in range(len(all_words)) if all_words[i : i + len(key)] == key)
             self.keys.append((at, at + len(key)))
+        self.low, self.high = np.array(self.keys).T
+        self.length, self.least = np.array([len(c) for c in self.coded]), np.array([t.least for t in templates])
+        self.base = np.array([t.base for t in templates])
+        self.own, self.begin = np.concatenate(self.coded), np.cumsum(self.length) - self.length
+        self.whole = np.array([self.idf[c].sum() for c in self.coded])
+        # postings by word: (template, position) of the anchors
+        anchors = [max(range(low, high), key=lambda p, own=own: self.idf[own[p]]) for own, (low, high) in zip(self.coded, self.keys, strict=True)]
+        word = np.array([own[p] for own, p in zip(self.coded, anchors, strict=True)])
+        order = np.argsort(word, kind="stable")
+        self.post_template, self.post_place = order, np.array(anchors)[order]
+        self.post_off = np.searchsorted(word[order], np.arange(len(self.words) + 1))
 
     def look_up(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(code of each word or -1, word offsets by document)."""
@@ -85,32 +104,35 @@ class Index:
             codes[near[same]] = self.order[k[same]]
         return codes, by
 
-    def matches(self, codes: np.ndarray, by: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(template, documents, starts in the chunk, scores) of what counts."""
+    def _agree(self, codes: np.ndarray, start: np.ndarray, template: np.ndarray, low: np.ndarray, high: np.ndarray, inside: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(candidate, template word, does it agree) for the template positions low .. high - 1 of each candidate, laid at its start."""
+        n = high - low
+        which = np.repeat(np.arange(len(start)), n)
+        p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
+        own, x = self.own[self.begin[template[which]] + p], start[which] + p
+        ok = (x >= inside[0][which]) & (x < inside[1][which])
+        return which, own, ok & (codes[np.where(ok, x, 0)] == own)
+
+    def matches(self, codes: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(template, document, start in the chunk, score) of each place that counts, templates in order."""
         hits = np.flatnonzero(codes >= 0)
-        doc = np.searchsorted(by, hits, side="right") - 1
-        code = codes[hits]
-        for t, (template, own) in enumerate(zip(self.templates, self.coded, strict=True)):
-            low, high = self.keys[t]
-            anchor = max(range(low, high), key=lambda p: self.idf[own[p]])
-            pick = code == own[anchor]
-            start, d = hits[pick] - anchor, doc[pick]
-            ok = (start + low >= by[d]) & (start + high <= by[d + 1])
-            start, d = start[ok], d[ok]
-            for p in range(low, high):
-                ok = codes[start + p] == own[p]
-                start, d = start[ok], d[ok]
-            if not len(start):
-                continue
-            got = np.zeros(len(start))
-            for p, w in enumerate(own):
-                x = start + p
-                inside = (x >= by[d]) & (x < by[d + 1])
-                got += np.where(inside & (codes[np.where(inside, x, 0)] == w), self.idf[w], 0.0)
-            got = np.minimum(got / self.idf[own].sum(), 1.0)
-            got = np.round(got, 9)
-            ok = got >= template.least - 1e-9
-            yield t, d[ok], start[ok], got[ok]
+        n = self.post_off[codes[hits] + 1] - self.post_off[codes[hits]]
+        at = np.repeat(hits, n)
+        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.post_off[codes[at]]
+        template, start = self.post_template[post], at - self.post_place[post]
+        doc = np.searchsorted(by, at, side="right") - 1
+        ok = (start + self.low[template] >= by[doc]) & (start + self.high[template] <= by[doc + 1])
+        template, doc, start = template[ok], doc[ok], start[ok]
+        if len(start):
+            which, _, same = self._agree(codes, start, template, self.low[template], self.high[template], (by[doc], by[doc + 1]))
+            ok = np.bincount(which, weights=~same, minlength=len(start)) == 0
+            template, doc, start = template[ok], doc[ok], start[ok]
+        which, own, same = self._agree(codes, start, template, np.zeros_like(template), self.length[template], (by[doc], by[doc + 1]))
+        got = np.bincount(which, weights=np.where(same, self.idf[own], 0.0), minlength=len(start)) / self.whole[template]
+        got = np.round(np.minimum(got, 1.0), 9)
+        ok = np.flatnonzero(got >= self.least[template] - 1e-9)
+        ok = ok[np.lexsort((start[ok], template[ok]))]
+        return template[ok], doc[ok], start[ok], got[ok]
 
 
 def idf(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
@@ -148,17 +170,16 @@ def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> D
                 first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
                 base: list[set] = [set() for _ in range(n)]
                 every: list[set] = [set() for _ in range(n)]
-                for t, d, start, got in index.matches(codes, by):
-                    template, at = templates[t], start - by[d]
-                    np.maximum.at(score, d, got)
-                    if template.base:
-                        np.add.at(n_base, d, 1)
-                        np.minimum.at(first, d, at)
-                        np.maximum.at(last, d, at)
-                    for i in set(d.tolist()):
-                        every[i].add(template.label)
-                        if template.base:
-                            base[i].add(template.label)
+                t, d, start, got = index.matches(codes, by)
+                np.maximum.at(score, d, got)
+                own = index.base[t]
+                n_base += np.bincount(d[own], minlength=n)
+                np.minimum.at(first, d[own], start[own] - by[d[own]])
+                np.maximum.at(last, d[own], start[own] - by[d[own]])
+                for i, k in set(zip(d.tolist(), t.tolist(), strict=True)):
+                    every[i].add(templates[k].label)
+                    if templates[k].base:
+                        base[i].add(templates[k].label)
                 none = n_base == 0
                 yield pa.record_batch(
                     {

@@ -20,6 +20,7 @@ named ``blob`` or ``spans`` already, the new one's name gets an underscore.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,19 +54,40 @@ NEEDS = {"github": r"_", "pem": r"-----BEGIN "}
 SPAN = "array<struct<start:long,rank:int,kind:string,end:long>>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once: a lambda's argument is not put in again wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def sums_before(values: Column, size: int = 128) -> Column:
+    """For each of an array of longs the sum of those before it.  Arrays grow by copying, so sums are taken over runs of
+    ``size`` first, then within each run: n * size / 2 steps and not n * n / 2."""
+    empty = F.array().cast("array<long>")
+
+    def sums(x: Column, begin: Column) -> Column:
+        step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(x, F.struct(begin.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def cut(x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / size).cast("int") - 1, F.lit(0))), lambda k: F.slice(x, k * size + 1, F.lit(size)))
+        return once(runs, lambda r: F.flatten(F.zip_with(r, sums(F.transform(r, lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, n: s + n)), F.lit(0).cast("long")), sums)))
+
+    return once(values, cut)
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """The findings of one rule in a text, in order."""
     hits, values, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), 0), F.regexp_extract_all(text, F.lit(rule.pattern), rule.group), F.split(text, rule.pattern, -1)
     each = F.arrays_zip(F.transform(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), F.transform(values, F.length).alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["hit"]
-        span = F.struct(begin.cast("long").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.cast("long").alias("end"))
-        return F.struct(end.cast("long").alias("at"), F.when(x["value"] >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def located(x: Column) -> Column:
+        """The matches long enough, each where the gaps and matches before it end."""
+        before = sums_before(F.transform(x, lambda m: (m["gap"] + m["hit"]).cast("long")))
+        begin = lambda m: m["m"]["gap"] + m["before"]
+        span = lambda m: F.struct(begin(m).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (begin(m) + m["m"]["hit"]).alias("end"))
+        return F.transform(F.filter(F.arrays_zip(x.alias("m"), before.alias("before")), lambda m: m["m"]["value"] >= rule.least), span)
 
-    found = F.aggregate(each, start, step, lambda acc: acc["found"])
+    found = once(each, located).cast(SPAN)
     # the cheap test first: a match of at least the least length, wherever the pattern's own start lies
     quick = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}.get(rule.kind)
     test = text.rlike(quick) if quick else text.contains(NEEDS[rule.kind])
@@ -111,7 +133,10 @@ def found(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     now = [f"{r.kind}@{r.version}" for r in rules]
     spans = F.flatten(F.transform(F.filter("done", lambda x: F.concat_ws("@", x["rule"], x["version"]).isin(now)), lambda x: x["spans"]))
     some = ledger.select("blob", spans.alias("spans")).where(F.size("spans") > 0)
-    return stored(some.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")), "findings")
+    # a blob that two runs scanned at once is there twice: of equal neighbours the first stays
+    every = F.array_sort(F.flatten(F.collect_list("spans")))
+    one = once(every, lambda x: F.filter(x, lambda s, i: (i == 0) | (s != F.get(x, i - 1))))
+    return stored(some.groupBy("blob").agg(one.alias("spans")), "findings")
 
 
 def findings(versions: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:

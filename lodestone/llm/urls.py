@@ -88,7 +88,8 @@ def reputation(pages: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFr
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, limit: float = 0.5, lift: float = LIFT, z: float = 1.645, rules: tuple[tuple[str, str, str], ...] = RULES, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """page_id, host, path, rule, verdict, bound of pages(page_id, url).
+    """page_id, host, path, rule, verdict of pages(page_id, url), and what the host's posterior rests on: its labelled pages
+    n and bad ones, its mean and lower bound.
 
     outcomes(doc_id, bad) label the document a page shows: the number that ends the url's path."""
     host, path = host_path(F.col("url"))
@@ -98,15 +99,15 @@ def judge(pages: DataFrame, outcomes: DataFrame, limit: float = 0.5, lift: float
     labelled = p.select("host", F.when(shown != "", shown.cast("long")).alias("doc_id"))
     known = outcomes.where("doc_id is not null and bad is not null").groupBy("doc_id").agg(F.max("bad").cast("int").alias("bad"))
     rep = reputation(labelled.join(known, "doc_id", "left").select("host", "bad"), suffixes)
-    got = p.join(rep.select("host", (F.col("mean") - z * F.col("sd")).alias("bound"), "overall"), "host", "left")
+    got = p.join(rep.select("host", "n", "bad", "mean", (F.col("mean") - z * F.col("sd")).alias("bound"), "overall"), "host", "left")
     worse = F.round("bound", 9) > F.round(F.least(F.lit(limit), lift * F.col("overall")), 9)
-    return got.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(worse, "block").otherwise("allow")).alias("verdict"), "bound")
+    return got.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(worse, "block").otherwise("allow")).alias("verdict"), "n", "bad", F.round("mean", 9).alias("mean"), F.round("bound", 9).alias("bound"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = labels.select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
-    return judge(table(spark, sf_dir, "pages"), bad).select("page_id", "host", "path", "rule", "verdict")
+    return judge(table(spark, sf_dir, "pages"), bad)
 
 
 def oracle() -> str:
@@ -123,6 +124,6 @@ d as (select domain, sfx, sum(n) dn, sum(y) dy from h2 group by 1, 2), s as (sel
 s0 as (select *, (select (coalesce(sum(sy), 0) + 1) / (coalesce(sum(sn), 0) + 2) from s) m0 from s), s1 as (select *, {k('sn', 'sy', 'm0', 'k0', 's0')} k0 from s0),
 d0 as (select d.*, (sy - dy + k0 * m0) / (sn - dn + k0) m1 from d join s1 using (sfx)), d1 as (select *, {k('dn', 'dy', 'm1', 'k1', 'd0')} k1 from d0),
 e0 as (select h2.*, (dy - y + k1 * m1) / (dn - n + k1) m2 from h2 join d1 using (domain)), e1 as (select *, {k('n', 'y', 'm2', 'k2', 'e0')} k2 from e0),
-e2 as (select host, y + k2 * m2 a, n - y + k2 * (1 - m2) b, (select max(m0) from s0) m0 from e1), e as (select host, m0, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) bound from e2),
+e2 as (select host, n::bigint n, y::bigint y, y + k2 * m2 a, n - y + k2 * (1 - m2) b, (select max(m0) from s0) m0 from e1), e as (select host, m0, n, y, a / (a + b) mean, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) bound from e2),
 r as (select *, case {rules} end rule from p)
-select page_id, host, path, rule, coalesce(case rule {kinds} end, case when round(bound, 9) > round(least(0.5, {LIFT} * m0), 9) then 'block' else 'allow' end) verdict from r left join e using (host)"""
+select page_id, host, path, rule, coalesce(case rule {kinds} end, case when round(bound, 9) > round(least(0.5, {LIFT} * m0), 9) then 'block' else 'allow' end) verdict, n, y bad, round(mean, 9) mean, round(bound, 9) bound from r left join e using (host)"""
