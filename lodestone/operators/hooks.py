@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestone.operators.rerank import rescored
+
 REPLY = "struct<text:string,input_tokens:int,output_tokens:int,error:string>"
 EMBEDDERS: dict[str, tuple[Callable[[list[str]], list[list[float]]], int]] = {}
 STEPS: dict[str, Callable[..., DataFrame]] = {}
@@ -59,6 +62,24 @@ def embedded(df: DataFrame, text: str, embedder: str, batch: int = 64) -> DataFr
     return df.withColumn("vector", vectors(F.col(text)))
 
 
+def cross_scored(hits: DataFrame, score: Callable[[list[tuple[str, str]]], list[float]], k: int = 5, batch: int = 32) -> DataFrame:
+    """hits(query, rank, score, question, text) ordered anew by a model of pairs, the k best of each query: it gets up to ``batch``
+    (question, text) at a time and gives a number for each.  Pairs with a null are not asked and come last, as do those that
+    get no finite number; ties keep their prior order, and prior_rank and prior_score stay."""
+
+    @F.pandas_udf("double")
+    def scores(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        out: list[float | None] = [None] * len(texts)
+        at = [i for i, (q, t) in enumerate(zip(questions, texts, strict=True)) if q is not None and t is not None]
+        for n in range(0, len(at), batch):
+            own = at[n : n + batch]
+            for i, v in zip(own, score([(questions.iloc[i], texts.iloc[i]) for i in own]), strict=True):
+                out[i] = float(v) if v is not None and math.isfinite(v) else None
+        return pd.Series(out, dtype="Float64")
+
+    return rescored(hits, scores(F.col("question"), F.col("text")), k)
+
+
 def strategy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Registers a step, a function of a DataFrame and keyword settings, for ``run_steps``."""
     STEPS[f.__name__] = f

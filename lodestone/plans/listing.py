@@ -8,8 +8,10 @@ from lodestone.functions import text as T
 from lodestone.operators import access as S
 from lodestone.operators import answers as A
 from lodestone.operators import elements as E
+from lodestone.operators import hooks
 from lodestone.operators import manage as M
 from lodestone.operators import prepare as P
+from lodestone.operators import prompts as H
 from lodestone.operators import questions as Q
 from lodestone.operators import retrieve as R
 from lodestone.plans.answering import _rounds
@@ -134,3 +136,54 @@ def registered_roles(spark, sf_dir):
 def judged_gates(spark, sf_dir):
     e = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run")).agg((F.avg("value") / 100).alias("now"), (F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))) / 100).alias("before"))
     return e.select("run", Q.judged_gate(F.col("before"), F.col("now"), 0.01).alias("holds"))
+
+
+TURNS = "q as (select conv_id, turn, text question from conversations where role = 'user'), t as (select q.conv_id, q.turn, q.question, a.text answer, case when q.turn % 4 = 1 then 'rewritten ' || q.turn end rewrite from q left join (select conv_id, turn - 1 turn, text from conversations where role = 'assistant') a using (conv_id, turn))"
+
+
+def chat_turns(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations")
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(a, ["conv_id", "turn"], "left")
+    return q.withColumn("rewrite", F.when(F.col("turn") % 4 == 1, F.concat(F.lit("rewritten "), F.col("turn").cast("string"))))
+
+
+def chat_summaries(spark, sf_dir):
+    i = F.col("conv_id")
+    c = load(spark, sf_dir, "conversations").select("conv_id").distinct().where(i % 3 == 0)
+    return c.select("conv_id", F.concat(F.lit("So far "), i.cast("string"), F.lit(".")).alias("summary"), (i % 2).alias("upto"))
+
+
+@query(f"""with {TURNS}, m as (select conv_id % 20 user_id, conv_id n, text fact from conversations where role = 'system'), f as (select user_id, string_agg('- ' || fact, chr(10) order by n, fact desc) facts from (select *, row_number() over (partition by user_id order by n desc, fact) back from m) where back <= 2 group by 1),
+h as (select conv_id, string_agg('Q: ' || coalesce(rewrite, question) || chr(10) || 'A: ' || coalesce(answer, ''), chr(10) order by turn, question) history from (select *, row_number() over (partition by conv_id order by turn desc, question desc) back from t where conv_id % 5 <> 0) where back <= 2 group by 1),
+c as (select distinct conv_id, conv_id % 20 user_id from conversations)
+select conv_id, case when facts is not null or history is not null then coalesce('<memories>' || chr(10) || facts || chr(10) || '</memories>' || chr(10) || chr(10), '') || coalesce('<history>' || chr(10) || case when conv_id % 3 = 0 then 'Summary so far: So far ' || conv_id || '.' || chr(10) else '' end || history || chr(10) || '</history>' || chr(10) || chr(10), '') || 'Latest question: and then ' || conv_id || '?' end prompt, case when facts is null and history is null then 'no history' end reason from c left join f using (user_id) left join h using (conv_id)""")
+def rewrite_prompts(spark, sf_dir):
+    i = F.col("conv_id")
+    c = load(spark, sf_dir, "conversations")
+    asked_ = c.select("conv_id", (i % 20).alias("user_id"), F.concat(F.lit("and then "), i.cast("string"), F.lit("?")).alias("question")).distinct()
+    memories = c.where("role = 'system'").select((i % 20).alias("user_id"), i.alias("n"), F.col("text").alias("fact"))
+    return H.rewrite_prompts(asked_, chat_turns(spark, sf_dir).where(i % 5 != 0), memories, chat_summaries(spark, sf_dir), 2, 2)
+
+
+@query(f"""with {TURNS}, k as (select *, row_number() over (partition by conv_id order by turn, question) k, count(*) over (partition by conv_id) n, case when conv_id % 3 = 0 then conv_id % 2 else 0 end upto from t)
+select conv_id, case when conv_id % 3 = 0 then 'Earlier summary: So far ' || conv_id || '.' || chr(10) else '' end || '<turns>' || chr(10) || string_agg('Q: ' || question || chr(10) || 'A: ' || coalesce(answer, ''), chr(10) order by turn, question) || chr(10) || '</turns>' prompt, max(k) upto from k where k > upto and k <= n - 1 group by conv_id""")
+def fold_prompts(spark, sf_dir):
+    return H.fold_prompts(chat_turns(spark, sf_dir), chat_summaries(spark, sf_dir), 1)
+
+
+@query("""select sha256('m|7|float32|query|' || text) as key, text from (select distinct text from documents where text is not null) where text not in (select text from documents where doc_id % 4 = 0)""")
+def queries_to_embed(spark, sf_dir):
+    """What has to be computed for queries where a quarter of the texts are kept as queries, and all as documents."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    key = lambda kind: H.embedding_key(F.col("text"), "m", "7", kind, "float32").alias("key")
+    cache = d.where("doc_id % 4 = 0").select(key("query")).unionByName(d.select(key("document")))
+    return H.to_embed(d, cache, "m", "7", "query", "float32")[1]
+
+
+@query(f"""with {DENSE}, h as (select query, piece, rank prior_rank, (0 - abs(length(d.text) - length(q.text)))::double score from de join documents d on d.doc_id = piece join documents q on q.doc_id = query where rank <= 20) select * from (select query, piece, prior_rank, score, row_number() over (partition by query order by score desc, prior_rank) as rank from h) where rank <= 5""")
+def cross_scored_hits(spark, sf_dir):
+    """The nearest vectors ordered anew by a function of pairs of texts, in batches."""
+    d = load(spark, sf_dir, "documents")
+    hits = R.dense(asked(spark, sf_dir), vectors(spark, sf_dir), 20).join(d.select(F.col("doc_id").alias("piece"), "text"), "piece").join(d.select(F.col("doc_id").alias("query"), F.col("text").alias("question")), "query")
+    return hooks.cross_scored(hits, lambda pairs: [-abs(len(q) - len(t)) for q, t in pairs]).select("query", "piece", "prior_rank", "score", "rank")

@@ -32,6 +32,24 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return e.where(~F.col("doc_id").rlike(r"(^|/)\.")).withColumn("content_type", content_type(F.col("doc_id")))
 
 
+def list_sources(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """list_files over folders and single files: a file's id is its name, a folder's files are named by their path below it.
+
+    An id that two roots share is refused, as an index could not tell its documents apart."""
+    out = None
+    for root in roots:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+        part = list_files(spark, root.rsplit("/", 1)[0]).where(F.col("doc_id") == root.rsplit("/", 1)[1]) if single else list_files(spark, root)
+        part = part.withColumn("root", F.lit(root))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no folder and no file is named")
+    if twice := out.groupBy("doc_id").count().where("count > 1").orderBy("doc_id").head(1):
+        raise ValueError(f"two sources have {twice[0].doc_id}")
+    return out
+
+
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """doc_id and text of the files of list_files."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
