@@ -14,9 +14,8 @@ in order of a hash of the id, and as many rows of these; buckets are 2**bucket_b
 spread over tasks; only the buckets with a ratio, of the sampled rows, meet in the one fitting task.
 Scoring reads every whole text, in a map with no shuffle, and sends each task the fixed-size model.
 
-Defined cases.  A text without a feature that the model knows, null and empty ones included, tells
-nothing: its score is the smoothed share of toxic rows among those trained on, and ``reject_toxic``
-keeps it.  Null labels and null ids of labels are not learned from; several labels of one id count as
+Defined cases.  A text too short for any n-gram, null and empty ones included, tells nothing: its score
+is the smoothed share of toxic rows among those trained on, and ``reject_toxic`` keeps it.  Null labels and null ids of labels are not learned from; several labels of one id count as
 the largest.  Repeated rows are scored alike, one result row per input row.  Without training rows of
 both classes every score is that share.  ``score`` does not read extra columns; ``reject_toxic`` keeps
 them, whatever their names.
@@ -56,7 +55,7 @@ class Model:
     buckets: np.ndarray
     weights: np.ndarray
     intercept: float
-    base: float  # the log odds of a text that has no known feature
+    base: float  # the log odds of a text without n-grams
 
 
 def hashed(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -219,15 +218,15 @@ def logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray,
 
 
 def probabilities(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(score of each text, whether it has a feature that the model knows)."""
+    """(score of each text, whether it has n-grams at all)."""
     slots = _slots(model.buckets, model.bucket_bits)
     margin, known = np.full(len(texts), model.base), np.zeros(len(texts), dtype=bool)
     for lo, hi, data, off in chunks(texts, 1 << 18):
         row, slot = present(data, off, model.orders, model.bucket_bits, slots, max(1, len(model.buckets)))
-        if len(row):
-            known[lo:hi] = np.bincount(row, minlength=hi - lo) > 0
-            found = np.bincount(row, weights=model.weights[slot], minlength=hi - lo) + model.intercept
-            margin[lo:hi] = np.where(known[lo:hi], found, model.base)
+        chars = np.flatnonzero((data & 0xC0) != 0x80)
+        known[lo:hi] = np.diff(np.searchsorted(chars, off)) >= min(model.orders)
+        found = np.bincount(row, weights=model.weights[slot], minlength=hi - lo) if len(row) else 0.0
+        margin[lo:hi] = np.where(known[lo:hi], found + model.intercept, model.base)
     return 1 / (1 + np.exp(-np.clip(margin, -500, 500))), known
 
 
