@@ -62,7 +62,9 @@ def containing(golds: DataFrame, texts: DataFrame, key: str = "item_id", most: i
     t = texts.where("text is not null").select(*[F.col(f"`{c}`").alias(h) for c, h in zip(own, held, strict=True)], "text")
     digest = F.sha2("text", 256)
     word = t.select(digest.alias("digest"), F.explode(F.array_distinct(F.split("text", r"[ \t\n\r]+"))).alias("seed"))
-    near = word.join(g.where("seed is not null"), "seed").select("digest", "key", "gold").distinct()
+    seeds = g.where("seed is not null")
+    # copies of a text bring its words once; golds that repeat each count
+    near = word.join(seeds.select("seed").distinct(), "seed", "left_semi").distinct().join(seeds, "seed").select("digest", "key", "gold")
     out = t.withColumn("digest", digest).join(near, "digest").where(F.col("text").contains(F.col("gold"))).select("key", *held)
     short = g.where("seed is null")
     n = short.count()

@@ -28,7 +28,7 @@ def projected_answers(spark, sf_dir):
     return A.projected(hits.withColumns({"prior_rank": F.lit(None).cast("int"), "prior_score": F.lit(None).cast("double")}), 5, 100)
 
 
-@query(f"with {DENSE} select query, rank, piece, case when query % 100 = 0 or d.source = q.source then length(d.text) else 0 end::int shown from de join documents d on d.doc_id = piece join documents q on q.doc_id = query where rank <= 20")
+@query(f"with {DENSE} select query, rank, piece, case when query % 100 = 0 or q.source is null or d.source = q.source then length(d.text) else 0 end::int shown from de join documents d on d.doc_id = piece left join documents q on q.doc_id = query where rank <= 20")
 def own_document_hits(spark, sf_dir):
     """Hits whose text stays where they are of the source that the question is about; every second question names none."""
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("piece"), "text", F.col("source").alias("doc_id"))
