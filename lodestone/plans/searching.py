@@ -13,6 +13,7 @@ from lodestone.operators import rerank as K
 from lodestone.operators import retrieve as R
 from lodestone.plans.preparing import TOKENS, load
 from lodestone.query_set import query
+from lodestone.sources.tables import stored
 
 WORDS = r"unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) term"
 BM25 = rf"""{TOKENS}, piece as (select doc_id * 4294967296 + ordinal piece, substr(whole, start + 1, "end" - start) text from chunks),
@@ -126,7 +127,7 @@ def prf_search(spark, sf_dir):
 @query(f"""with {DENSE}, h as (select query, piece, rank, query % 7 a, query % 5 + 7 b from de where rank <= 20) select query, piece, rank prior_rank, r as rank from (select *, case rank - 1 when a then 1 when b then 2 else rank + (a > rank - 1)::int + (b > rank - 1)::int end r from h) where r <= 5""")
 def replied_order(spark, sf_dir):
     """The nearest vectors in the order that a reply names."""
-    hits = R.dense(asked(spark, sf_dir), vectors(spark, sf_dir), 20)
+    hits = stored(R.dense(asked(spark, sf_dir), vectors(spark, sf_dir), 20), "hits")  # read three times
     q = F.col("query")
     replies = hits.select("query").distinct().select("query", F.concat(F.lit("First "), (q % 7).cast("string"), F.lit(", then "), (q % 5 + 7).cast("string"), F.lit("; 99 not, and "), (q % 7).cast("string"), F.lit(" again.")).alias("reply"))
     return K.reordered(hits, replies).select("query", "piece", "prior_rank", "rank")
