@@ -96,53 +96,73 @@ def places(x: np.ndarray, missing: np.ndarray, digits: int) -> np.ndarray:
     return np.where(missing, -np.inf, np.where(np.isnan(x), np.inf, key))
 
 
-class Best:
-    """The k best pieces of each query of one block, among the rows that a task has seen."""
+class Kept:
+    """The k best pieces of each of n queries, among the rows that a task has seen; none below a query's floor can be one."""
+
+    def __init__(self, n: int, k: int, digits: int):
+        self.k, self.digits, self.floor = k, digits, np.full(n, -np.inf)
+        self.kept = None
+
+    def lift(self, score: np.ndarray, to: np.ndarray | None = None) -> None:
+        """Sets the floor of queries without one (or of those among ``to``) from scores of rows by queries."""
+        to = np.arange(len(self.floor)) if to is None else to
+        fresh = np.isneginf(self.floor[to])
+        if fresh.any() and len(score) >= self.k:
+            self.floor[to[fresh]] = np.partition(score[:, fresh], len(score) - self.k, axis=0)[len(score) - self.k] - NEAR
+
+    def add(self, q: np.ndarray, pieces: pa.Array, rows: np.ndarray, score: np.ndarray, missing: np.ndarray) -> None:
+        """Scores of queries and rows of pieces; those that are missing are null."""
+        if not len(q):
+            return
+        whole = pa.types.is_integer(pieces.type)
+        ids = np.asarray(pieces.fill_null(0), dtype=np.int64) if whole else np.asarray(pieces.fill_null(""), dtype=object)
+        new = [q, ids[rows], np.asarray(pieces.is_valid())[rows], score, missing, places(score, missing, self.digits)]
+        every = new if self.kept is None else [np.concatenate(x) for x in zip(self.kept, new, strict=True)]
+        order = np.lexsort((every[1] if whole else np.unique(every[1], return_inverse=True)[1], every[2], -every[5], every[0]))
+        every = [x[order] for x in every]
+        place = np.arange(len(order)) - np.searchsorted(every[0], every[0])
+        self.kept = [x[place < self.k] for x in every]
+        last = place == self.k - 1
+        at, low = every[0][last], every[5][last]
+        finite = np.isfinite(low)
+        self.floor[at[finite]] = np.maximum(self.floor[at[finite]], low[finite] * 10.0**-self.digits - NEAR)
+
+    def batches(self, queries: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """query, piece, score of what is kept; queries has their ids."""
+        q, ids, known, score, missing, _ = self.kept or [np.zeros(0, np.int64)] * 6
+        for at in range(0, len(q), 100_000):
+            s = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(q[s])), pa.array(ids[s], kind, mask=~known[s]), pa.array(score[s], pa.float64(), mask=missing[s])], ["query", "piece", "score"])
+
+
+class Best(Kept):
+    """The same by the cosine of one block of query vectors."""
 
     def __init__(self, qv: pa.Array, k: int, digits: int):
-        self.k, self.digits = k, digits
+        super().__init__(len(qv), k, digits)
         self.v, self.length = matrix(qv)
         self.norm = np.sqrt(dots(self.v, self.v))
         self.plain = self._plain(self.norm, self.length)
         self.unit = self.v / np.where(self.plain & (self.norm > 0), self.norm, 1.0)[:, None]
-        self.floor = np.full(len(self.v), -np.inf)
-        self.kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.bool_, np.float64, np.bool_, np.float64)]
 
     def _plain(self, norm: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Vectors whose scores a matrix product tells but for a small error."""
         return (length == self.v.shape[1]) & ((norm == 0) | ((norm > 1e-100) & (norm < 1e100)))
 
-    def add(self, pieces: pa.Array, vectors: pa.Array) -> None:
+    def meet(self, pieces: pa.Array, vectors: pa.Array) -> None:
         v, length = matrix(vectors)
         norm = np.sqrt(dots(v, v))
         plain = self._plain(norm, length)
         v, own = widened(v, self.v)
         near = np.full((len(v), len(own)), np.inf)  # what is not plain is always compared
-        regular = np.ix_(plain, self.plain)
         unit = v[plain][:, : self.v.shape[1]] / np.where(norm[plain] > 0, norm[plain], 1.0)[:, None]
         product = unit @ self.unit[self.plain].T
-        near[regular] = product
-        fresh = np.isneginf(self.floor[self.plain])
-        if fresh.any() and len(product) >= self.k:
-            floor = self.floor[self.plain]
-            floor[fresh] = np.partition(product[:, fresh], len(product) - self.k, axis=0)[len(product) - self.k] - NEAR
-            self.floor[self.plain] = floor
+        near[np.ix_(plain, self.plain)] = product
+        self.lift(product, np.flatnonzero(self.plain))
         i, q = np.nonzero(near >= self.floor)
-        if not len(i):
-            return
-        score = np.concatenate([cosines(dots(v[i[s]], own[q[s]]), norm[i[s]] * self.norm[q[s]]) for s in (slice(a, a + 65_536) for a in range(0, len(i), 65_536))])
-        missing = unscored(length[i], self.length[q], norm[i] * self.norm[q])
-        ids = np.asarray(pieces.fill_null(0), dtype=np.int64)[i]
-        new = [q, ids, np.asarray(pieces.is_valid())[i], score, missing, places(score, missing, self.digits)]
-        every = [np.concatenate(x) for x in zip(self.kept, new, strict=True)]
-        every = [x[o] for o in [np.lexsort((every[1], every[2], -every[5], every[0]))] for x in every]
-        first = np.searchsorted(every[0], every[0])
-        place = np.arange(len(first)) - first
-        self.kept = [x[place < self.k] for x in every]
-        last = place == self.k - 1
-        at, low = every[0][last], every[5][last]
-        finite = np.isfinite(low)
-        self.floor[at[finite]] = np.maximum(self.floor[at[finite]], low[finite] * 10.0**-self.digits - NEAR)
+        if len(i):
+            score = np.concatenate([cosines(dots(v[i[s]], own[q[s]]), norm[i[s]] * self.norm[q[s]]) for s in (slice(a, a + 65_536) for a in range(0, len(i), 65_536))])
+            self.add(q, pieces, i, score, unscored(length[i], self.length[q], norm[i] * self.norm[q]))
 
 
 def best_cosines(table: DataFrame, query_type: str, k: int, digits: int) -> DataFrame:
@@ -156,12 +176,9 @@ def best_cosines(table: DataFrame, query_type: str, k: int, digits: int) -> Data
                 for pieces, vectors, query, qv in items(batch):
                     if best is None:
                         best, asked, kind = Best(qv, k, digits), query, pieces.type
-                    best.add(pieces, vectors)
+                    best.meet(pieces, vectors)
         if best is not None:
-            q, ids, known, score, missing, _ = best.kept
-            for at in range(0, len(q), 100_000):
-                s = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q[s])), pa.array(ids[s], kind, mask=~known[s]), pa.array(score[s], pa.float64(), mask=missing[s])], ["query", "piece", "score"])
+            yield from best.batches(asked, kind)
 
     return table.mapInArrow(run, f"query {query_type}, piece {piece_type}, score double")
 

@@ -26,7 +26,7 @@ NUMBERS = "count(*) total, sum(found::int) n_found, round(avg(found::int), 9) hi
 
 def by_words(pieces: DataFrame, spark: SparkSession, sf_dir: str, how: str, k: int) -> DataFrame:
     q = questions(spark, sf_dir)
-    hits = (R.bm25 if how == "bm25" else R.overlap)(q, pieces, k).join(pieces, "piece")
+    hits = F.broadcast((R.bm25 if how == "bm25" else R.overlap)(q, pieces, k)).join(pieces, "piece")  # k rows a question
     return R.evaluation(hits, q.select("query", F.col("text").alias("gold")), k)
 
 

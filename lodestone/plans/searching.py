@@ -44,7 +44,7 @@ def overlap_search(spark, sf_dir):
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q = pieces(spark, sf_dir), questions(spark, sf_dir)
-    hits = R.bm25(q, p, 5).join(p, "piece")
+    hits = F.broadcast(R.bm25(q, p, 5)).join(p, "piece")  # five rows a question
     return R.evaluation(hits, q.select("query", F.col("text").alias("gold")), 5)
 
 
@@ -116,10 +116,8 @@ def prf_search(spark, sf_dir):
     documents = d.select(F.col("doc_id").alias("piece"), "text")
     v = vectors(spark, sf_dir)
     near = R.dense(v.join(items.select(F.col("query").alias("piece")), "piece", "left_semi").select(F.col("piece").alias("query"), F.col("vector").alias("qv")), v, 20)
-    words = d.select("doc_id", F.explode(T.expansion_tokens(F.col("text"))).alias("term"))
-    count = d.agg(F.count("*").alias("n"))
-    background = words.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).crossJoin(F.broadcast(count))  # one row
-    feedback = words.join(near.where("rank <= 3").select("query", F.col("piece").alias("doc_id")), "doc_id").groupBy("query", "term").agg(F.count("*").alias("tf"))
+    near = stored(near, "near")  # read twice
+    feedback, background = K.feedback_terms(d, near.where("rank <= 3").select("query", F.col("piece").alias("doc_id")))
     terms = K.expansion_terms(feedback, background, items.select("query", F.explode(T.expansion_tokens(F.col("text"))).alias("term")).distinct())
     return R.rrf(near, R.bm25(K.widened(items, terms), documents, 20), 10).select("query", "piece", "score", "rank")
 
