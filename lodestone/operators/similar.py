@@ -8,8 +8,12 @@ the JVM, is taken of the rest, a batch of pairs at a time."""
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -20,6 +24,7 @@ from lodestone.operators.sentences import sentences
 from lodestone.sources.tables import stored
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz "
+END = 2**32 - 1  # stands where a text has ended
 
 
 @F.pandas_udf(DoubleType())
@@ -72,25 +77,98 @@ def closest_sentences(golds: DataFrame, documents: DataFrame, cutoff: float = 0.
     return lost.join(best, [key, "doc_id", "gold"], "left").select(key, "doc_id", "gold", F.col("best.sentence").alias("closest"), F.col("best.score").alias("score"))
 
 
-def near_pairs(texts: DataFrame, ratio: float, scope: tuple[str, ...] = ("set_id",)) -> DataFrame:
+class _Texts:
+    """A block of texts: lengths, counts of its letters and of other signs, codes of the signs of texts up to 64."""
+
+    def __init__(self, norms: pa.Array):
+        self.length = np.asarray(pc.utf8_length(norms), dtype=np.int64)
+        code = np.frombuffer("".join(norms.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+        row = np.repeat(np.arange(len(norms)), self.length)
+        letter = np.full(128, len(LETTERS))
+        letter[[ord(x) for x in LETTERS]] = np.arange(len(LETTERS))
+        kind = np.where(code < 128, letter[np.minimum(code, 127)], len(LETTERS))
+        bag = np.bincount(row * (len(LETTERS) + 1) + kind, minlength=len(norms) * (len(LETTERS) + 1)).reshape(len(norms), -1)
+        self.bag = np.ascontiguousarray(bag.T.astype(np.uint8 if self.length.max(initial=0) < 256 else np.int32))
+        place = np.arange(len(code)) - (np.cumsum(self.length) - self.length)[row]
+        brief = (self.length <= 64)[row]
+        self.codes = np.full((len(norms), 64), END, np.uint32)
+        self.codes[row[brief], place[brief]] = code[brief]
+
+
+def common_subsequence(masks: np.ndarray, row: np.ndarray, length: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences of pairs: masks has for each text, of up to 64 signs, the places of each sign
+    of an alphabet as bits; a pair is a row of masks, that text's length, and the other text's signs."""
+    v = np.full(len(row), ~np.uint64(0))
+    base, flat = row * masks.shape[1], masks.ravel()
+    for t in range(signs.shape[1]):
+        u = v & flat[base + signs[:, t]]
+        v = (v + u) | (v - u)
+    low = np.where(length >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(length, 63).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~v & low).astype(np.int64)
+
+
+def _met(batches: Iterator[pa.RecordBatch], keys: list[str], ratio: float) -> Iterator[pa.RecordBatch]:
+    """keys, n1, t1, n2, t2 of the pairs of two blocks that the bounds leave."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one, two = (batch.column(c)[k].values for c in ("one", "two"))
+            a, b = _Texts(one.field("norm")), _Texts(two.field("norm"))
+            same = batch.column("same")[k].as_py()
+            alphabet, signs = np.unique(np.concatenate([a.codes.ravel(), b.codes.ravel()]), return_inverse=True)
+            signs = signs.reshape(-1, 64)
+            first, second = signs[: len(a.length)], signs[len(a.length) :]
+            wide = int(np.minimum(b.length, 64).max(initial=0))
+            for at in range(0, len(a.length), 64):
+                s = slice(at, at + 64)
+                size = a.length[s, None] + b.length
+                shared = np.zeros(size.shape, np.uint8 if a.bag.dtype == b.bag.dtype == np.uint8 else np.int32)
+                for x, y in zip(a.bag, b.bag, strict=True):
+                    shared += np.minimum(x[s, None], y)
+                near = 2 * shared.astype(np.int32) > ratio * size - 1e-6
+                if same:
+                    near &= np.arange(at, at + near.shape[0])[:, None] < np.arange(len(b.length))
+                i, j = np.nonzero(near)
+                masks = np.zeros((near.shape[0], len(alphabet)), np.uint64)
+                for t in range(64):
+                    masks[np.arange(len(masks)), first[s, t]] |= np.uint64(1) << np.uint64(t)
+                masks[:, alphabet == END] = 0
+                left = []
+                for c in (slice(x, x + 16_384) for x in range(0, len(i), 16_384)):
+                    p, q = i[c], j[c]
+                    brief = (a.length[at + p] <= 64) & (b.length[q] <= 64)
+                    stays = ~brief
+                    p1, q1 = p[brief], q[brief]
+                    flat = common_subsequence(masks, p1, a.length[at + p1], second[q1][:, :wide])
+                    stays[brief] = 2 * flat > ratio * (a.length[at + p1] + b.length[q1]) - 1e-6
+                    left.append((at + p[stays], q[stays]))
+                if left:
+                    p, q = (pa.array(np.concatenate(x)) for x in zip(*left, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(np.full(len(p), k))) for c in keys] + [h.field(f).take(w) for h, w in ((one, p), (two, q)) for f in ("n", "norm")], [*keys, "n1", "t1", "n2", "t2"])
+
+
+def near_pairs(texts: DataFrame, ratio: float, scope: tuple[str, ...] = ("set_id",), size: int = 4096) -> DataFrame:
     """scope, late, early, score: ordered pairs of different texts(scope, n, norm) with a ratio above ``ratio``.  The ratio
     depends on which text comes second, so either order of a pair may be there without the other.
 
-    Such texts share at least r / (2 - r) of the longer one's characters, repeats numbered.  With characters in order
-    of rarity, each text's first ones beyond that share therefore hold one that both have: pairs meet on it alone."""
+    Pairs are met in blocks of at most about ``size`` texts of a scope, each pair of blocks in a task, and become rows only
+    once lengths, letter bags and, of texts up to 64 signs, the longest common subsequence allow the ratio.  All pairs
+    are compared by nature; memory is that of two blocks, and what is shuffled is the blocks, once for each partner."""
     keys = [*scope]
-    least = ratio / (2 - ratio)
-    sign = texts.select(*keys, "n", F.explode(F.split("norm", "")).alias("sign")).where("sign <> ''")
-    sign = sign.withColumn("token", F.concat("sign", F.row_number().over(Window.partitionBy(*keys, "n", "sign").orderBy("sign"))))
-    often = sign.groupBy("token").agg(F.count("*").alias("often"))
-    size = F.count("*").over(Window.partitionBy(*keys, "n"))
-    place = F.row_number().over(Window.partitionBy(*keys, "n").orderBy("often", "token"))
-    first = sign.join(often, "token").withColumns({"size": size, "place": place}).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select(*keys, "n", "token", "size")
-    a, b = first.withColumnRenamed("n", "early").withColumnRenamed("size", "n1"), first.withColumnRenamed("n", "late").withColumnRenamed("size", "n2")
-    met = a.join(b, [*keys, "token"]).where((F.col("early") < F.col("late")) & (by_length(F.col("n1"), F.col("n2")) > ratio)).select(*keys, "early", "late").distinct()
-    bags = texts.select(*keys, "n", "norm", letter_bag(F.col("norm")).alias("bag"))
-    one, two = bags.select(*keys, F.col("n").alias("early"), F.col("norm").alias("t1"), F.col("bag").alias("b1")), bags.select(*keys, F.col("n").alias("late"), F.col("norm").alias("t2"), F.col("bag").alias("b2"))
-    both = met.join(one, [*keys, "early"]).join(two, [*keys, "late"]).where(by_letters(F.col("b1"), F.col("b2")) > ratio)
+    t = texts.where("norm is not null").select(*keys, "n", "norm")
+    sets = t.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("blocks"))  # a row for each scope
+    dealt = t.join(sets, keys).withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")))
+    packed = stored(dealt.groupBy(*keys, "blocks", "block").agg(F.collect_list(F.struct("n", "norm")).alias("held")), "text-blocks")
+    pairs = packed.agg(F.sum(F.col("blocks") - F.col("block"))).first()[0] or 0
+    one = packed.select(*keys, F.col("block").alias("first"), F.col("held").alias("one"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"))
+    both = one.join(packed.select(*keys, "block", F.col("held").alias("two")), [*keys, "block"]).withColumn("same", F.col("first") == F.col("block")).drop("first", "block")
+    parts = max(4 * t.sparkSession.sparkContext.defaultParallelism, -(-pairs // 64))
+    kind = [f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema if f.name in keys]
+    n = t.schema["n"].dataType.simpleString()
+    met = both.repartition(parts).mapInArrow(lambda batches: _met(batches, keys, ratio), ", ".join([*kind, f"n1 {n}, t1 string, n2 {n}, t2 string"]))
+    order = F.col("n1") < F.col("n2")
+    early = F.when(order, F.struct(F.col("n1").alias("n"), F.col("t1").alias("t"))).otherwise(F.struct(F.col("n2").alias("n"), F.col("t2").alias("t")))
+    late = F.when(order, F.struct(F.col("n2").alias("n"), F.col("t2").alias("t"))).otherwise(F.struct(F.col("n1").alias("n"), F.col("t1").alias("t")))
+    both = met.select(*keys, early.alias("e"), late.alias("l")).select(*keys, F.col("e.n").alias("early"), F.col("e.t").alias("t1"), F.col("l.n").alias("late"), F.col("l.t").alias("t2"))
     ways = F.array(F.struct("late", "early", "t2", "t1"), F.struct(F.col("early").alias("late"), F.col("late").alias("early"), F.col("t1").alias("t2"), F.col("t2").alias("t1")))
     each = both.select(*keys, F.inline(ways))
     return each.withColumn("score", block_ratio("t2", "t1")).where(F.col("score") > ratio).select(*keys, "late", "early", "score")
