@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -112,3 +113,27 @@ def test_near_blocks_name_the_first_kept_twin(spark):
 def test_hashed_vectors_have_length_one_or_none(spark):
     got = {r.id: r.vector for r in D.hashed_vectors(spark.createDataFrame([(1, "a b"), (2, "B a"), (3, ""), (4, None)], "id long, text string"), 16).collect()}
     assert got[1] == got[2] and sum(x * x for x in got[1]) == pytest.approx(1) and got[3] == got[4] == [0.0] * 16
+
+
+def test_sections_scan_a_text_for_tokens_once(monkeypatch):
+    class Counting:
+        scans = 0
+
+        def finditer(self, *a):
+            Counting.scans += 1
+            return token.finditer(*a)
+
+    token = C.TOKEN
+    monkeypatch.setattr(C, "TOKEN", Counting())
+    text = " ".join(f"Sentence {k} has words." for k in range(400))
+    got = C.sections(text, 50, 6, False)
+    assert Counting.scans == 1
+    assert [len(token.findall(text[a:z])) for a, z in got[:-1]] == [50] * (len(got) - 1)
+
+
+def test_rows_are_handed_on_before_a_batch_is_through():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * 300_000] * 39 + [""])], ["doc_id", "text"])
+    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    got = list(C.bounded(iter([batch]), lambda k, t: [(k, t)] if t else [], kinds))
+    assert sum((b.column("doc_id").to_pylist() for b in got), []) == list(range(39))
+    assert max(b.nbytes for b in got) < 3_000_000
