@@ -6,13 +6,15 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.chunks import bounded
 from lodestone.sources.tables import stored
 
 ELEMENT = "doc_id long, id string, order int, type string, level int, text string"
+KINDS = pa.schema([("doc_id", pa.int64()), ("id", pa.string()), ("order", pa.int32()), ("type", pa.string()), ("level", pa.int32()), ("text", pa.string())])
 
 
 def heading_level(kind: Column, level: Column) -> Column:
@@ -130,12 +132,11 @@ def blocks_of_markdown(text: str) -> list[tuple[str, int | None, str]]:
 
 
 def _elements(frame: DataFrame, blocks) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, f"e{k:05d}", k, kind, level, text) for d, body in zip(f["doc_id"], f["body"], strict=True) for k, (kind, level, text) in enumerate(blocks(body))]
-            yield pd.DataFrame(rows, columns=["doc_id", "id", "order", "type", "level", "text"]).astype({"level": "Int32"})
+    def rows(doc: int, body: str) -> Iterator[tuple]:
+        return ((doc, f"e{k:05d}", k, kind, level, text) for k, (kind, level, text) in enumerate(blocks(body)))
 
-    return frame.where("body is not null").mapInPandas(run, ELEMENT)
+    f = frame.where("body is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "body")
+    return f.mapInArrow(lambda batches: bounded(batches, rows, KINDS), ELEMENT)
 
 
 def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
