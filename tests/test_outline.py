@@ -141,6 +141,12 @@ def test_offsets(spark):
     assert spark.range(1).select(alignment.composed(F.array(F.lit(2), F.lit(0)), F.array(F.lit(5), F.lit(6), F.lit(9)))).first()[0] == [9, 5]
 
 
+def test_offsets_shuffle_nothing(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
+    plan = alignment.normalised_with_offsets(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_closest_sentence(spark):
     draw, words = random.Random(5), "alpha beta gamma delta rhythm xylem ﬁnal question answer north".split()
     docs = [(d, " ".join((" ".join(draw.choice(words) for _ in range(draw.randint(3, 9))).capitalize() + ".") for _ in range(25)), "x") for d in range(6)] + [(6, None, "x"), (7, "", "x")]
