@@ -210,3 +210,15 @@ def test_question_files(spark):
     texts = ["a.b", "short", "v. long text. That ends. here it goes on", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.summary_cap(F.col("t"), 20).alias("c")).collect()
     assert [r.c for r in got] == ["a.b", "short", "v. long text.", None]
+
+
+def test_citations_do_not_carry_their_text_along(spark):
+    c = spark.createDataFrame([(1, 7, 0, 0, 2, "ab"), (2, 7, 0, 1, 3, "no"), (3, 8, 0, 0, 2, "ab")], "citation int, doc_id int, chunk_start long, c_start long, c_end long, cited_text string")
+    e = spark.createDataFrame([(7, "e0", 0, 4)], "doc_id int, id string, start long, end long")
+    d = spark.createDataFrame([(7, "abcd")], "doc_id int, text string")
+    got = A.located(c, e, d)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 2, True, "e0"), (2, 1, 3, False, "e0"), (3, 0, 2, False, None)]
+    join = got._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().head()
+    assert not re.search(r"\btext#", join.children().head().output().toString())
