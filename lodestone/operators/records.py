@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TWINS = pa.schema([("doc_id", pa.int64()), ("order", pa.int32()), ("duplicate_of", pa.int32())])
+
 
 def descriptor(rows: DataFrame, vector: str = "vector") -> DataFrame:
     """One row about an index: rows, dims, how many rows differ from the dims, and its first and last id."""
@@ -99,25 +103,46 @@ def retired(names: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return names.where((F.col("replaced_at") < now - F.make_dt_interval(F.lit(days))) & ~F.coalesce("kept", F.lit(False))).select("name")
 
 
+def twins(blocks: list[tuple[int, str]], similarity: float) -> Iterator[tuple[int, int]]:
+    """(order, order of the first earlier kept block as similar) of blocks(order, text) in order.
+
+    Lengths and counts of signs, by 64 classes, bound the ratio; difflib sees only the pairs that both leave."""
+    bags = np.zeros((len(blocks), 64), np.int32)
+    for k, (_, text) in enumerate(blocks):
+        bags[k] = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+    length = bags.sum(axis=1)
+    matcher = difflib.SequenceMatcher(None, autojunk=False)
+    kept = np.zeros(len(blocks), np.int64)
+    n = 0
+    for k, (order, text) in enumerate(blocks):
+        least = similarity * (length[kept[:n]] + length[k]) - 1e-6
+        near = kept[:n][2 * np.minimum(length[kept[:n]], length[k]) >= least]
+        if len(near):
+            near = near[2 * np.minimum(bags[near], bags[k]).sum(axis=1) >= similarity * (length[near] + length[k]) - 1e-6]
+        if len(near):
+            matcher.set_seq2(text)
+        for at in near:
+            other = blocks[at][1]
+            matcher.set_seq1(other)
+            if other == text or (2 * min(len(text), len(other)) >= similarity * (len(text) + len(other)) and matcher.quick_ratio() >= similarity and matcher.ratio() >= similarity):
+                yield order, blocks[at][0]
+                break
+        else:
+            kept[n] = k
+            n += 1
+
+
 def near_blocks(elements: DataFrame, similarity: float = 0.95) -> DataFrame:
     """elements(doc_id, order, type, norm): order and duplicate_of of each block whose text is as similar to an
     earlier kept block of its document and type.  One document's blocks of a type are one group."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, str]] = []
-        out = []
-        for doc, order, text in f.sort_values("order")[["doc_id", "order", "norm"]].itertuples(index=False):
-            twin = None
-            for at, other in kept:
-                if 2 * min(len(text), len(other)) >= similarity * (len(text) + len(other)):
-                    m = difflib.SequenceMatcher(None, other, text, autojunk=False)
-                    if m.quick_ratio() >= similarity and m.ratio() >= similarity:
-                        twin = at
-                        break
-            if twin is None:
-                kept.append((order, text))
-            else:
-                out.append((doc, order, twin))
-        return pd.DataFrame(out, columns=["doc_id", "order", "duplicate_of"])
-
-    return elements.where("norm <> ''").select("doc_id", F.col("order").cast("int").alias("order"), "type", "norm").groupBy("doc_id", "type").applyInPandas(run, "doc_id long, order int, duplicate_of int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, held in zip(batch.column("doc_id").to_pylist(), batch.column("held"), strict=True):
+                out += [(doc, *twin) for twin in twins(sorted((b["order"], b["norm"]) for b in held.as_py()), similarity)]
+            yield pa.RecordBatch.from_pydict({"doc_id": [x[0] for x in out], "order": [x[1] for x in out], "duplicate_of": [x[2] for x in out]}, schema=TWINS)
+
+    e = elements.where("norm <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("order").cast("int").alias("order"), "type", "norm")
+    held = e.groupBy("doc_id", "type").agg(F.collect_list(F.struct("order", "norm")).alias("held")).where(F.size("held") > 1)
+    return held.select("doc_id", "held").mapInArrow(run, "doc_id long, order int, duplicate_of int")

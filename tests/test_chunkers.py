@@ -1,6 +1,8 @@
 """Chunkers, element parsers, replies, question sets and streams on small cases."""
 
+import difflib
 import json
+import random
 
 import pyarrow as pa
 import pytest
@@ -110,6 +112,24 @@ def test_near_blocks_name_the_first_kept_twin(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 1, 0)]
 
 
+def test_twins_are_those_of_all_pairs_and_few_are_aligned(monkeypatch):
+    draw = random.Random(4)
+    base = ["".join(draw.choice("abcdefghij ") for _ in range(draw.choice((1, 40, 41, 60)))) for _ in range(12)]
+    blocks = [(3 * k, "".join(draw.choice("xyé") if draw.random() < 0.02 else c for c in draw.choice(base)) or "a") for k in range(150)]
+    kept, want, pairs = [], [], 0
+    for order, text in blocks:
+        pairs += len(kept)
+        near = [at for at, other in kept if difflib.SequenceMatcher(None, other, text, autojunk=False).ratio() >= 0.95]
+        if near:
+            want.append((order, near[0]))
+        else:
+            kept.append((order, text))
+    seen = []
+    monkeypatch.setattr(difflib.SequenceMatcher, "quick_ratio", lambda m, whole=difflib.SequenceMatcher.quick_ratio: seen.append(1) or whole(m))
+    assert list(D.twins(blocks, 0.95)) == want and len(want) > 20
+    assert len(seen) < pairs / 5
+
+
 def test_hashed_vectors_have_length_one_or_none(spark):
     got = {r.id: r.vector for r in D.hashed_vectors(spark.createDataFrame([(1, "a b"), (2, "B a"), (3, ""), (4, None)], "id long, text string"), 16).collect()}
     assert got[1] == got[2] and sum(x * x for x in got[1]) == pytest.approx(1) and got[3] == got[4] == [0.0] * 16
