@@ -13,11 +13,14 @@ from lodestone.functions import text as T
 
 LINE = r"[^\n\r\x0B\f\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0B\f\x{85}\x{2028}\x{2029}]|$)"
 
+# White space, as (?U)\s has it.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def trimmed(df: DataFrame, piece: str, at: str) -> DataFrame:
     """Adds start and end of the piece without outer white space, from its offset; blank pieces go."""
-    body = F.regexp_replace(piece, r"(?U)^\s+|\s+$", "")
-    lead = F.length(piece) - F.length(F.regexp_replace(piece, r"(?U)^\s+", ""))
+    body = F.trim(F.col(piece), F.lit(SPACE))
+    lead = F.length(piece) - F.length(F.ltrim(F.col(piece), F.lit(SPACE)))
     return df.withColumn("start", (F.col(at) + lead).cast("long")).withColumn("end", (F.col(at) + lead + F.length(body)).cast("long")).where(F.length(body) > 0)
 
 
@@ -44,7 +47,7 @@ def sentences(documents: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("unit", "part").rowsBetween(Window.unboundedPreceding, -1)
     found = trimmed(pieces.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))), "piece", "at")
     ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1
-    return found.select("doc_id", ordinal.cast("long").alias("ordinal"), "start", "end", "kind", F.regexp_replace("piece", r"(?U)^\s+|\s+$", "").alias("text"))
+    return found.select("doc_id", ordinal.cast("long").alias("ordinal"), "start", "end", "kind", F.trim(F.col("piece"), F.lit(SPACE)).alias("text"))
 
 
 def sentence_windows(documents: DataFrame, size: int = 5, overlap: int = 1) -> DataFrame:
