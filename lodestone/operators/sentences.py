@@ -51,12 +51,17 @@ def sentences(documents: DataFrame) -> DataFrame:
 
 
 def sentence_windows(documents: DataFrame, size: int = 5, overlap: int = 1) -> DataFrame:
-    """doc_id, ordinal, start, end: runs of ``size`` sentences, each beginning ``overlap`` before the end of the
+    """``windows`` of the documents' sentences."""
+    return windows(sentences(documents), size, overlap)
+
+
+def windows(found: DataFrame, size: int = 5, overlap: int = 1) -> DataFrame:
+    """doc_id, ordinal, start, end of sentences that were found: runs of ``size`` of them, each beginning ``overlap`` before the end of the
     one before.  Headings count as part of the sentence after them, those at the end of the one before."""
     stride = max(1, size - overlap)
     w = Window.partitionBy("doc_id").orderBy("ordinal")
     body = (F.col("kind") != "heading").cast("int")
-    s = sentences(documents).withColumn("n", F.sum(body).over(Window.partitionBy("doc_id")))
+    s = found.withColumn("n", F.sum(body).over(Window.partitionBy("doc_id")))
     s = s.withColumn("k", F.greatest(F.least(F.sum(body).over(w) - body, F.col("n") - 1), F.lit(0))).withColumn("n", F.greatest("n", F.lit(1)))
     first = F.greatest(F.ceil((F.col("k") - size + 1) / stride), F.lit(0)).cast("long")
     s = s.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("k") / stride).cast("long"))))

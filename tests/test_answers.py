@@ -222,3 +222,10 @@ def test_citations_do_not_carry_their_text_along(spark):
     while join.nodeName() != "Join":
         join = join.children().head()
     assert not re.search(r"\btext#", join.children().head().output().toString())
+
+
+def test_windows_of_sentences_without_their_text(spark):
+    d = spark.createDataFrame(list(enumerate(SAMPLES)), "doc_id int, text string")
+    rows = lambda w: sorted(map(tuple, w.collect()))
+    got = rows(N.windows(N.sentences(d).drop("text"), 2, 1))
+    assert got == rows(N.sentence_windows(d, 2, 1)) and len(got) > len(SAMPLES) / 2
