@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType
 
-SLICE, PART = 2048, 100_000  # rows of a matrix, rows of a partition
+SLICE, TILE, PART = 2048, 256, 100_000  # rows and queries of a matrix, rows of a partition
 NEAR = 2e-9  # more than a step of the rounding and the error of a matrix product
 
 
@@ -101,24 +101,35 @@ class Kept:
 
     def __init__(self, n: int, k: int, digits: int):
         self.k, self.digits, self.floor = k, digits, np.full(n, -np.inf)
-        self.kept = None
+        self.kept, self.new, self.waiting = None, [], 0
 
-    def lift(self, score: np.ndarray, to: np.ndarray | None = None) -> None:
-        """Sets the floor of queries without one (or of those among ``to``) from scores of rows by queries."""
+    def lift(self, score: np.ndarray, to: np.ndarray | None = None, error: float = 0.0) -> None:
+        """Sets the floor of queries without one (or of those among ``to``) from scores of rows by queries, which may be
+        off by ``error``."""
         to = np.arange(len(self.floor)) if to is None else to
         fresh = np.isneginf(self.floor[to])
         if fresh.any() and len(score) >= self.k:
-            self.floor[to[fresh]] = np.partition(score[:, fresh], len(score) - self.k, axis=0)[len(score) - self.k] - NEAR
+            self.floor[to[fresh]] = np.partition(score[:, fresh], len(score) - self.k, axis=0)[len(score) - self.k] - NEAR - error
 
     def add(self, q: np.ndarray, pieces: pa.Array, rows: np.ndarray, score: np.ndarray, missing: np.ndarray) -> None:
         """Scores of queries and rows of pieces; those that are missing are null."""
         if not len(q):
             return
-        whole = pa.types.is_integer(pieces.type)
-        ids = np.asarray(pieces.fill_null(0), dtype=np.int64) if whole else np.asarray(pieces.fill_null(""), dtype=object)
-        new = [q, ids[rows], np.asarray(pieces.is_valid())[rows], score, missing, places(score, missing, self.digits)]
-        every = new if self.kept is None else [np.concatenate(x) for x in zip(self.kept, new, strict=True)]
-        order = np.lexsort((every[1] if whole else np.unique(every[1], return_inverse=True)[1], every[2], -every[5], every[0]))
+        near = pieces.take(pa.array(rows))
+        self.whole = pa.types.is_integer(pieces.type)
+        ids = np.asarray(near.fill_null(0), dtype=np.int64) if self.whole else np.asarray(near.fill_null(""), dtype=object)
+        self.new.append([q, ids, np.asarray(near.is_valid()), score, missing, places(score, missing, self.digits)])
+        self.waiting += len(q)
+        if self.waiting >= len(self.floor) * self.k:  # as many as are kept, so sorting stays in proportion to what is new
+            self.settle()
+
+    def settle(self) -> None:
+        """Takes what waits among what is kept, and raises the floors."""
+        if not self.new:
+            return
+        every = [np.concatenate(x) for x in zip(*([] if self.kept is None else [self.kept]), *self.new, strict=True)]
+        self.new, self.waiting = [], 0
+        order = np.lexsort((every[1] if self.whole else np.unique(every[1], return_inverse=True)[1], every[2], -every[5], every[0]))
         every = [x[order] for x in every]
         place = np.arange(len(order)) - np.searchsorted(every[0], every[0])
         self.kept = [x[place < self.k] for x in every]
@@ -129,40 +140,61 @@ class Kept:
 
     def batches(self, queries: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """query, piece, score of what is kept; queries has their ids."""
+        self.settle()
         q, ids, known, score, missing, _ = self.kept or [np.zeros(0, np.int64)] * 6
         for at in range(0, len(q), 100_000):
             s = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([queries.take(pa.array(q[s])), pa.array(ids[s], kind, mask=~known[s]), pa.array(score[s], pa.float64(), mask=missing[s])], ["query", "piece", "score"])
 
 
-class Best(Kept):
-    """The same by the cosine of one block of query vectors."""
+class Best:
+    """The same by the cosine of one block of query vectors, TILE of them at a time.
+
+    A matrix product in single precision tells which pairs may be among the best; only these are scored."""
 
     def __init__(self, qv: pa.Array, k: int, digits: int):
-        super().__init__(len(qv), k, digits)
         self.v, self.length = matrix(qv)
         self.norm = np.sqrt(dots(self.v, self.v))
         self.plain = self._plain(self.norm, self.length)
-        self.unit = self.v / np.where(self.plain & (self.norm > 0), self.norm, 1.0)[:, None]
+        self.unit = self._unit(self.v, self.norm, self.plain)
+        self.error = (self.v.shape[1] + 4) * 2.0**-23  # twice the bound of a product of unit vectors in single precision
+        self.tiles = [Kept(min(TILE, len(qv) - at), k, digits) for at in range(0, len(qv), TILE)]
 
     def _plain(self, norm: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Vectors whose scores a matrix product tells but for a small error."""
         return (length == self.v.shape[1]) & ((norm == 0) | ((norm > 1e-100) & (norm < 1e100)))
 
+    def _unit(self, v: np.ndarray, norm: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """Those of the plain vectors, each of length 1 unless it is 0."""
+        return (v[plain] / np.where(norm[plain] > 0, norm[plain], 1.0)[:, None]).astype(np.float32)
+
     def meet(self, pieces: pa.Array, vectors: pa.Array) -> None:
         v, length = matrix(vectors)
         norm = np.sqrt(dots(v, v))
         plain = self._plain(norm, length)
+        rows, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
         v, own = widened(v, self.v)
-        near = np.full((len(v), len(own)), np.inf)  # what is not plain is always compared
-        unit = v[plain][:, : self.v.shape[1]] / np.where(norm[plain] > 0, norm[plain], 1.0)[:, None]
-        product = unit @ self.unit[self.plain].T
-        near[np.ix_(plain, self.plain)] = product
-        self.lift(product, np.flatnonzero(self.plain))
-        i, q = np.nonzero(near >= self.floor)
-        if len(i):
-            score = np.concatenate([cosines(dots(v[i[s]], own[q[s]]), norm[i[s]] * self.norm[q[s]]) for s in (slice(a, a + 65_536) for a in range(0, len(i), 65_536))])
-            self.add(q, pieces, i, score, unscored(length[i], self.length[q], norm[i] * self.norm[q]))
+        unit, begun = self._unit(v[:, : self.v.shape[1]], norm, plain), 0
+        for at, kept in zip(range(0, len(own), TILE), self.tiles, strict=True):
+            of = np.flatnonzero(self.plain[at : at + TILE])
+            product = unit @ self.unit[begun : begun + len(of)].T
+            begun += len(of)
+            kept.lift(product, of, self.error)
+            least = np.nextafter((kept.floor[of] - self.error).astype(np.float32), np.float32(-np.inf))
+            near = np.flatnonzero(product >= least)
+            i, q = rows[near // max(len(of), 1)], of[near % max(len(of), 1)]
+            # what is not plain is always compared
+            strange = np.flatnonzero(~self.plain[at : at + TILE])
+            n = len(kept.floor)
+            i = np.concatenate((i, np.repeat(odd, n), np.repeat(rows, len(strange))))
+            q = np.concatenate((q, np.tile(np.arange(n), len(odd)), np.tile(strange, len(rows))))
+            if len(i):
+                score = np.concatenate([cosines(dots(v[i[s]], own[at + q[s]]), norm[i[s]] * self.norm[at + q[s]]) for s in (slice(a, a + 4096) for a in range(0, len(i), 4096))])
+                kept.add(q, pieces, i, score, unscored(length[i], self.length[at + q], norm[i] * self.norm[at + q]))
+
+    def batches(self, queries: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for at, kept in zip(range(0, len(queries), TILE), self.tiles, strict=True):
+            yield from kept.batches(queries.slice(at, TILE), kind)
 
 
 def best_cosines(table: DataFrame, query_type: str, k: int, digits: int) -> DataFrame:

@@ -54,3 +54,21 @@ def test_vector_scores_by_blocks(spark, tmp_path):
     q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), a.alias("qv"))
     want = rows.crossJoin(q).select("query", "vec_id", V.dot(a, b).alias("dot"), V.cosine(a, b).alias("cosine"), V.l2_score(a, b).alias("l2"))
     assert sorted(map(repr, vector_scores(spark, str(tmp_path)).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_memory_of_a_step_does_not_grow_with_the_queries():
+    """Rows meet a tile of queries at a time: no matrix of a slice of rows by all queries."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodestone.operators import nearest as B
+
+    g = np.random.default_rng(7)
+    vectors = lambda n: pa.array(list(g.normal(size=(n, 8))), pa.list_(pa.float64()))
+    best = B.Best(vectors(6000), 5, 9)
+    tracemalloc.start()
+    best.meet(pa.array(range(B.SLICE)), vectors(B.SLICE))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * B.SLICE * 6000 / 2
