@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bytetext import chunks
+from lodestone.llm.bytetext import CHUNK, chunks
 from lodestone.llm.shared import stored, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,9 +46,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # one model in memory: its two ways of parting a text are put in turn
+        self.full = Tokenizer.from_file(path)
+        self._own = self.full.normalizer, self.full.pre_tokenizer
+        self._bare = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.full.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -58,12 +59,17 @@ class Encoder:
         """(ids of plain words end to end, how many each has)."""
         each = words.to_pylist()
         joined = [" ".join(each[i : i + 512]) for i in range(0, len(each), 512)]
-        flat = np.fromiter(chain.from_iterable(e.ids for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)), np.int32)
+        self.full.normalizer, self.full.pre_tokenizer = self._bare
+        try:  # few encodings are held at a time; they are many times the size of their ids
+            flat = np.fromiter(chain.from_iterable(e.ids for i in range(0, len(joined), 8) for e in self.full.encode_batch_fast(joined[i : i + 8], add_special_tokens=False)), np.int32)
+        finally:
+            self.full.normalizer, self.full.pre_tokenizer = self._own
         return flat, np.diff(np.flatnonzero(self.last[flat]) + 1, prepend=0)
 
     def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for words that need the whole tokenizer."""
-        ids = [e.ids for e in self.full.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        each = words.to_pylist()
+        ids = [e.ids for i in range(0, len(each), 4096) for e in self.full.encode_batch_fast(each[i : i + 4096], add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +183,7 @@ def pack(documents: DataFrame, tokenizer: str, length: int = 4096, end: int = 2,
         packer = Packer(length, windows, part << 32)
         for b in batches:
             ids_of = b.column(0).to_pylist()
-            for lo, hi, _, _ in chunks(b.column(1), 2 << 20):
+            for lo, hi, _, _ in chunks(b.column(1), CHUNK):
                 ids, off = coder.of_texts(b.column(1).slice(lo, hi - lo), end)
                 rows: list[tuple] = []
                 for i in range(hi - lo):
