@@ -27,8 +27,8 @@ and is not looked for, so no list or group is ever expanded into all its pairs.
 
 The order needs no exact frequencies to be right, so the shingles to put last are the most frequent
 ones of what tasks meet often, at most ``frequent`` of them (a broadcast of that size).  Sets are
-read again from the texts where they are needed; a bitmap of fixed size first drops documents that
-no candidate names, and the exact join follows.
+made again from the texts where they are needed: a bitmap of fixed size first drops documents that
+no candidate names, the others' texts go to the pairs compressed, and are hashed there.
 
 Defined cases.  Null, empty and white texts have no shingles, link with nothing and are their own
 component.  Texts of one to four words have one shingle, the whole sequence.  Rows with equal sets
@@ -39,6 +39,7 @@ and sets are named by 64-bit hashes, lists by 48 bits of these.  ``join`` does n
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,6 +56,7 @@ _TOP = U64(1 << 63)
 # marks in the order of shingles; most prefixes end between the same two
 MARKS = (np.arange(16, dtype=U64) * U64(2) + U64(1)) << U64(58)
 _PAIRS = 1 << 20
+_TEXTS = 256  # pairs whose sets are held at once
 LIST_BITS = 48
 
 
@@ -93,13 +95,17 @@ class Sets:
     """The sets of a chunk's texts: members in the total order, and the name of the set."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, n: int, frequent: np.ndarray):
+        self.members = self.ordered(data, off, n, frequent)
+        self.names = np.array([self.name(m) for m in self.members], dtype=np.int64)
+
+    @staticmethod
+    def ordered(data: np.ndarray, off: np.ndarray, n: int, frequent: np.ndarray) -> list[np.ndarray]:
         h, at = shingles(data, off, n)
         order = h >> U64(1)
         if len(frequent) and len(h):
             k = np.minimum(np.searchsorted(frequent, order), len(frequent) - 1)
             order = np.where(frequent[k] == order, order | _TOP, order)
-        self.members = [np.unique(order[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
-        self.names = np.array([self.name(m) for m in self.members], dtype=np.int64)
+        return [np.unique(order[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
 
     @staticmethod
     def name(members: np.ndarray) -> int:
@@ -276,8 +282,10 @@ def _stars(token: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndar
     return pair[0], pair[1], n, m, least
 
 
-def sets_of(documents: DataFrame, named: DataFrame, s: Settings, frequent: np.ndarray) -> DataFrame:
-    """name, members of the sets that named(name) lists, one row each; a few others may be there, too."""
+def packed_texts(documents: DataFrame, named: DataFrame, s: Settings, frequent: np.ndarray) -> DataFrame:
+    """name, packed of the sets that named(name) lists, one row each; a few others may be there, too.
+
+    packed is a compressed text with that set, a fraction of the size of the set's hashes, which do not compress."""
     # names are mixed hashes already, so their low bits serve
     bits = named.selectExpr(f"pmod(name, {1 << s.bitmap_bits}) as bit").groupBy(F.expr("shiftright(bit, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("v"))
     # at most 2**(bits - 6) rows, whatever the number of names
@@ -298,26 +306,37 @@ def sets_of(documents: DataFrame, named: DataFrame, s: Settings, frequent: np.nd
                     name = int(sets.names[k])
                     if len(sets.members[k]) and name not in seen:
                         seen.add(name)
-                        out.append((name, sets.members[k].tobytes()))
+                        out.append((name, zlib.compress(data[off[k] : off[k + 1]])))
                 if out:
-                    yield pa.record_batch({"name": pa.array([o[0] for o in out], pa.int64()), "members": pa.array([o[1] for o in out], pa.binary())})
+                    yield pa.record_batch({"name": pa.array([o[0] for o in out], pa.int64()), "packed": pa.array([o[1] for o in out], pa.binary())})
+
+    return hashed.mapInArrow(run, "name long, packed binary").dropDuplicates(["name"])
+
 
-    return hashed.mapInArrow(run, "name long, members binary").dropDuplicates(["name"])
+def unpacked(texts: list[bytes], s: Settings, frequent: np.ndarray) -> dict[bytes, np.ndarray]:
+    """The members of each packed text's set; a text that repeats is hashed once."""
+    each = list(dict.fromkeys(texts))
+    members: list[np.ndarray] = []
+    for _, _, data, off in chunks(pa.array([zlib.decompress(x) for x in each], pa.binary())):
+        members += Sets.ordered(data, off, s.n, frequent)
+    return dict(zip(each, members, strict=True))
 
 
 def compared(documents: DataFrame, pairs: DataFrame, s: Settings, frequent: np.ndarray) -> DataFrame:
     """(a, b, link) of pairs(a, b, refers), and where refers, with a the reference of b, also: held = |a|, dp and dm =
     how many members b has more and lacks, short = how long a prefix of these differences serves for partners that
     do not link with a, and the prefix that b posts, members more first."""
-    # both joins take the members from the one exchange by name
-    sets = sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("name")), s, frequent)
-    both = pairs.join(sets.withColumnRenamed("name", "b").withColumnRenamed("members", "y"), "b").join(sets.withColumnRenamed("name", "a").withColumnRenamed("members", "x"), "a")
+    # both joins take the texts from the one exchange by name
+    texts = packed_texts(documents, pairs.select(F.explode(F.array("a", "b")).alias("name")), s, frequent)
+    both = pairs.join(texts.withColumnsRenamed({"name": "b", "packed": "y"}), "b").join(texts.withColumnsRenamed({"name": "a", "packed": "x"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, _TEXTS) for b in batches for k in range(0, b.num_rows, _TEXTS)):
             link, rows = [], []
-            for x, y, refers in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
-                h, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            xs, ys = (batch.column(k).to_pylist() for k in (2, 3))
+            members = unpacked(xs + ys, s, frequent)
+            for x, y, refers in zip(xs, ys, batch.column(4).to_pylist(), strict=True):
+                h, q = members[x], members[y]
                 more = h[np.minimum(np.searchsorted(h, q), len(h) - 1)] != q
                 shared = len(q) - int(more.sum())
                 link.append(bool(links(shared, len(h), len(q), s.percent)))

@@ -391,3 +391,29 @@ def test_toxicity(spark):
     assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(400)) and 0 < got[900] == got[901] < 1
     assert toxicity.reject_toxic(d, labels).count() == 302 and abs(got[900] - 0.5) < 1e-9  # balanced labels: texts that tell nothing are kept all the same
     assert toxicity.score(d.where("false"), toxicity.fit(d.where("false"), labels)).count() == 0
+
+
+def test_jaccard_sends_texts_that_are_smaller_than_their_sets(spark):
+    s, none = jaccard.Settings(), np.zeros(0, np.uint64)
+    text = " ".join(f"word{i * i % 97} of {i}" for i in range(600))
+    d = spark.createDataFrame([(1, text), (2, text), (3, "Other words"), (4, None)], "doc_id long, text string")
+    rows, _ = jaccard.documents_sets(d, s)
+    got = jaccard.packed_texts(d, rows.where("name is not null").select("name"), s, none).collect()
+    members = jaccard.unpacked([bytes(r.packed) for r in got], s, none)
+    assert {r.name for r in got} == {jaccard.Sets.name(m) for m in members.values()} and len(got) == 2
+    assert sum(len(r.packed) for r in got) < sum(8 * len(m) for m in members.values()) / 2
+
+
+def test_packing_holds_one_model():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e = packing.Encoder(path)
+    assert sum(isinstance(x, Tokenizer) for x in vars(e).values()) == 1
+    texts = ["plain words here", "Mixed, signs! 12", "été naïve", ""]
+    for _ in range(2):  # the model is as it was after each use
+        ids, off = e.of_texts(pa.array(texts), 2)
+        want = [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert [ids[a:z].tolist() for a, z in zip(off[:-1], off[1:], strict=True)] == want
