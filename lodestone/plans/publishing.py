@@ -12,7 +12,7 @@ from lodestone.operators import prepare as P
 from lodestone.plans.preparing import TOKENS, load
 from lodestone.query_set import query
 from lodestone.sources.collection import Collection, Meta, described, versioned
-from lodestone.sources.tables import new_path
+from lodestone.sources.tables import new_path, stored
 
 HEAD = """'<!-- <meta name="author" content="none"> --><meta content="v' || page_id || '" name=author><META NAME="Author" content=x><meta property=''og:type'' content="a &amp; b"/><meta name="empty" content=""><meta name="title" content="meta">'"""
 
@@ -87,12 +87,15 @@ def committed_roles(spark, sf_dir):
     return changes.join(after.select("doc_id", "category", F.array_join(F.array_sort("roles"), ",").alias("roles"), "roles_reason"), "doc_id", "left")
 
 
-def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unversioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = P.token_chunks(load(spark, sf_dir, "documents").select(F.col("doc_id"), "text"))
     ident = P.chunk_id(F.col("doc_id"), "token_based", F.col("ordinal"), F.col("start"), F.col("end"))
     vector = F.array(F.col("ordinal").cast("double"), F.col("tokens").cast("double"))
-    c = c.select(ident.alias("id"), "doc_id", "ordinal", "text", vector.alias("vector"), F.array(F.lit("public")).alias("roles"), F.when(F.col("ordinal") > 0, F.array(F.lit("Part"))).otherwise(F.array().cast("array<string>")).alias("section"), F.array((F.floor(F.col("ordinal") / 2) + 1).cast("string")).alias("pages"))
-    return versioned(c)
+    return c.select(ident.alias("id"), "doc_id", "ordinal", "text", vector.alias("vector"), F.array(F.lit("public")).alias("roles"), F.when(F.col("ordinal") > 0, F.array(F.lit("Part"))).otherwise(F.array().cast("array<string>")).alias("section"), F.array((F.floor(F.col("ordinal") / 2) + 1).cast("string")).alias("pages"))
+
+
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versioned(unversioned(spark, sf_dir))
 
 
 META = Meta("counts", "1", 2, "cosine", "abcd" * 8)
@@ -104,8 +107,7 @@ from v union all select doc_id, 1, 'new' from documents where doc_id % 5 = 0 and
 def collection_after_changes(spark, sf_dir):
     """A collection of all pieces, a fifth of the documents replaced by one row each, a seventh deleted, read back."""
     c = Collection(spark, new_path(spark, "collections"), "pieces", buckets=8)
-    rows = index_rows(spark, sf_dir)
-    c.write_all(rows, META)
+    c.write_all(versioned(stored(unversioned(spark, sf_dir), "index-rows")), META)  # read for the versions and for the rows
     i = F.col("doc_id")
     d = load(spark, sf_dir, "documents")
     fresh = d.where((i % 5 == 0) & (i % 7 != 0)).select(F.concat(F.lit("n"), i.cast("string")).alias("id"), "doc_id", F.lit("new").alias("doc_version"), F.lit(0).cast("long").alias("ordinal"), F.lit("new").alias("text"), F.array(F.lit(0.0), F.lit(1.0)).alias("vector"), F.array(F.lit("public")).alias("roles"), F.array().cast("array<string>").alias("section"), F.array(F.lit("1")).alias("pages"))

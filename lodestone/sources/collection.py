@@ -44,13 +44,18 @@ def collection_name(recipe: str, artifact: str) -> str:
     return f"{recipe[:16]}-{artifact[:12]}"
 
 
-def check_rows(rows: DataFrame, dims: int) -> None:
-    """Refuses rows without a field, with a vector of another type or length, or with a number that is not finite; one pass."""
+def check_columns(rows: DataFrame) -> None:
+    """Refuses rows without a field or with a vector of another type; reads nothing."""
     if lacking := [c for c in ROW if c not in rows.columns]:
         raise Refused(f"rows lack {', '.join(lacking)}")
     kind = rows.schema["vector"].dataType
     if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, FloatType | DoubleType):
         raise Refused(f"a vector is an array of float or double, not {kind.simpleString()}")
+
+
+def check_rows(rows: DataFrame, dims: int) -> None:
+    """Refuses rows without a field, with a vector of another type or length, or with a number that is not finite; one pass."""
+    check_columns(rows)
     v = F.col("vector")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     bad = rows.agg(*[F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias(n) for n, c in (("absent", v.isNull()), ("dims", F.size(v) != dims), ("odd", odd), ("ids", F.col("id").isNull()))]).first()
@@ -80,10 +85,17 @@ class Collection:
         row = self.state().first()
         return Meta(**{k: row[k] for k in Meta.__dataclass_fields__})
 
-    def _write(self, rows: DataFrame, touched: list[int], folders: dict[int, str | None], meta: Meta) -> str:
+    def _write(self, rows: DataFrame, touched: list[int], folders: dict[int, str | None], meta: Meta, checked: bool = False) -> str:
+        """Writes a generation and publishes it; where ``checked``, it is read once more before, and goes if it is refused."""
         generation = f"{self.path}/rows/{uuid.uuid4().hex}"
         dealt = rows.withColumn("_bucket", self._bucket()).repartition("_bucket", F.pmod(F.xxhash64("id"), F.lit(self.spread)))
         dealt.sortWithinPartitions("_bucket", "doc_id", "id").write.partitionBy("_bucket").parquet(generation)
+        if checked:
+            try:
+                check_rows(self.spark.read.schema(rows.schema).parquet(generation), meta.dims)
+            except Refused:
+                published.delete(self.spark, generation)
+                raise
         for b in touched:
             folder = f"{generation}/_bucket={b}"
             folders[b] = folder if published.exists(self.spark, folder) else None
@@ -95,15 +107,17 @@ class Collection:
         """Makes these rows all that the collection holds."""
         if meta.metric not in METRICS:
             raise Refused(f"the metric is one of {', '.join(METRICS)}")
-        check_rows(rows, meta.dims)
-        return self._write(rows, list(range(self.buckets)), {}, meta)
+        check_columns(rows)
+        # what was written is checked, so that the rows are made once
+        return self._write(rows, list(range(self.buckets)), {}, meta, checked=True)
 
     def change(self, fresh: DataFrame | None = None, gone: DataFrame | None = None) -> str:
         """Replaces the rows of every document of ``fresh`` and drops those of gone(doc_id); only their buckets are read and written."""
         rows, meta = self.read(), self.meta()
         fresh = rows.where("false") if fresh is None else fresh
-        check_rows(fresh, meta.dims)
+        check_columns(fresh)
         fresh = stored(fresh.select(*rows.columns), "fresh-rows")
+        check_rows(fresh, meta.dims)
         names = fresh.select("doc_id") if gone is None else fresh.select("doc_id").unionByName(gone.select("doc_id"))
         names = stored(names.distinct(), "changed-documents")
         touched = sorted(r[0] for r in names.select(self._bucket()).distinct().collect())  # at most the number of buckets

@@ -146,3 +146,22 @@ def test_route_checks(spark):
         K.metadata(m, "a", equals="x", pattern="y")
     labels = spark.createDataFrame([("a/b.html", {"path": "z", "k": "v", "n": None}), ("x.zzz", None)], "doc_id string, c map<string,string>").select(K.source_labels(F.col("doc_id"), F.col("c")))
     assert [r[0] for r in labels.collect()] == [{"k": "v", "path": "a/b.html", "content_type": "text/html"}, {"path": "x.zzz", "content_type": "application/octet-stream"}]
+
+
+def test_rows_are_made_once_and_refused_ones_leave_nothing(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        made.add(1)
+        return x
+
+    rows = rows_of(spark, ["a", "b", "c"])
+    Collection(spark, str(tmp_path), "once", buckets=2).write_all(rows.withColumn("id", seen("id")), META)
+    assert made.value == rows.count()
+    c = Collection(spark, str(tmp_path), "bad", buckets=2)
+    with pytest.raises(Refused, match="not finite"):
+        c.write_all(rows.withColumn("vector", F.array(F.lit(1.0), F.lit(float("nan")))), META)
+    with pytest.raises(FileNotFoundError):
+        c.read()
+    assert not list((tmp_path / "bad" / "rows").iterdir())
