@@ -59,14 +59,12 @@ def located(citations: DataFrame, elements: DataFrame, documents: DataFrame) ->
     return got.join(found, "citation").select("citation", "doc_start", "doc_end", "verified", "element_id")
 
 
-def broken(rows: DataFrame, spread: int = 3) -> DataFrame:
-    """rows(text, gold, …) with first and last: the words between which the gold's words stand in order within
-    ``spread`` times its length, the closest such place; null where there is none.  Text and gold go, and
-    columns that are named as the results."""
+def closest_place(text: Column, gold: Column, spread: int = 3) -> Column:
+    """length, first and last of the closest place where the gold's words stand in order among those of text, within
+    ``spread`` times its length; null where there is none."""
     key = lambda w: T.casefold(F.regexp_replace(w, r"(?U)^\W+|\W+$", ""))
-    whole = F.transform(F.split(T.squeeze(F.regexp_replace("text", r"-\s*\n\s*", "")), " "), key)
-    want = F.filter(F.transform(F.split(T.squeeze(F.col("gold")), " "), key), lambda w: w != "")
-    keep = [c for c in rows.columns if c.lower() not in ("text", "gold", "first", "last")]
+    whole = F.transform(F.split(T.squeeze(F.regexp_replace(text, r"-\s*\n\s*", "")), " "), key)
+    want = F.filter(F.transform(F.split(T.squeeze(gold), " "), key), lambda w: w != "")
 
     def closest(x: Column) -> Column:
         words, sought = x["words"], x["want"]
@@ -83,19 +81,34 @@ def broken(rows: DataFrame, spread: int = 3) -> DataFrame:
         ends = F.filter(F.transform(places, lambda i: F.struct(i.alias("first"), last(i).alias("last"))), lambda e: e["last"] >= 0)
         return F.array_min(F.transform(ends, lambda e: F.struct((e["last"] - e["first"]).alias("length"), e["first"].alias("first"), e["last"].alias("last"))))
 
+    # a text without one of the words has no place; upper-case sigma and hyphens at line ends are left to the words themselves
+    maybe = F.exists(F.array(T.casefold(text)), lambda t: F.forall(want, lambda w: t.contains(w))) | text.contains("Σ") | text.rlike(r"-\s*\n")
     # one element, so that the words are made once for each row, wherever the optimiser puts what follows
-    best = F.get(F.transform(F.array(F.struct(whole.alias("words"), want.alias("want"))), closest), F.lit(0))
+    return F.when(maybe, F.get(F.transform(F.array(F.struct(whole.alias("words"), want.alias("want"))), closest), F.lit(0)))
+
+
+def broken(rows: DataFrame, spread: int = 3) -> DataFrame:
+    """rows(text, gold, …) with first and last: the words between which the gold's words stand in order within
+    ``spread`` times its length, the closest such place; null where there is none.  Text and gold go, and
+    columns that are named as the results."""
+    keep = [c for c in rows.columns if c.lower() not in ("text", "gold", "first", "last")]
+    best = closest_place(F.col("text"), F.col("gold"), spread)
     r = rows.select(*[F.col(f"`{c}`") for c in keep], best.alias("_lodestone_best"))
     return r.select(*[F.col(f"`{c}`") for c in keep], F.col("_lodestone_best.first").alias("first"), F.col("_lodestone_best.last").alias("last"))
 
 
+def edges(normalised: Column, edge: int = 4) -> tuple[Column, Column]:
+    """The first and the last words of a normalised gold."""
+    words = F.split(normalised, " ")
+    return F.array_join(F.slice(words, 1, edge), " "), F.array_join(F.slice(words, F.greatest(F.size(words) - edge + 1, F.lit(1)), F.lit(edge)), " ")
+
+
 def cut_pieces(pieces: DataFrame, golds: DataFrame, edge: int = 4) -> DataFrame:
     """query, first, last: the first piece with the gold's first words and the last with its last, where the one comes
     after the other; pieces(query, ordinal, text) are those of the gold's document, golds(query, gold)."""
-    words = F.split(T.match_normalise(F.col("gold")), " ")
-    ends = golds.select("query", F.array_join(F.slice(words, 1, edge), " ").alias("head"), F.array_join(F.slice(words, F.greatest(F.size(words) - edge + 1, F.lit(1)), F.lit(edge)), " ").alias("tail"))
-    held = T.match_normalise(F.col("text"))
-    met = pieces.join(ends, "query").groupBy("query").agg(F.min(F.when(held.contains(F.col("head")), F.col("ordinal"))).alias("first"), F.max(F.when(held.contains(F.col("tail")), F.col("ordinal"))).alias("last"))
+    head, tail = edges(T.match_normalise(F.col("gold")), edge)
+    ends = golds.select("query", head.alias("head"), tail.alias("tail"))
+    met = pieces.join(ends, "query").groupBy("query").agg(*[f(F.when(T.holds(F.col("text"), F.col(part)), F.col("ordinal"))).alias(name) for f, part, name in ((F.min, "head", "first"), (F.max, "tail", "last"))])
     return met.where("last > first")
 
 

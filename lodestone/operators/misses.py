@@ -35,7 +35,9 @@ def traced(golds: DataFrame, parsed: DataFrame, cleaned: list[tuple[str, DataFra
     and text.  kind tells what is wrong at parse: broken, scanned or parse; piece counts from 1; rank is that of the
     last ranking that holds a gold.  steps are (stage, name, status, sentence) in order: pass, lost or not_checked, and
     nothing is checked past the loss."""
-    g = golds.where(F.coalesce(F.trim("gold"), F.lit("")) != "").select("query", "place", F.trim("gold").alias("gold"))
+    g = golds.where(F.coalesce(F.trim("gold"), F.lit("")) != "").select("query", "place", T.gold_parts(F.trim("gold")).alias("gold"))
+    head, tail = A.edges(F.col("one.normal"))
+    g = g.groupBy("query").agg(F.collect_list("gold").alias("golds"), F.min_by("gold", "place").alias("one")).select("query", "golds", head.alias("head"), tail.alias("tail"))
     part = lambda df, step, at: df.select("query", F.lit(step).alias("step"), at.cast("long").alias("at"), "text")
     every = part(parsed, "parse", F.lit(0)).unionByName(part(pieces, "chunk", F.col("ordinal") + 1)).unionByName(part(hits, "search", F.col("rank")))
     for n, (_, df) in enumerate(cleaned):
@@ -43,17 +45,20 @@ def traced(golds: DataFrame, parsed: DataFrame, cleaned: list[tuple[str, DataFra
     if reranked is not None:
         every = every.unionByName(part(reranked, "rerank", F.col("rank")))
     names = ["parse", *[f"clean{n}" for n in range(len(cleaned))], "chunk", "search", *(["rerank"] if reranked is not None else [])]
-    held = every.join(g, "query").where(T.match_tier(F.col("gold"), F.col("text")).isNotNull())
-    pick = lambda of: [F.min(F.when(F.col("step") == s, F.col("at"))).alias(f"{of}{s}") for s in names]
-    first = held.groupBy("query").agg(*pick("at_"))
-    sizes = every.where(F.col("step").isin("chunk", "search", "rerank")).groupBy("query").agg(*[F.sum((F.col("step") == s).cast("int")).alias(f"n_{s}") for s in ("chunk", "search", "rerank")])
-    torn = A.broken(parsed.select("query", "text").join(g.select("query", "gold"), "query")).where("first is not null").select("query", F.lit(True).alias("broken")).distinct()
-    blank = parsed.groupBy("query").agg(F.min(A.scanned(F.col("text"))).alias("scanned"))
-    one = g.groupBy("query").agg(F.min_by("gold", "place").alias("gold"))
-    cut = A.cut_pieces(pieces.select("query", F.col("ordinal"), "text"), one).select("query", (F.col("first") + 1).alias("cut_first"), (F.col("last") + 1).alias("cut_last"))
-    q = one.select("query")
-    for side in (first, sizes, torn, blank, cut):
-        q = q.join(side, "query", "left")
+    t, step, at = F.col("text"), F.col("step"), F.col("at")
+    met = every.join(g, "query").withColumn("held", F.coalesce(F.exists("golds", lambda x: T.matches(x, t)), F.lit(False)))
+    # what is wrong at parse is asked only of parsed texts that hold no gold
+    unheld = (step == "parse") & ~F.col("held")
+    torn = F.exists("golds", lambda x: A.closest_place(t, x["gold"]).isNotNull())
+    q = g.select("query").join(
+        met.groupBy("query").agg(
+            *[F.min(F.when((step == s) & F.col("held"), at)).alias(f"at_{s}") for s in names],
+            *[F.sum((step == s).cast("int")).alias(f"n_{s}") for s in ("chunk", "search", "rerank")],
+            F.max(F.when(unheld, torn)).alias("broken"), F.min(F.when(unheld, A.scanned(t))).alias("scanned"),
+            *[f(F.when((step == "chunk") & T.holds(t, F.col(edge)), at)).alias(name) for f, edge, name in ((F.min, "head", "cut_first"), (F.max, "tail", "cut_last"))],
+        ), "query", "left",
+    )
+    q = q.withColumns({c: F.when(F.col("cut_last") > F.col("cut_first"), F.col(c)) for c in ("cut_first", "cut_last")})
     q = q.na.fill(0, [f"n_{s}" for s in ("chunk", "search", "rerank")])
     rank = F.col("at_rerank") if reranked is not None else F.col("at_search")
     ok = {s: F.col(f"at_{s}").isNotNull() for s in names} | {"top_k": F.coalesce(rank <= k, F.lit(False))}

@@ -15,7 +15,7 @@ from lodestone.plans.judging import streamed
 from lodestone.plans.preparing import FOLDED, TOKENS, load
 from lodestone.plans.searching import BM25, EVAL, questions
 from lodestone.query_set import query
-from lodestone.sources.tables import new_path
+from lodestone.sources.tables import new_path, stored
 from lodestone.streaming import jobs
 
 CLEANED = BM25.replace("from documents", "from (select doc_id, replace(text, chr(10), ' ') as text from documents)")
@@ -66,11 +66,11 @@ def miss_traces(spark, sf_dir):
     """A question for every document; some are lost on purpose at each step."""
     i, t = F.col("doc_id"), F.col("text")
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.array_join(F.slice(F.filter(F.split(t, r"\s+"), lambda w: w != ""), 10, 12), " ")
+    words = F.array_join(F.slice(F.filter(F.split(t, r"\s+", 24), lambda w: w != ""), 10, 12), " ")  # what follows the 22nd word is not parted
     golds = d.select(i.alias("query"), F.lit(0).alias("place"), F.when(i % 6 == 1, F.regexp_replace(words, "[aeiou]", "x")).otherwise(words).alias("gold"))
     parsed = d.select("doc_id", F.when(i % 6 == 2, F.left(t, F.lit(40))).otherwise(t).alias("text"))
     cleaned = parsed.select("doc_id", F.when(i % 6 == 3, F.substring(t, 120, 1 << 30)).otherwise(t).alias("text"))
-    pieces = P.token_chunks(cleaned, 64, 8).select(i.alias("query"), "ordinal", "text")
+    pieces = stored(P.token_chunks(cleaned, 64, 8).select(i.alias("query"), "ordinal", "text"), "pieces")  # read twice
     named = lambda x: x.select(i.alias("query"), "text")
     q = F.col("query")
     hits = pieces.where((q % 6 != 4) | (F.col("ordinal") % 2 == 1)).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("ordinal"))))

@@ -43,6 +43,16 @@ def test_tiers(spark):
     assert [r[0] for r in got] == ["exact", "normalized", "reworded", None, None]
 
 
+def test_texts_are_normalised_only_where_they_may_match(spark):
+    texts = ["xx ab c", "x ab c", "ab 1. c", "z", None, "exam-\n ple of ﬁne “quotes”", "Straße A ΟΔΟΣ", "Exam-ple of", "a\u00a0b", "1. x. y", ""]
+    golds = ["ab c", "Ab  C", "example of", "fine \"quotes", "STRASSE", "ΟΔΟΣ", "οδος", "a b", ". y", "x", "\n", "1. z"]
+    pairs = spark.createDataFrame([(g, t) for g in golds for t in texts], "g string, t string")
+    got = pairs.select("g", "t", T.matches(T.gold_parts(F.col("g")), F.col("t")).alias("m"), T.match_tier(F.col("g"), F.col("t")).alias("tier"), T.holds(F.col("t"), T.match_normalise(F.col("g"))).alias("h"), T.match_normalise(F.col("t")).contains(T.match_normalise(F.col("g"))).alias("held")).collect()
+    assert [(r.g, r.t) for r in got if bool(r.m) != (r.tier is not None) or bool(r.h) != bool(r.held)] == []
+    may = spark.createDataFrame([("plain text",), ("the quick fox",), ("soft-\nened",)], "t string").select(T.may_hold(F.col("t"), F.array(F.lit("quick"))).alias("m")).collect()
+    assert [r.m for r in may] == [False, True, True]
+
+
 @pytest.mark.parametrize("counts", [[], [None], [7], [3, 1], [5, 5, 2, 9, None], [(i * 37) % 512 + 1 for i in range(1001)], [1] * 19 + [8], [1] * 18 + [8, 8]])
 def test_chunk_stats(spark, counts):
     got = P.chunk_stats(spark.createDataFrame([(c,) for c in counts], "tokens long"))
