@@ -157,3 +157,74 @@ def test_rows_are_handed_on_before_a_batch_is_through():
     got = list(C.bounded(iter([batch]), lambda k, t: [(k, t)] if t else [], kinds))
     assert sum((b.column("doc_id").to_pylist() for b in got), []) == list(range(39))
     assert max(b.nbytes for b in got) < 3_000_000
+
+
+def laid(*blocks, size, level=6):
+    """Texts of the pieces of (type, text, level of a heading) blocks."""
+    spans, at = [], 0
+    for kind, text, depth in blocks:
+        spans.append((at, at + len(text), kind, depth))
+        at += len(text) + 2
+    whole = "\n\n".join(b[1] for b in blocks)
+    return [whole[a:z] for a, z in C.laid_out(whole, spans, size, level, True)]
+
+
+TABLE = ("table", "\n".join(f"| row{k} | {k} |" for k in range(12)), 0)
+SMALL = ("table", "| a |\n| b |", 0)
+CAPTION = ("caption", "Table 1: Scores", 0)
+BEFORE, AFTER = ("paragraph", "Some words before it.", 0), ("paragraph", "Some words after it.", 0)
+
+
+@pytest.mark.parametrize("size", [1, 5, 20])
+def test_captions_go_with_their_tables_and_figures(size):
+    figure = ("figure", "A chart of sales", 0)
+    for block in (TABLE, figure):
+        for pair in ((CAPTION, block), (block, CAPTION)):
+            got = laid(("heading", "# R", 1), BEFORE, *pair, AFTER, size=20 if block[0] == "figure" else size)
+            assert sum("Scores" in p and block[1] in p for p in got) == 1
+    text = BEFORE[1] + "\n\n" + CAPTION[1] + "\n\n" + TABLE[1]
+    assert [text[a:z] for a, z in C.sections(text, size, 6, True)][-1] == CAPTION[1] + "\n\n" + TABLE[1]
+    got = laid(SMALL, CAPTION, ("table", "| c |\n| d |", 0), size=8)
+    assert got == [SMALL[1], "Table 1: Scores\n\n| c |\n| d |"]
+    assert C.units([(k, k + 1, kind, 0) for k, kind in enumerate(("caption", "table", "caption", "paragraph"))]) == [[(0, 1, "caption", 0), (1, 2, "table", 0)], [(2, 3, "caption", 0)], [(3, 4, "paragraph", 0)]]
+
+
+def test_headings_go_with_what_is_below_and_whole_tables_stand_alone():
+    got = laid(("heading", "# T", 1), BEFORE, ("heading", "## S", 2), TABLE, AFTER, size=20, level=1)
+    assert got == ["# T\n\nSome words before it.", "## S\n\n" + TABLE[1], "Some words after it."]
+    long = ("paragraph", " ".join(f"Sentence {k} has a few words." for k in range(6)), 0)
+    got = laid(("heading", "# T", 1), long, size=8)
+    assert got[0] == "# T\n\nSentence 0 has a few words." and len(got) == 6
+    roles = [("heading", "# S", 1), BEFORE, ("heading", "# E", 1), ("heading", "## A", 2), BEFORE, ("heading", "## B", 2), AFTER]
+    assert [p.split("\n")[0] for p in laid(*roles, size=400)] == ["# S", "# E", "## B"]
+    assert [p.split("\n")[0] for p in laid(*roles, size=400, level=1)] == ["# S", "# E"]
+    assert [p.split("\n")[0] for p in laid(*roles, size=9, level=1)] == ["# S", "# E", "## B"]
+
+
+def test_layout_of_texts_and_of_elements(spark):
+    text = "# A #\n\nIntro one.\n## B\nTable 2. Rows\n| a | b |\n| 1 | 2 |\n\n![plan](p.png)\nFigure: a plan\n\n```\n# no\n\nx\n```\n- i\n  more\n- j\n"
+    assert [(text[a:z], kind) for a, z, kind, _ in C.markdown_blocks(text)] == [
+        ("# A #", "heading"), ("Intro one.", "paragraph"), ("## B", "heading"), ("Table 2. Rows", "caption"), ("| a | b |\n| 1 | 2 |", "table"), ("![plan](p.png)", "figure"),
+        ("Figure: a plan", "caption"), ("```\n# no\n\nx\n```", "code"), ("- i\n  more", "list_item"), ("- j", "list_item"),
+    ]
+    got = C.layout_blocks(spark.createDataFrame([(1, text), (2, None), (3, " ")], "doc_id long, text string"), 14).orderBy("ordinal").collect()
+    assert [r.heading_path for r in got] == [["A"], *[["A", "B"]] * (len(got) - 1)] and all(text[r.start : r.end] == r.text for r in got)
+    assert got[1].text == "## B\nTable 2. Rows\n| a | b |\n| 1 | 2 |" and [r.embed_text for r in got[:2]] == [got[0].text, "A\n\n" + got[1].text]
+    html = "<h1>A</h1><p>Intro one.</p><h2>B</h2><table><caption>cap</caption><tr><td>1<td>2</table><p>last</p>"
+    got = C.element_layout(E.html_elements(spark.createDataFrame([(1, html)], "page_id long, html string")), 6).orderBy("ordinal").collect()
+    assert [(r.text, r.heading_path) for r in got] == [("# A\n\nIntro one.", ["A"]), ("## B\n\ncap\n\n1 | 2", ["A", "B"]), ("last", ["A", "B"])]
+
+
+def test_sentence_ranges_are_those_of_the_table_operation(spark):
+    texts = [*TEXTS, "a) First. Second\nruns on. Here\n\nU.S. law, e.g. Mr. X. Then 3. Go", "1. Item. More\n| r. S |\n# H. I\nprose... And \"so.\" (Yes)", " 1. One. Two! \x0b3"]
+    from lodestone.operators import sentences as N
+
+    rows = N.sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {(r.doc_id, r.start, r.end) for r in rows}
+    assert want == {(k, *span) for k, t in enumerate(texts) for span in C.sentence_ranges(t)}
+
+
+def test_markdown_sections_break_at_every_heading():
+    text = "# A\n\n## B\n\nx y z\n\nu v\n\n# C\n\n" + "w " * 9
+    cut = [text[a:z] for a, z in C.headed(text, 6)]
+    assert cut == ["# A", "## B\n\nx y z", "u v", "# C", "w w w w w w", "w w w"]
