@@ -417,3 +417,22 @@ def test_packing_holds_one_model():
         ids, off = e.of_texts(pa.array(texts), 2)
         want = [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for t in texts]
         assert [ids[a:z].tolist() for a, z in zip(off[:-1], off[1:], strict=True)] == want
+
+
+def test_jaccard_makes_sets_again_only_of_texts_that_pairs_need(spark):
+    import pyarrow as pa
+
+    s, none = jaccard.Settings(), np.zeros(0, np.uint64)
+    rows = [(i, f"w{i} a b c d e f g a b c d e") for i in range(50)] + [(60, "W7 a b c d e f g a b c D e"), (61, None), (62, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, _ = jaccard.documents_sets(d, s)
+    texts = jaccard.first_texts(sets)
+    found = jaccard.packed_texts(d, sets.where("doc_id in (7, 9)").select("name"), s, none, texts)
+    assert sorted(r.name for r in found.collect()) == sorted(r.name for r in sets.where("doc_id in (7, 9)").collect())
+    assert texts.count() == 50 and "xxhash64(text" in found._jdf.queryExecution().optimizedPlan().toString()
+    g = np.random.default_rng(3)
+    each = [np.unique(g.integers(1, 1 << 62, n, dtype=np.uint64)) for n in (0, 1, 40, 0)]
+    assert jaccard.Sets.named(each).tolist() == [jaccard.Sets.name(m) for m in each]
+    text = "A\u00c9 b\tC\n\x0b d\x0c e\r\u00a0f G " * 3
+    [(_, _, data, off)] = jaccard.chunks(pa.array([text]))
+    assert jaccard.unpacked([jaccard.packed_text(text.encode())], s, none).popitem()[1].tolist() == jaccard.Sets(data, off, s.n, none).members[0].tolist()
