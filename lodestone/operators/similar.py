@@ -25,6 +25,7 @@ from lodestone.sources.tables import stored
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz "
 END = 2**32 - 1  # stands where a text has ended
+ROWS, STEPS = 256, 512  # texts that meet a block at a time; letter counts, in steps of one, up to which a matrix product compares bags
 
 
 @F.pandas_udf(DoubleType())
@@ -95,16 +96,61 @@ class _Texts:
         self.codes[row[brief], place[brief]] = code[brief]
 
 
-def common_subsequence(masks: np.ndarray, row: np.ndarray, length: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Lengths of longest common subsequences of pairs: masks has for each text, of up to 64 signs, the places of each sign
-    of an alphabet as bits; a pair is a row of masks, that text's length, and the other text's signs."""
+def _steps(bag: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A row for each text: is the count of a letter at least 1, 2, … up to most?  The product of two rows is what the bags share."""
+    return np.concatenate([x[:, None] > np.arange(n) for x, n in zip(bag, most, strict=True)], axis=1)
+
+
+def _bags_allow(a: _Texts, b: _Texts, ratio: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, i, j) for slices of a: its rows, from the first on, and texts of b whose letters allow the ratio; a few
+    more may be among them, as sums are in single precision."""
+    most = np.minimum(a.bag.max(axis=1, initial=0), b.bag.max(axis=1, initial=0)).astype(np.int64)
+    if most.sum() <= STEPS:
+        one, two = (np.concatenate((_steps(x.bag, most), np.zeros((len(x.length), 2))), axis=1, dtype=np.float32) for x in (a, b))
+        one[:, -2:] = np.stack((-ratio / 2 * a.length, np.ones(len(one))), axis=1)
+        two[:, -2:] = np.stack((np.ones(len(two)), -ratio / 2 * b.length), axis=1)
+        two = np.ascontiguousarray(two.T)
+        for at in range(0, len(one), ROWS):
+            i, j = np.divmod(np.flatnonzero(one[at : at + ROWS] @ two > -0.05), two.shape[1])
+            yield at, i, j
+        return
+    for at in range(0, len(a.length), ROWS // 4):
+        s = slice(at, at + ROWS // 4)
+        size = a.length[s, None] + b.length
+        shared = np.zeros(size.shape, np.uint8 if a.bag.dtype == b.bag.dtype == np.uint8 else np.int32)
+        for x, y in zip(a.bag, b.bag, strict=True):
+            shared += np.minimum(x[s, None], y)
+        yield at, *np.nonzero(2 * shared.astype(np.int32) > ratio * size - 1e-6)
+
+
+def _low(n: np.ndarray) -> np.ndarray:
+    """Words whose lowest n bits are set."""
+    n = np.clip(n, 0, 64)
+    return np.where(n == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
+
+
+def subsequence_allows(masks: np.ndarray, row: np.ndarray, length: np.ndarray, signs: np.ndarray, other: np.ndarray, at: np.ndarray, ratio: float) -> np.ndarray:
+    """Which pairs have a common subsequence that allows the ratio.  masks has for each text, of up to 64 signs, the places of
+    each sign of an alphabet as bits, and signs the t-th sign of each other text in row t; a pair is a row of masks, that text's
+    length, the other's length and its column in signs.
+
+    Of texts of a and b signs that share m in order, b leaves b - m signs out and a has a - m others between.  So the first
+    t signs of b share t - (b - m) with the first t + (a - m) of a; pairs that do not are left as soon as that is seen."""
+    need = np.floor((ratio * (length + other) - 1e-6) / 2).astype(np.int64) + 1
+    left, flat, base = np.arange(len(row)), masks.ravel(), row * masks.shape[1]
+    slack, spare = length - need, other - need
     v = np.full(len(row), ~np.uint64(0))
-    base, flat = row * masks.shape[1], masks.ravel()
-    for t in range(signs.shape[1]):
-        u = v & flat[base + signs[:, t]]
-        v = (v + u) | (v - u)
-    low = np.where(length >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(length, 63).astype(np.uint64)) - np.uint64(1))
-    return np.bitwise_count(~v & low).astype(np.int64)
+    wide = int(other.max(initial=0))
+    for t in range(wide + 1):
+        if t == wide or (t >= 16 and t % 4 == 0):
+            near = np.bitwise_count(~v & _low(np.minimum(t + slack, length))) >= np.minimum(t, other) - spare
+            v, left, base, slack, spare, length, other, at = (x[near] for x in (v, left, base, slack, spare, length, other, at))
+        if t < wide:
+            u = v & flat[base + signs[t][at]]
+            v = (v + u) | (v - u)
+    found = np.zeros(len(row), bool)
+    found[left] = np.bitwise_count(~v & _low(length)) >= need[left]
+    return found
 
 
 def _met(batches: Iterator[pa.RecordBatch], keys: list[str], ratio: float) -> Iterator[pa.RecordBatch]:
@@ -116,21 +162,14 @@ def _met(batches: Iterator[pa.RecordBatch], keys: list[str], ratio: float) -> It
             same = batch.column("same")[k].as_py()
             alphabet, signs = np.unique(np.concatenate([a.codes.ravel(), b.codes.ravel()]), return_inverse=True)
             signs = signs.reshape(-1, 64)
-            first, second = signs[: len(a.length)], signs[len(a.length) :]
-            wide = int(np.minimum(b.length, 64).max(initial=0))
-            for at in range(0, len(a.length), 64):
-                s = slice(at, at + 64)
-                size = a.length[s, None] + b.length
-                shared = np.zeros(size.shape, np.uint8 if a.bag.dtype == b.bag.dtype == np.uint8 else np.int32)
-                for x, y in zip(a.bag, b.bag, strict=True):
-                    shared += np.minimum(x[s, None], y)
-                near = 2 * shared.astype(np.int32) > ratio * size - 1e-6
+            first, second = signs[: len(a.length)], np.ascontiguousarray(signs[len(a.length) :].T)
+            for at, i, j in _bags_allow(a, b, ratio):
                 if same:
-                    near &= np.arange(at, at + near.shape[0])[:, None] < np.arange(len(b.length))
-                i, j = np.nonzero(near)
-                masks = np.zeros((near.shape[0], len(alphabet)), np.uint64)
+                    i, j = i[at + i < j], j[at + i < j]
+                rows = min(ROWS, len(first) - at)
+                masks = np.zeros((rows, len(alphabet)), np.uint64)
                 for t in range(64):
-                    masks[np.arange(len(masks)), first[s, t]] |= np.uint64(1) << np.uint64(t)
+                    masks[np.arange(rows), first[at : at + rows, t]] |= np.uint64(1) << np.uint64(t)
                 masks[:, alphabet == END] = 0
                 left = []
                 for c in (slice(x, x + 16_384) for x in range(0, len(i), 16_384)):
@@ -138,8 +177,7 @@ def _met(batches: Iterator[pa.RecordBatch], keys: list[str], ratio: float) -> It
                     brief = (a.length[at + p] <= 64) & (b.length[q] <= 64)
                     stays = ~brief
                     p1, q1 = p[brief], q[brief]
-                    flat = common_subsequence(masks, p1, a.length[at + p1], second[q1][:, :wide])
-                    stays[brief] = 2 * flat > ratio * (a.length[at + p1] + b.length[q1]) - 1e-6
+                    stays[brief] = subsequence_allows(masks, p1, a.length[at + p1], second, b.length[q1], q1, ratio)
                     left.append((at + p[stays], q[stays]))
                 if left:
                     p, q = (pa.array(np.concatenate(x)) for x in zip(*left, strict=True))
@@ -150,18 +188,19 @@ def near_pairs(texts: DataFrame, ratio: float, scope: tuple[str, ...] = ("set_id
     """scope, late, early, score: ordered pairs of different texts(scope, n, norm) with a ratio above ``ratio``.  The ratio
     depends on which text comes second, so either order of a pair may be there without the other.
 
-    Pairs are met in blocks of at most about ``size`` texts of a scope, each pair of blocks in a task, and become rows only
+    Pairs are met in blocks of about ``size`` texts of a scope, up to four times as many in a large one, as each block is sent
+    once for each other; each pair of blocks is met in a task, and pairs of texts become rows only
     once lengths, letter bags and, of texts up to 64 signs, the longest common subsequence allow the ratio.  All pairs
     are compared by nature; memory is that of two blocks, and what is shuffled is the blocks, once for each partner."""
     keys = [*scope]
     t = texts.where("norm is not null").select(*keys, "n", "norm")
-    sets = t.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("blocks"))  # a row for each scope
+    sets = t.groupBy(*keys).agg(F.ceil(F.count("*") / F.greatest(F.lit(size), F.least(F.lit(4 * size), F.count("*") / 16))).alias("blocks"))  # a row for each scope
     dealt = t.join(sets, keys).withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")))
     packed = stored(dealt.groupBy(*keys, "blocks", "block").agg(F.collect_list(F.struct("n", "norm")).alias("held")), "text-blocks")
     pairs = packed.agg(F.sum(F.col("blocks") - F.col("block"))).first()[0] or 0
     one = packed.select(*keys, F.col("block").alias("first"), F.col("held").alias("one"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"))
     both = one.join(packed.select(*keys, "block", F.col("held").alias("two")), [*keys, "block"]).withColumn("same", F.col("first") == F.col("block")).drop("first", "block")
-    parts = max(4 * t.sparkSession.sparkContext.defaultParallelism, -(-pairs // 64))
+    parts = max(4 * t.sparkSession.sparkContext.defaultParallelism, -(-pairs // 16))
     kind = [f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema if f.name in keys]
     n = t.schema["n"].dataType.simpleString()
     met = both.repartition(parts).mapInArrow(lambda batches: _met(batches, keys, ratio), ", ".join([*kind, f"n1 {n}, t1 string, n2 {n}, t2 string"]))
